@@ -27,9 +27,17 @@ def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 
 def page(df: DataFrame, keys: Sequence[str], order: Sequence[Column], page_no: int, size: int) -> DataFrame:
-    """One page per key of an ordered result, with the count of the whole result as ``total``."""
+    """One page of an ordered result, with the count of the whole result as ``total``.
+
+    With ``keys`` each key has its own pages and total.
+    """
+    keys = list(keys)
     first = max(0, (max(1, page_no) - 1) * size)
+    if not keys:
+        whole = df.groupBy(F.lit(0).alias("_whole")).agg(F.count(F.lit(1)).alias("total"))
+        rows = df.orderBy(*order).offset(first).limit(size).withColumn("_whole", F.lit(0))
+        return rows.join(F.broadcast(whole), "_whole").drop("_whole")
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     rows = df.withColumn("_rank", rank).filter(F.col("_rank") <= first + size)
-    return rows.filter(F.col("_rank") > first).drop("_rank").join(totals, list(keys))
+    return rows.filter(F.col("_rank") > first).drop("_rank").join(totals, keys)

@@ -16,6 +16,8 @@ TIME = "time_unix_ns"
 NS_PER_MS = 1_000_000
 # Fixed value: most log records shown for one trace.
 TRACE_LOG_LIMIT = 500
+# Spread of records without a trace id.
+NO_KEY_PARTS = 256
 
 
 def list_logs(
@@ -112,15 +114,19 @@ def log_view(logs: DataFrame) -> DataFrame:
 def correlate_logs_traces(logs: DataFrame, spans: DataFrame, by_span: bool = False) -> DataFrame:
     """Every log record with the trace (or the very span) that produced it.
 
-    By trace the span side is first cut to one row per trace. Records without a trace id skip the
-    join, so they do not pile up on one key.
+    By trace the span side is first cut to one row per trace. Records without a trace id find no
+    partner; the part number keeps them off a single reducer.
     """
     keys = ["tenant_id", "trace_id", "span_id"] if by_span else ["tenant_id", "trace_id"]
-    linked = spans.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("span_count"),
-        F.min("start_time_unix_ns").alias("trace_start_ns"),
-        F.max(F.col("status_code") == "ERROR").alias("trace_failed"),
+    linked = (
+        spans.filter(F.col("trace_id") != "")
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("span_count"),
+            F.min("start_time_unix_ns").alias("trace_start_ns"),
+            F.max(F.col("status_code") == "ERROR").alias("trace_failed"),
+        )
+        .withColumn("_part", F.lit(0).cast("bigint"))
     )
-    has_trace = F.col("trace_id") != ""
-    with_trace = logs.filter(has_trace).join(linked, keys, "left")
-    return with_trace.unionByName(logs.filter(~has_trace), allowMissingColumns=True)
+    part = F.when(F.col("trace_id") == "", F.pmod(F.xxhash64(TIME, "service_name"), F.lit(NO_KEY_PARTS))).otherwise(0)
+    return logs.withColumn("_part", part.cast("bigint")).join(linked, [*keys, "_part"], "left").drop("_part")
