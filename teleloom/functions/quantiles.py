@@ -14,6 +14,7 @@ Both give the same linear-interpolated quantiles.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,15 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+@dataclass(frozen=True)
+class Span:
+    """Rows that count for every step ``low``..``high`` of a numbered series, e.g. rolling windows."""
+
+    name: str
+    low: Column
+    high: Column
+
+
 def summarize(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,33 +74,50 @@ def summarize(
     value: Column,
     quantiles: Mapping[str, float],
     scale: float = 1.0,
-    small_input_bytes: int | None = None,
+    span: Span | None = None,
+    input_bytes: int | None = None,
 ) -> DataFrame:
     """One row per key: merged measures, then quantiles of ``value`` divided by ``scale``.
 
-    A quantile of no values is 0.
+    A quantile of no values is 0. With ``span`` the result also has one row per step; rows sharing
+    the same steps are added up before they are repeated for each step. ``input_bytes`` replaces the
+    optimizer's size estimate where the caller knows a better bound.
     """
-    limit = SMALL_INPUT_BYTES if small_input_bytes is None else small_input_bytes
     rows = df.select(
         *keys,
+        *([span.low.alias("_low"), span.high.alias("_high")] if span else []),
         value.alias("_value"),
         *[expr.alias(name) for name, (expr, _) in measures.items()],
     )
-    build = _summarize_small if planned_bytes(rows) <= limit else _summarize_ranked
-    out = build(rows, list(keys), measures, quantiles)
+    size = planned_bytes(rows) if input_bytes is None else input_bytes
+    build = _summarize_small if size <= SMALL_INPUT_BYTES else _summarize_ranked
+    out = build(rows, list(keys), measures, quantiles, span.name if span else None)
     return out.select(
         *keys,
+        *([span.name] if span else []),
         *measures,
         *[finite_or_zero(F.col(name) / scale).alias(name) for name in quantiles],
     )
 
 
-def _summarize_small(rows, keys, measures, quantiles) -> DataFrame:
+def _merged(measures: Mapping[str, Measure]) -> list[Column]:
+    return [_MERGE[kind](name).alias(name) for name, (_, kind) in measures.items()]
+
+
+def _per_step(df: DataFrame, step: str) -> DataFrame:
+    return df.withColumn(step, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
+def _summarize_small(rows, keys, measures, quantiles, step) -> DataFrame:
     probs = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-    grouped = rows.groupBy(*keys).agg(
-        *[_MERGE[kind](name).alias(name) for name, (_, kind) in measures.items()],
-        F.percentile("_value", probs).alias("_q"),
-    )
+    picked = F.percentile("_value", probs)
+    if step:
+        alike = rows.groupBy(*keys, "_low", "_high", "_value").agg(
+            F.count(F.lit(1)).alias("_n"), *_merged(measures)
+        )
+        rows, keys = _per_step(alike, step), [*keys, step]
+        picked = F.percentile("_value", probs, F.col("_n"))
+    grouped = rows.groupBy(*keys).agg(*_merged(measures), picked.alias("_q"))
     return grouped.select(
         *keys, *measures, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(quantiles)]
     )
@@ -102,67 +129,74 @@ def magnitude_slice(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * SLICES_PER_E).cast("bigint")
 
 
-def _summarize_ranked(rows, keys, measures, quantiles) -> DataFrame:
+def _bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Mark a materialized table for broadcast if it is small enough, else leave the join to Spark."""
+    small = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if small else df
+
+
+def _holds(rank: Column, start: Column, count: Column) -> Column:
+    return (rank >= start) & (rank < start + count)
+
+
+def _summarize_ranked(rows, keys, measures, quantiles, step) -> DataFrame:
     rows = rows.withColumn("_slice", magnitude_slice(F.col("_value")))
-    by_key = Window.partitionBy(*keys)
+    alike = [*keys, "_low", "_high"] if step else list(keys)
+    counted = rows.groupBy(*alike, "_slice").agg(F.count("_value").alias("_n"), *_merged(measures))
+    out_keys = list(keys)
+    if step:
+        out_keys = [*keys, step]
+        counted = _per_step(counted, step).groupBy(*out_keys, "_slice").agg(F.sum("_n").alias("_n"), *_merged(measures))
+
+    # Pass 1: running totals over the slices of each key (a bounded number of rows per key).
+    by_key = Window.partitionBy(*out_keys)
     running = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = (
-        rows.groupBy(*keys, "_slice")
-        .agg(
-            F.count("_value").alias("_n"),
-            *[_MERGE[kind](name).alias(name) for name, (_, kind) in measures.items()],
-        )
-        .select(
-            *keys,
-            "_slice",
-            "_n",
-            (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(by_key).alias("_total"),
-            F.row_number().over(by_key.orderBy("_slice")).alias("_pos"),
-            *[_MERGE[kind](name).over(by_key).alias(name) for name, (_, kind) in measures.items()],
-        )
+    slices = counted.select(
+        *out_keys,
+        "_slice",
+        "_n",
+        (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(by_key).alias("_total"),
+        F.row_number().over(by_key.orderBy("_slice")).alias("_pos"),
+        *[_MERGE[kind](name).over(by_key).alias(name) for name, (_, kind) in measures.items()],
     )
 
     # Ranks on either side of each quantile position, 0-based.
     position = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in quantiles.items()}
-    wanted_ranks = [r for p in position.values() for r in (F.floor(p), F.ceil(p))]
-
-    def holds(rank: Column, start: Column, count: Column) -> Column:
-        return (rank >= start) & (rank < start + count)
-
     has_rank = F.lit(False)
-    for rank in wanted_ranks:
-        has_rank = has_rank | holds(rank, F.col("_before"), F.col("_n"))
-
+    for p in position.values():
+        for rank in (F.floor(p), F.ceil(p)):
+            has_rank = has_rank | _holds(rank, F.col("_before"), F.col("_n"))
     ensure_checkpoint_dir(rows.sparkSession)
     chosen = (
         slices.withColumn("_hit", has_rank).filter(F.col("_hit") | (F.col("_pos") == 1)).checkpoint(eager=True)
     )
-    hits = chosen.filter("_hit").select(*keys, "_slice", "_before", "_total")
-    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-
-    values = (
-        rows.select(*keys, "_slice", "_value")
-        .join(hits, [*keys, "_slice"])
-        .groupBy(*keys, "_slice", "_before", "_total", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_value")
-    start = F.col("_before") + F.sum("_n").over(
-        in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("_n")
-    ranked = values.withColumn("_start", start)
+
+    # Pass 2: only the values inside the chosen slices.
+    hits = chosen.filter("_hit").select(*out_keys, "_slice", "_before", "_total")
+    needed = rows.select(*alike, "_slice", "_value")
+    if step:
+        needed = needed.join(_bounded_broadcast(hits.select(*keys, "_slice").distinct()), [*keys, "_slice"], "left_semi")
+    else:
+        needed = needed.join(_bounded_broadcast(hits), [*keys, "_slice"])
+    carried = [] if step else ["_before", "_total"]
+    values = needed.groupBy(*alike, "_slice", *carried, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    if step:
+        values = _per_step(values, step).groupBy(*out_keys, "_slice", "_value").agg(F.sum("_n").alias("_n"))
+        values = values.join(_bounded_broadcast(hits), [*out_keys, "_slice"])
+    in_slice = Window.partitionBy(*out_keys, "_slice").orderBy("_value")
+    up_to = F.sum("_n").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.withColumn("_start", F.col("_before") + up_to - F.col("_n"))
     picks = []
     for i, p in enumerate(position.values()):
         for side, rank in (("lo", F.floor(p)), ("hi", F.ceil(p))):
-            picks.append(F.max(F.when(holds(rank, F.col("_start"), F.col("_n")), F.col("_value"))).alias(f"_{side}{i}"))
-    picked = ranked.groupBy(*keys).agg(*picks)
+            at_rank = F.when(_holds(rank, F.col("_start"), F.col("_n")), F.col("_value"))
+            picks.append(F.max(at_rank).alias(f"_{side}{i}"))
+    picked = ranked.groupBy(*out_keys).agg(*picks)
 
-    heads = chosen.filter(F.col("_pos") == 1).select(*keys, "_total", *measures)
-    out = heads.join(picked, keys, "left")
+    heads = chosen.filter(F.col("_pos") == 1).select(*out_keys, "_total", *measures)
     result = []
     for i, (name, p) in enumerate(position.items()):
         low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
         result.append((low + (high - low) * (p - F.floor(p))).alias(name))
-    return out.select(*keys, *measures, *result)
+    return heads.join(picked, out_keys, "left").select(*out_keys, *measures, *result)

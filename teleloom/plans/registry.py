@@ -33,9 +33,9 @@ def query(name: str, sql: str | None = None, views: Sequence[str] = ()) -> Calla
 def with_views(sql: str, views: Sequence[str]) -> str:
     ctes = [f"{view} AS (\n{SQL_VIEWS[view]}\n)" for view in views]
     text = sql.strip()
-    if text.upper().startswith("WITH "):
-        ctes.append(text[5:])
-        return "WITH " + ",\n".join(ctes)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(head):
+            return head + ",\n".join([*ctes, text[len(head):]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + text
 
 

@@ -181,4 +181,18 @@ SELECT n_nationkey AS rule_id, n_regionkey AS tenant_id, n_name AS rule_name, n_
        CAST(3600 * (n_nationkey % 3) AS INT) AS for_seconds,
        CASE n_nationkey % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'critical' END AS severity
 FROM nation""",
+    "draft_rules": """
+SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 31 = 0 THEN ' ' ELSE c_name END AS rule_name,
+       ['latency_p50', 'latency_p90', 'latency_p99', 'error_rate', 'request_volume', 'log_count', 'metric_avg',
+        'metric_max', 'cpu_heat'][c_custkey % 9 + 1] AS signal_type,
+       ['', 'warn', 'loud', 'metric.1', 'ERROR'][c_custkey % 5 + 1] AS signal_param,
+       ['gt', 'gte', 'lt', 'lte', 'eq', 'gt', 'ne'][c_custkey % 7 + 1] AS operator,
+       ['info', 'warning', 'critical', 'info', 'warning', 'critical', 'info', 'fatal'][c_custkey % 8 + 1] AS severity,
+       CASE WHEN c_custkey % 23 = 0 THEN 90000 ELSE c_custkey % 100 * 10 END AS window_seconds,
+       CASE WHEN c_custkey % 29 = 0 THEN -5 ELSE c_custkey % 10 * 60 END AS for_seconds
+FROM customer""",
+    "channels": """
+SELECT CAST(r_regionkey * 2 + j AS BIGINT) AS channel_id, r_regionkey AS tenant_id,
+       CASE j WHEN 0 THEN 'inapp' ELSE 'webhook' END AS channel_type, NOT (j = 1 AND r_regionkey % 2 = 1) AS enabled
+FROM region CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1)""",
 }

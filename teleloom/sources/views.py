@@ -391,6 +391,25 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def draft_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as submitted by users, many of them faulty."""
+    key = F.col("c_custkey")
+    signals = [
+        "latency_p50", "latency_p90", "latency_p99", "error_rate", "request_volume",
+        "log_count", "metric_avg", "metric_max", "cpu_heat",
+    ]
+    return table(spark, sf_dir, "customer").select(
+        key.alias("rule_id"),
+        F.when(key % 31 == 0, " ").otherwise(F.col("c_name")).alias("rule_name"),
+        _choose(key % 9, signals).alias("signal_type"),
+        _choose(key % 5, ["", "warn", "loud", "metric.1", "ERROR"]).alias("signal_param"),
+        _choose(key % 7, ["gt", "gte", "lt", "lte", "eq", "gt", "ne"]).alias("operator"),
+        _choose(key % 8, ["info", "warning", "critical", "info", "warning", "critical", "info", "fatal"]).alias("severity"),
+        F.when(key % 23 == 0, 90_000).otherwise((key % 100) * 10).cast("int").alias("window_seconds"),
+        F.when(key % 29 == 0, -5).otherwise((key % 10) * 60).cast("int").alias("for_seconds"),
+    )
+
+
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two notification channels per tenant, the second disabled for odd tenants."""
     key = F.col("r_regionkey")
@@ -399,5 +418,5 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key * 2 + F.col("j")).cast("bigint").alias("channel_id"),
         key.alias("tenant_id"),
         F.when(F.col("j") == 0, "inapp").otherwise("webhook").alias("channel_type"),
-        ~((F.col("j") == 1) & (key % 2 == 1)).alias("enabled"),
+        (~((F.col("j") == 1) & (key % 2 == 1))).alias("enabled"),
     )

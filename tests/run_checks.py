@@ -26,8 +26,10 @@ for name in names or list(QUERIES):
             problem = compare(spark, con, name, QUERIES[name], ORACLES[name])
         else:
             problem = f"(no SQL) {QUERIES[name](spark, SF_DIR).count()} rows"
-    except Exception:
-        problem = name + " " + traceback.format_exc()[-700:]
+    except Exception as error:
+        where = traceback.extract_tb(error.__traceback__)
+        places = " < ".join(f"{f.filename.split('/')[-1]}:{f.lineno}" for f in where if "/root/repo" in f.filename)
+        problem = f"{type(error).__name__} {str(error)[:500]} at {places}"
     bad += bool(problem) and not problem.startswith("(no SQL)")
     print(f"{time.time() - start:6.2f}s {name}: {problem or 'ok'}", flush=True)
 print("different:", bad)
