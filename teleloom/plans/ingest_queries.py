@@ -1 +1,232 @@
-"""Registered queries."""
+"""Flatten jobs as round trips (view -> JSON lines -> rows) and admission rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from teleloom.operators import admission, ingest
+from teleloom.plans.registry import joined, query
+from teleloom.sources import nested_views, otlp, views
+
+
+@query(
+    "flatten_spans",
+    """WITH s AS (SELECT *, CASE WHEN k % 10 = 3 THEN start_time_unix_ns - i * 1000000 + 3600000000000
+                                 ELSE start_time_unix_ns END AS moved FROM spans)
+       SELECT tenant_id, trace_id, span_id, parent_span_id, service_name, service_version, span_name, span_kind,
+              moved AS start_time_unix_ns, moved + duration_ns AS end_time_unix_ns, duration_ns, status_code,
+              http_method, http_status_code, http_route, http_url, db_system,
+              CASE WHEN db_statement = '' THEN 'ignored when the statement is set' ELSE db_statement END AS db_statement,
+              consumer_id, 'event.type,k,ratio' AS attrs_keys,
+              event_type || ',' || CAST(k AS VARCHAR) || ',' || CASE k % 4 WHEN 0 THEN CAST(k // 4 AS VARCHAR)
+                WHEN 1 THEN CAST(k // 4 AS VARCHAR) || '.25' WHEN 2 THEN CAST(k // 4 AS VARCHAR) || '.5'
+                ELSE CAST(k // 4 AS VARCHAR) || '.75' END AS attrs_values,
+              CASE WHEN event_type = 'error' THEN 'exception' ELSE '' END AS event_names,
+              CASE WHEN event_type = 'error' THEN CAST(start_time_unix_ns AS VARCHAR) ELSE '' END AS event_times_unix_ns,
+              CASE WHEN event_type = 'error' THEN '{"exception.type":"say \\"no\\""}' ELSE '' END AS event_attrs_json
+       FROM s""",
+    ["spans"],
+)
+def _(spark, sf):
+    rows = ingest.flatten_spans(otlp.parsed(nested_views.span_lines(spark, sf), "spans"))
+    rows = rows.drop(
+        "event_date", "trace_state", "service_namespace", "agent_version", "status_message", "http_client_ip", "db_duration_ns"
+    )
+    return joined(rows, "attrs_keys", "attrs_values", "event_names", "event_times_unix_ns", "event_attrs_json")
+
+
+@query(
+    "infer_server_error_status",
+    """SELECT tenant_id, span_id, CASE WHEN span_kind = 'SERVER' AND status_code = 'UNSET' AND http_status_code >= 500
+              THEN 'ERROR' ELSE status_code END AS status_code FROM spans""",
+    ["spans"],
+)
+def _(spark, sf):
+    return ingest.with_inferred_status(views.spans(spark, sf)).select("tenant_id", "span_id", "status_code")
+
+
+@query(
+    "flatten_logs",
+    """SELECT tenant_id, time_unix_ns, time_unix_ns AS observed_time_unix_ns, service_name, severity_number,
+              severity_text, body, trace_id, span_id, 'lang,source' AS attrs_keys, lang || ',' || source AS attrs_values
+       FROM logs""",
+    ["logs"],
+)
+def _(spark, sf):
+    rows = ingest.flatten_logs(otlp.parsed(nested_views.log_lines(spark, sf), "logs"))
+    return joined(rows.drop("event_date", "service_namespace", "agent_version"), "attrs_keys", "attrs_values")
+
+
+@query(
+    "flatten_metrics",
+    """SELECT tenant_id, time_unix_ns, time_unix_ns AS start_time_unix_ns, service_name, metric_name, metric_unit,
+              metric_kind, CASE metric_kind WHEN 'GAUGE' THEN 'UNSPECIFIED' WHEN 'SUM' THEN 'CUMULATIVE' ELSE 'DELTA' END
+                AS aggregation_temporality, CAST(metric_kind = 'SUM' AS BIGINT) AS is_monotonic, value_double, value_int,
+              histogram_sum, CASE WHEN metric_kind = 'HISTOGRAM' THEN CAST(3 AS BIGINT) END AS histogram_count,
+              CASE WHEN metric_kind = 'HISTOGRAM' THEN '1,2' ELSE '' END AS histogram_bucket_counts,
+              'flag,status' AS attrs_keys, attr_flag || ',' || attr_status AS attrs_values
+       FROM metric_points""",
+    ["metric_points"],
+)
+def _(spark, sf):
+    rows = ingest.flatten_metrics(otlp.parsed(nested_views.metric_lines(spark, sf), "metrics"))
+    rows = rows.withColumn("is_monotonic", F.col("is_monotonic").cast("bigint")).drop(
+        "event_date", "service_namespace", "service_version", "agent_version", "attrs_hash", "histogram_min",
+        "histogram_max", "histogram_bucket_bounds",
+    )
+    return joined(rows, "attrs_keys", "attrs_values", "histogram_bucket_counts")
+
+
+def _host_batches(spark, sf):
+    return otlp.parsed(nested_views.host_lines(spark, sf), "host")
+
+
+@query(
+    "flatten_host_cpu_memory",
+    """SELECT tenant_id, host_id, time_unix_ns, host_name, 8 AS logical_cores, cpu_util_user, mem_total_bytes,
+              mem_used_bytes, CAST(0 AS BIGINT) AS swap_used_bytes FROM host_cpu_memory
+       UNION ALL SELECT DISTINCT tenant_id, host_id, time_unix_ns, '', 0, 0.0, 0, 0, 0 FROM host_processes""",
+    ["host_cpu_memory", "host_processes"],
+)
+def _(spark, sf):
+    return ingest.flatten_host_cpu_memory(_host_batches(spark, sf)).select(
+        "tenant_id", "host_id", "time_unix_ns", "host_name", "logical_cores", "cpu_util_user", "mem_total_bytes",
+        "mem_used_bytes", "swap_used_bytes",
+    )
+
+
+@query("flatten_host_disks", "SELECT *, '' AS mountpoint FROM host_disks", ["host_disks"])
+def _(spark, sf):
+    return ingest.flatten_host_disks(_host_batches(spark, sf)).drop("event_date")
+
+
+@query(
+    "flatten_host_networks",
+    "SELECT *, CAST(0 AS BIGINT) AS rx_errors, CAST(0 AS BIGINT) AS tx_errors FROM host_networks",
+    ["host_networks"],
+)
+def _(spark, sf):
+    return ingest.flatten_host_networks(_host_batches(spark, sf)).drop("event_date")
+
+
+@query("flatten_host_processes", "SELECT * FROM host_processes", ["host_processes"])
+def _(spark, sf):
+    return ingest.flatten_host_processes(_host_batches(spark, sf)).drop(
+        "event_date", "user_name", "runtime_version", "service_name", "handle_count"
+    )
+
+
+@query(
+    "flatten_profiles",
+    """SELECT tenant_id, start_time_unix_ns, duration_nanos, service_name, profile_kind, sample_count,
+              CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE pprof_base64 END AS pprof_base64, '' AS trigger_trace_id
+       FROM profiles""",
+    ["profiles"],
+)
+def _(spark, sf):
+    rows = ingest.flatten_profiles(otlp.parsed(nested_views.profile_lines(spark, sf), "profiles"))
+    return rows.select(
+        "tenant_id", "start_time_unix_ns", "duration_nanos", "service_name", "profile_kind", "sample_count",
+        "pprof_base64", "trigger_trace_id",
+    )
+
+
+# ---------------------------------------------------------------------------- admission
+
+
+@query(
+    "metric_cardinality_guard",
+    """WITH p AS (SELECT *, time_unix_ns // 1000000000 // 86400 AS w FROM metric_points),
+       n AS (SELECT tenant_id, w, metric_name, row_number() OVER (PARTITION BY tenant_id, w
+                    ORDER BY min(time_unix_ns), metric_name) AS rn FROM p GROUP BY 1, 2, 3)
+       SELECT p.tenant_id, p.time_unix_ns, p.metric_name, CAST(n.rn <= 3 AS BIGINT) AS admitted
+       FROM p JOIN n ON n.tenant_id = p.tenant_id AND n.w = p.w AND n.metric_name = p.metric_name""",
+    ["metric_points"],
+)
+def _(spark, sf):
+    # A small cap over daily windows, so that it takes effect on eight metric names.
+    rows = admission.metric_cardinality_guard(views.metric_points(spark, sf), cap=3, window_s=86_400)
+    return rows.select("tenant_id", "time_unix_ns", "metric_name", F.col("admitted").cast("bigint").alias("admitted"))
+
+
+_ADMITTED = """requests AS (SELECT o_orderkey AS request_id, CAST(o_custkey % 5 AS INT) AS tenant_id,
+    o_custkey % 130 AS key_id, 1704067200000000000 + o_orderkey * 600000000000 AS received_unix_ns FROM orders),
+  admission AS (SELECT r.*, EXISTS (SELECT 1 FROM api_keys a JOIN tenants t ON t.tenant_id = a.tenant_id
+    WHERE a.tenant_id = r.tenant_id AND a.key_id = r.key_id AND a.revoked_unix_ns IS NULL AND t.status = 'active'
+      AND (a.expires_unix_ns IS NULL OR a.expires_unix_ns > r.received_unix_ns)) AS ok FROM requests r)"""
+
+
+@query(
+    "admit_by_tenant",
+    f"WITH {_ADMITTED} SELECT request_id, tenant_id, key_id, CAST(ok AS BIGINT) AS admitted FROM admission",
+    ["tenants", "api_keys"],
+)
+def _(spark, sf):
+    rows = admission.admit_by_tenant(
+        nested_views.ingest_requests(spark, sf), views.tenants(spark, sf), views.api_keys(spark, sf), F.col("received_unix_ns")
+    )
+    return rows.select("request_id", "tenant_id", "key_id", F.col("admitted").cast("bigint").alias("admitted"))
+
+
+@query(
+    "ingest_quality_counts",
+    f"""WITH {_ADMITTED},
+        outcome AS (SELECT tenant_id, CASE WHEN request_id % 13 = 0 THEN 'malformed' WHEN NOT ok THEN 'not admitted'
+                           ELSE '' END AS reject_reason FROM admission)
+        SELECT tenant_id, reject_reason, count(*) FILTER (reject_reason = '') AS accepted,
+               count(*) FILTER (reject_reason <> '') AS rejected FROM outcome GROUP BY 1, 2""",
+    ["tenants", "api_keys"],
+)
+def _(spark, sf):
+    lines = nested_views.ingest_requests(spark, sf).select(F.col("tenant_id").alias("sender"), "key_id", "received_unix_ns", "line")
+    batches = otlp.parsed(lines.select("sender", F.col("line").alias("value")), "spans")
+    readable = otlp.is_readable()
+    checked = admission.admit_by_tenant(
+        batches, views.tenants(spark, sf), views.api_keys(spark, sf), F.col("received_unix_ns").cast("bigint")
+    )
+    reason = F.when(~readable, "malformed").when(~F.col("admitted"), "not admitted")
+    outcomes = checked.select(F.col("sender").alias("tenant_id"), reason.alias("reject_reason"))
+    return admission.ingest_quality_counts(outcomes)
+
+
+@query(
+    "sample_traces",
+    """SELECT span_id, md5(trace_id) AS trace_id FROM spans
+       WHERE CAST('0x' || substr(md5(trace_id), 17, 16) AS UBIGINT) < 4611686018427387904""",
+    ["spans"],
+)
+def _(spark, sf):
+    rows = views.spans(spark, sf).withColumn("trace_id", F.md5(F.col("trace_id").cast("binary")))
+    return admission.sample_traces(rows, 0.25).select("span_id", "trace_id")
+
+
+@query(
+    "filter_capture_scope",
+    """SELECT tenant_id, span_id, span_kind, span_name FROM spans
+       WHERE span_kind = 'CLIENT' AND (starts_with(span_name, 'post') OR starts_with(span_name, 'HT'))""",
+    ["spans"],
+)
+def _(spark, sf):
+    kept = admission.filter_capture_scope(views.spans(spark, sf), ["CLIENT"], ["post", "HT"], source="span_name")
+    return kept.select("tenant_id", "span_id", "span_kind", "span_name")
+
+
+_IP = """CASE WHEN event_id % 7 = 6 THEN '10.0.0.' || CAST(user_id % 250 AS VARCHAR)
+  WHEN user_id % 2 = 0 THEN '10.1.0.' || CAST(user_id % 250 AS VARCHAR)
+  ELSE '192.168.0.' || CAST(user_id % 250 AS VARCHAR) END"""
+
+
+@query(
+    "extract_consumer_id",
+    f"""SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 5) THEN 'user-' || CAST(user_id AS VARCHAR)
+               WHEN event_id % 7 = 2 THEN CAST(user_id AS VARCHAR) ELSE {_IP} END AS by_claim,
+               CASE WHEN event_id % 7 = 6 THEN 'partner-' || CAST(user_id AS VARCHAR) END AS by_header,
+               {_IP} AS by_ip
+        FROM events""",
+)
+def _(spark, sf):
+    rows = nested_views.request_log(spark, sf)
+    rows = admission.extract_consumer_id(rows, "jwt").withColumnRenamed("consumer_id", "by_claim")
+    rows = admission.extract_consumer_id(rows, "header", fall_back_to_ip=False).withColumnRenamed("consumer_id", "by_header")
+    rows = admission.extract_consumer_id(rows, "ip").withColumnRenamed("consumer_id", "by_ip")
+    return rows.select("event_id", "by_claim", "by_header", "by_ip")
