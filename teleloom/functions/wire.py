@@ -102,15 +102,19 @@ def texts(attributes: Column, with_bytes: bool = True) -> Column:
     """Attributes as an array of (key, text)."""
     pairs = F.transform(
         attributes,
-        lambda kv: F.struct(kv["key"].alias("key"), any_value_to_string(kv["value"], with_bytes).alias("text")),
+        lambda kv: F.struct(F.coalesce(kv["key"], F.lit("")).alias("key"), any_value_to_string(kv["value"], with_bytes).alias("text")),
     )
     return F.coalesce(pairs, F.array().cast("array<struct<key:string,text:string>>"))
 
 
-def last_text(pairs: Column, key: str) -> Column:
-    """Text of the last attribute with this key, '' without one."""
-    found = F.filter(pairs, lambda kv: kv["key"] == key)
-    return F.coalesce(F.try_element_at(found, F.lit(-1))["text"], F.lit(""))
+def by_key(pairs: Column) -> Column:
+    """Map of (key, text) pairs, the last duplicate winning (``spark.sql.mapKeyDedupPolicy``)."""
+    return F.map_from_entries(pairs)
+
+
+def text_of(attributes: Column, key: str) -> Column:
+    """Text under a key of such a map, '' without one."""
+    return F.coalesce(F.try_element_at(attributes, F.lit(key)), F.lit(""))
 
 
 def first_filled(pairs: Column, keys: Sequence[str]) -> Column:

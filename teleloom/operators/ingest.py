@@ -18,6 +18,7 @@ from teleloom.functions.wire import (
     TEMPORALITIES,
     any_value_to_int,
     any_value_to_string,
+    by_key,
     default_severity_text,
     first_filled,
     hex_id,
@@ -25,10 +26,10 @@ from teleloom.functions.wire import (
     int64,
     json_object,
     keys_of,
-    last_text,
     named,
     span_kind,
     span_status,
+    text_of,
     texts,
     texts_of,
 )
@@ -66,14 +67,15 @@ def _records(
 
     Resource attributes are read once per resource, before its records are exploded.
     """
+    # An outer explode: the filter Spark derives from an inner one would parse JSON text a second time.
     by_resource = batches.select(
-        "tenant_id", _arrival(as_of_ns).alias("_as_of"), F.explode(resources).alias("_resource")
-    )
-    pairs = texts(F.col("_resource.resource.attributes"), with_bytes)
-    by_scope = by_resource.withColumn("_pairs", pairs).select(
+        "tenant_id", _arrival(as_of_ns).alias("_as_of"), F.explode_outer(resources).alias("_resource")
+    ).filter(F.col("_resource").isNotNull())
+    attributes = by_key(texts(F.col("_resource.resource.attributes"), with_bytes))
+    by_scope = by_resource.withColumn("_map", attributes).select(
         "tenant_id",
         "_as_of",
-        *[last_text(F.col("_pairs"), key).alias(name) for name, key in resource_keys.items()],
+        *[text_of(F.col("_map"), key).alias(name) for name, key in resource_keys.items()],
         F.explode(F.col(f"_resource.{scopes}")).alias("_scope"),
     )
     return by_scope.select(
@@ -92,7 +94,7 @@ def _event_date(time_ns: str) -> Column:
 def flatten_spans(batches: DataFrame, as_of_ns: Column | None = None, vendor: str = VENDOR) -> DataFrame:
     """One row per span."""
     rows = _records(batches, "resource_spans", "scope_spans", "spans", _service_keys(vendor), as_of_ns)
-    rows = rows.withColumn("_attrs", texts(F.col("r.attributes")))
+    rows = rows.withColumn("_attrs", texts(F.col("r.attributes"))).withColumn("_map", by_key(F.col("_attrs")))
     start, end = clamp_span_window(int64(F.col("r.start_time_unix_nano")), int64(F.col("r.end_time_unix_nano")), F.col("_as_of"))
 
     hoisted = {**SPAN_TEXT_KEYS, "consumer_id": f"{vendor}.consumer.id"}
@@ -115,7 +117,7 @@ def flatten_spans(batches: DataFrame, as_of_ns: Column | None = None, vendor: st
         end.alias("end_time_unix_ns"),
         span_kind(F.col("r.kind")).alias("span_kind"),
         span_status(F.col("r.status.code")).alias("status_code"),
-        *[last_text(F.col("_attrs"), key).alias(name) for name, key in hoisted.items()],
+        *[text_of(F.col("_map"), key).alias(name) for name, key in hoisted.items()],
         F.greatest(F.lit(0), F.least(F.lit(MAX_HTTP_STATUS), status)).cast("int").alias("http_status_code"),
         F.filter("_attrs", lambda kv: ~kv["key"].isin(taken)).alias("_rest"),
     )
@@ -279,12 +281,12 @@ def flatten_metrics(batches: DataFrame, as_of_ns: Column | None = None, vendor:
 
 
 def _snapshots(batches: DataFrame) -> DataFrame:
-    rows = batches.select("tenant_id", F.explode("snapshots").alias("s"))
-    rows = rows.withColumn("_pairs", texts(F.col("s.resource.attributes"), with_bytes=False))
+    rows = batches.select("tenant_id", F.explode_outer("snapshots").alias("s")).filter(F.col("s").isNotNull())
+    rows = rows.withColumn("_map", by_key(texts(F.col("s.resource.attributes"), with_bytes=False)))
     rows = rows.select(
         "tenant_id",
         int64(F.col("s.time_unix_nano")).alias("time_unix_ns"),
-        *[last_text(F.col("_pairs"), key).alias(name) for name, key in HOST_KEYS.items()],
+        *[text_of(F.col("_map"), key).alias(name) for name, key in HOST_KEYS.items()],
         "s",
     )
     return rows.withColumn("event_date", F.to_date(unix_ns_to_timestamp(F.col("time_unix_ns"))))

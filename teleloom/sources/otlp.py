@@ -23,9 +23,13 @@ def is_readable() -> Column:
     return F.col(BAD_LINE).isNull() & F.col("tenant_id").isNotNull()
 
 
+def _json(reader, signal: str):
+    return reader.schema(f"{BATCHES[signal]}, {BAD_LINE} string").option("columnNameOfCorruptRecord", BAD_LINE)
+
+
 def read_batches(spark: SparkSession, path: str, signal: str) -> DataFrame:
     """JSON-lines files of one signal."""
-    return parsed(spark.read.text(path), signal)
+    return _json(spark.read, signal).json(path)
 
 
 def read_batches_parquet(spark: SparkSession, path: str, signal: str) -> DataFrame:
@@ -35,7 +39,7 @@ def read_batches_parquet(spark: SparkSession, path: str, signal: str) -> DataFra
 
 def stream_batches(spark: SparkSession, path: str, signal: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same JSON-lines files as a stream."""
-    reader = spark.readStream.format("text")
+    reader = _json(spark.readStream, signal)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return parsed(reader.load(path), signal)
+    return reader.json(path)
