@@ -17,20 +17,20 @@ def with_previous(
 ) -> DataFrame:
     """Adds a struct ``name`` with ``columns`` of the preceding row of the same key, null for the first.
 
-    Rows are windowed per (key, chunk), so one key's whole history never lands in a single task.
-    The last row of every chunk is carried to the next chunk of its key.
+    Rows are windowed per (key, chunk), so one key's whole history never lands in a single task. Only
+    the first and last row of every chunk meet their key's other chunks in a second window. Both
+    branches read the same shuffle.
     """
     keys = list(keys)
     row = F.struct(*columns)
     chunked = df.withColumn("_chunk", int_div(F.col(order), chunk_ns))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    ends = chunked.groupBy(*keys, "_chunk").agg(F.max_by(row, order).alias("_end"))
-    carried = ends.select(
-        *keys, "_chunk", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carried")
+    marked = chunked.withColumn(name, F.lag(row).over(inside)).withColumn(
+        "_last", F.lead(F.lit(1)).over(inside).isNull()
     )
-    return (
-        chunked.withColumn("_inside", F.lag(row).over(inside))
-        .join(carried, [*keys, "_chunk"], "left")
-        .withColumn(name, F.coalesce("_inside", "_carried"))
-        .drop("_chunk", "_inside", "_carried")
+    opens = F.col(name).isNull()
+    edges = marked.filter(opens | F.col("_last")).withColumn(
+        "_carried", F.lag(row).over(Window.partitionBy(*keys).orderBy(order))
     )
+    first = edges.filter(opens).withColumn(name, F.col("_carried")).drop("_carried")
+    return marked.filter(~opens).unionByName(first).drop("_chunk", "_last")

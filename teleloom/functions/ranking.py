@@ -14,11 +14,11 @@ def top_n(df: DataFrame, scope: Scope, order: Sequence[Column], n: int) -> DataF
     """The first ``n`` rows of each tenant.
 
     One tenant: a plain ordered limit. All tenants: a row-number filter, which Spark cuts to ``n``
-    rows per tenant in every task before the shuffle.
+    rows per tenant in every task before the shuffle; rows come in order within their tenant.
     """
     if scope.tenant_id is not None:
         return df.orderBy(*order).limit(n)
-    return top_n_by(df, ["tenant_id"], order, n).orderBy("tenant_id", *order)
+    return top_n_by(df, ["tenant_id"], order, n)
 
 
 def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from teleloom.functions.attributes import attribute_map
@@ -61,8 +61,8 @@ def list_logs(
         last_ns, last_ids = after
         df = df.filter((F.col(TIME) < last_ns) | ((F.col(TIME) == last_ns) & (ids < last_ids)))
     rows = top_n(df, scope, [F.col(TIME).desc(), ids.desc()], bounded(limit, 100, 1000))
-    cursors = rows.groupBy("tenant_id").agg(to_millis(F.min(TIME)).alias("next_cursor_ms"))
-    return rows.join(cursors, "tenant_id")
+    # At most the listed rows of each tenant.
+    return rows.withColumn("next_cursor_ms", to_millis(F.min(TIME).over(Window.partitionBy("tenant_id"))))
 
 
 def logs_for_trace(logs: DataFrame, tenant_id: object, trace_id: str) -> DataFrame:
