@@ -125,11 +125,11 @@ def process_cpu_topn(samples: DataFrame, top: int = TOP_PROCESSES) -> DataFrame:
     """
     snapshots = with_previous(samples.select(*HOST, TIME).distinct(), HOST, TIME, [TIME])
     snapshots = snapshots.select(*HOST, TIME, F.col(f"previous.{TIME}").alias("previous_ns"))
-    before = samples.select(*HOST, "pid", F.col(TIME).alias("previous_ns"), F.col("total_ticks").alias("previous_ticks"))
-    rows = samples.join(snapshots, [*HOST, TIME]).join(before, [*HOST, "pid", "previous_ns"], "left")
+    rows = with_previous(samples, [*HOST, "pid"], TIME, [TIME, "total_ticks"]).join(snapshots, [*HOST, TIME])
     elapsed = F.greatest(F.lit(LEAST_ELAPSED_S), (F.col(TIME) - F.col("previous_ns")) / 1e9)
-    busy = (F.col("total_ticks") - F.col("previous_ticks")) / TICKS_PER_SECOND / elapsed / F.col("logical_cores")
-    known = F.col("total_ticks") >= F.col("previous_ticks")
+    ticks = F.col("total_ticks") - F.col("previous.total_ticks")
+    busy = ticks / TICKS_PER_SECOND / elapsed / F.col("logical_cores")
+    known = (F.col(f"previous.{TIME}") == F.col("previous_ns")) & (ticks >= 0)
     rows = rows.withColumn("cpu_utilization", F.when(known, _share(busy)).otherwise(F.lit(0.0)))
     top_rows = top_n_by(rows, [*HOST, TIME], [F.col("cpu_utilization").desc(), F.col("pid")], top)
     return top_rows.select(*HOST, TIME, "pid", "cpu_utilization", "rss_pages", "thread_count")

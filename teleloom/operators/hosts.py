@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from teleloom.functions.predicates import bounded, finite_or_zero, ratio
@@ -111,9 +111,10 @@ def top_processes(
     df = Scope(tenant_id).apply(processes, TIME)
     if host is not None:
         df = df.filter(F.col("host_id") == host)
-    newest = df.groupBy(*HOST).agg(F.max(TIME).alias(TIME))
+    age = F.rank().over(Window.partitionBy(*HOST).orderBy(F.col(TIME).desc()))
+    newest = df.withColumn("_age", age).filter(F.col("_age") == 1).drop("_age")
     order = [F.col("cpu_utilization").desc(), F.col("pid"), F.col("rss_bytes").desc(), F.col("thread_count").desc()]
-    return top_n_by(df.join(newest, [*HOST, TIME]), HOST, order, bounded(limit, 50))
+    return top_n_by(newest, HOST, order, bounded(limit, 50))
 
 
 def disk_capacity_latest(disk_points: DataFrame) -> DataFrame:

@@ -119,17 +119,19 @@ def span_sample_kpis(listed: DataFrame) -> DataFrame:
 
 def volume_strip(listed: DataFrame, bins: int = 60) -> DataFrame:
     """Counts over equal-width bins between the first and last start of each tenant's spans."""
-    rows = listed.select(
-        "tenant_id", to_millis(F.col(START)).alias("ms"), flag(is_server_error()).alias("error")
+    # Spans of the same millisecond are added up before they meet their tenant's frame.
+    rows = listed.groupBy("tenant_id", to_millis(F.col(START)).alias("ms")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(flag(is_server_error())).alias("errors")
     )
-    frames = rows.groupBy("tenant_id").agg(
-        F.min("ms").alias("min_ms"), F.greatest(F.lit(1).cast("bigint"), F.max("ms") - F.min("ms")).alias("width_ms")
+    frames = listed.groupBy("tenant_id").agg(
+        to_millis(F.min(START)).alias("min_ms"),
+        F.greatest(F.lit(1).cast("bigint"), to_millis(F.max(START)) - to_millis(F.min(START))).alias("width_ms"),
     )
     spot = F.floor((F.col("ms") - F.col("min_ms")) / F.col("width_ms") * bins)
     counts = (
         rows.join(frames, "tenant_id")
         .groupBy("tenant_id", F.least(F.lit(bins - 1), spot).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("span_count"), F.sum("error").alias("error_count"))
+        .agg(F.sum("n").alias("span_count"), F.sum("errors").alias("error_count"))
     )
     grid = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["tenant_id", "bin"], "left").select(

@@ -116,6 +116,24 @@ def _(spark, sf):
     )
 
 
+@query(
+    "flatten_host_snapshots",
+    """SELECT 'host_cpu_memory' AS table_name, tenant_id, count(*) AS row_count FROM (
+         SELECT tenant_id FROM host_cpu_memory UNION ALL
+         SELECT tenant_id FROM (SELECT DISTINCT tenant_id, host_id, time_unix_ns FROM host_processes)) GROUP BY 2
+       UNION ALL SELECT 'host_disks', tenant_id, count(*) FROM host_disks GROUP BY 2
+       UNION ALL SELECT 'host_networks', tenant_id, count(*) FROM host_networks GROUP BY 2
+       UNION ALL SELECT 'host_processes', tenant_id, count(*) FROM host_processes GROUP BY 2""",
+    ["host_cpu_memory", "host_disks", "host_networks", "host_processes"],
+)
+def _(spark, sf):
+    parts = [
+        rows.groupBy(F.lit(table).alias("table_name"), "tenant_id").agg(F.count(F.lit(1)).alias("row_count"))
+        for table, rows in ingest.flatten_host_snapshots(_host_batches(spark, sf)).items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(
     "flatten_profiles",
     """SELECT tenant_id, start_time_unix_ns, duration_nanos, service_name, profile_kind, sample_count,
