@@ -39,6 +39,8 @@ def local_session(cores: int | str = "*", app: str = "teleloom", shuffle_partiti
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # No call-site capture for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in {**RUNTIME_CONF, **STREAMING_CONF}.items():

@@ -42,73 +42,55 @@ def _choose(number: Column, names: list[str]) -> Column:
     return out
 
 
+# One expression per column; ``k`` is the number in the event's properties, ``i`` the span's place.
+SPAN_COLUMNS = [
+    "CAST(event_id % 5 AS INT) AS tenant_id",
+    "lpad(string(event_id), 32, '0') AS trace_id",
+    "lpad(string(event_id * 4 + i), 16, '0') AS span_id",
+    """CASE i WHEN 0 THEN '' WHEN 2 THEN lpad(string(event_id * 4 + 1), 16, '0')
+       ELSE lpad(string(event_id * 4), 16, '0') END AS parent_span_id""",
+    "concat('svc-', string(CASE i WHEN 2 THEN (event_id + 1 + k % 3) % 5 ELSE event_id % 5 END)) AS service_name",
+    "concat('1.', string(k % 3), '.0') AS service_version",
+    """CASE i WHEN 1 THEN 'HTTP' WHEN 3 THEN if(k % 2 = 0, 'postgresql', 'redis')
+       ELSE concat('/api/', event_type) END AS span_name""",
+    "if(i IN (0, 2), 'SERVER', 'CLIENT') AS span_kind",
+    "start AS start_time_unix_ns",
+    "start + duration AS end_time_unix_ns",
+    "duration AS duration_ns",
+    "CASE WHEN NOT failed THEN 'OK' WHEN k % 3 = 0 THEN 'ERROR' ELSE 'UNSET' END AS status_code",
+    """CASE WHEN i = 3 THEN '' WHEN event_type IN ('purchase', 'signup') THEN 'POST' WHEN k % 25 = 0 THEN 'OPTIONS'
+       ELSE 'GET' END AS http_method""",
+    """CASE WHEN i = 3 THEN 0 WHEN failed THEN if(k % 2 = 0, 500, 404) WHEN k % 10 = 0 THEN 302 ELSE 200
+       END AS http_status_code""",
+    "if(i IN (0, 2), concat('/api/', event_type), '') AS http_route",
+    "if(i = 1, concat('http://api-', string(k % 4), '.example.com:8080/v1/', event_type), '') AS http_url",
+    "CASE WHEN i <> 3 THEN '' WHEN k % 2 = 0 THEN 'postgresql' ELSE 'redis' END AS db_system",
+    "if(i = 3, concat('SELECT * FROM ', event_type, ' WHERE k = ', string(k)), '') AS db_statement",
+    "if(i = 0 AND user_id % 10 <> 0, concat('user-', string(user_id)), '') AS consumer_id",
+    "array('event.type', 'k') AS attrs_keys",
+    "array(event_type, string(k)) AS attrs_values",
+    "if(failed, array('exception'), CAST(array() AS ARRAY<STRING>)) AS event_names",
+    "if(failed, array(start), CAST(array() AS ARRAY<BIGINT>)) AS event_times_unix_ns",
+    """if(failed AND i = 0, array('{"exception.type":"failure"}'), CAST(array() AS ARRAY<STRING>)) AS event_attrs_json""",
+]
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four spans per event: root server, outbound HTTP client, downstream server, database client."""
-    base = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "user_id",
         "event_type",
         "value",
-        _ns("ts").alias("t0"),
-        F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-    )
-    rows = base.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
-    i, k, event, kind = F.col("i"), F.col("k"), F.col("event_id"), F.col("event_type")
-    duration = F.round(F.col("value") * 1_000_000 / (i + 1)).cast("bigint")
-    start = F.col("t0") + i * 1_000_000
-    failed = kind == "error"
-    hexed = lambda number, width: F.lpad(number.cast("string"), width, "0")
-    method = (
-        F.when(i == 3, "")
-        .when(kind.isin("purchase", "signup"), "POST")
-        .when(k % 25 == 0, "OPTIONS")
-        .otherwise("GET")
+        "event_type = 'error' AS failed",
+        "unix_micros(CAST(ts AS TIMESTAMP)) * 1000 AS t0",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
     )
-    route = F.when(i.isin(0, 2), F.concat(F.lit("/api/"), kind)).otherwise("")
-    system = F.when(i == 3, F.when(k % 2 == 0, "postgresql").otherwise("redis")).otherwise("")
-    return rows.select(
-        (event % 5).cast("int").alias("tenant_id"),
-        hexed(event, 32).alias("trace_id"),
-        hexed(event * 4 + i, 16).alias("span_id"),
-        F.when(i == 0, "")
-        .when(i == 2, hexed(event * 4 + 1, 16))
-        .otherwise(hexed(event * 4, 16))
-        .alias("parent_span_id"),
-        F.when(i == 2, _name("svc-", (event + 1 + k % 3) % 5)).otherwise(_name("svc-", event % 5)).alias("service_name"),
-        F.concat(F.lit("1."), (k % 3).cast("string"), F.lit(".0")).alias("service_version"),
-        F.when(i.isin(0, 2), route).when(i == 1, "HTTP").otherwise(system).alias("span_name"),
-        F.when(i.isin(0, 2), "SERVER").otherwise("CLIENT").alias("span_kind"),
-        start.alias("start_time_unix_ns"),
-        (start + duration).alias("end_time_unix_ns"),
-        duration.alias("duration_ns"),
-        F.when(failed & (k % 3 == 0), "ERROR").when(failed, "UNSET").otherwise("OK").alias("status_code"),
-        method.alias("http_method"),
-        F.when(i == 3, 0)
-        .when(failed & (k % 2 == 0), 500)
-        .when(failed, 404)
-        .when(k % 10 == 0, 302)
-        .otherwise(200)
-        .alias("http_status_code"),
-        route.alias("http_route"),
-        F.when(
-            i == 1,
-            F.concat(F.lit("http://api-"), (k % 4).cast("string"), F.lit(".example.com:8080/v1/"), kind),
-        ).otherwise("").alias("http_url"),
-        system.alias("db_system"),
-        F.when(i == 3, F.concat(F.lit("SELECT * FROM "), kind, F.lit(" WHERE k = "), k.cast("string")))
-        .otherwise("")
-        .alias("db_statement"),
-        F.when((i == 0) & (F.col("user_id") % 10 != 0), _name("user-", F.col("user_id")))
-        .otherwise("")
-        .alias("consumer_id"),
-        F.array(F.lit("event.type"), F.lit("k")).alias("attrs_keys"),
-        F.array(kind, k.cast("string")).alias("attrs_values"),
-        F.when(failed, F.array(F.lit("exception"))).otherwise(F.array().cast("array<string>")).alias("event_names"),
-        F.when(failed, F.array(start)).otherwise(F.array().cast("array<bigint>")).alias("event_times_unix_ns"),
-        F.when(failed & (i == 0), F.array(F.lit('{"exception.type":"failure"}')))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("event_attrs_json"),
+    # Exploded in a step of its own, so the properties are read once per event.
+    timed = events.selectExpr("*", "explode(array(0, 1, 2, 3)) AS i").selectExpr(
+        "*", "t0 + i * 1000000 AS start", "CAST(round(value * 1000000 / (i + 1)) AS BIGINT) AS duration"
     )
+    return timed.selectExpr(*SPAN_COLUMNS)
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
