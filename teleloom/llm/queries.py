@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teleloom.llm import chat_format, exact_dedup, mixing, sql, token_counts
+from teleloom.llm import chat_format, exact_dedup, mixing, simhash_dedup, sql, token_counts
 from teleloom.llm.common import table
 
 #: File of the tokenizer that op10 counts with, if the caller names none.
@@ -24,6 +24,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.union(probe)))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_chat_format": op5_chat_format,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op10_token_counts": op10_token_counts,
