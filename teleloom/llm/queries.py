@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from teleloom.llm import chat_format, exact_dedup, mixing, simhash_dedup, sql, token_counts
+from teleloom.llm import chat_format, exact_dedup, language_id, mixing, quality, simhash_dedup, sql, token_counts
 from teleloom.llm.common import table
 
 #: File of the tokenizer that op10 counts with, if the caller names none.
@@ -17,6 +18,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def fold(key: str, folds: int) -> Column:
+    """The fold of a row, from the checksum of its key's text."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, docs.where(fold("doc_id", 3) != 1))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Attention | None:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold("doc_id", 4) != 2))
+    return quality.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -41,6 +64,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
