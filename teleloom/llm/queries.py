@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teleloom.llm import chat_format, exact_dedup, language_id, mixing, phrase_dedup, quality, simhash_dedup, sql, token_counts
+from teleloom.llm import chat_format, decontamination, exact_dedup, language_id, mixing, phrase_dedup, quality, simhash_dedup, sql, token_counts
 from teleloom.llm.common import table
 
 #: File of the tokenizer that op10 counts with, if the caller names none.
@@ -23,6 +23,10 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = phrase_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -69,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_phrase_dedup": op2_phrase_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,

@@ -50,3 +50,27 @@ drawn as (
 copies as (select * exclude (n), unnest(range(1, n + 1))::int as copy from drawn where n > 0)
 select *, substr(sha256('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || copy), 1, 16) as shuffle_key from copies
 """
+
+ORACLES["op1_decontamination"] = rf"""
+with dw as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANKS}'), lambda x: x <> '') as w from documents),
+iw as (
+  select item_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANKS}'), lambda x: x <> '') as w from benchmark),
+items as (select item_id, w, len(w) as n_words, least(5, len(w)) as width from iw where len(w) > 0),
+ish as (
+  select item_id, n_words, width, n_words - width + 1 as n, array_to_string(w[i:i + width - 1], ' ') as s, count(*) as c
+  from (select *, unnest(range(1, n_words - width + 2)) as i from items) group by all),
+dsh as (
+  select doc_id, width, i - 1 as pos, len(w) as m, array_to_string(w[i:i + width - 1], ' ') as s
+  from (select *, unnest(range(1, len(w) - width + 2)) as i from dw, (select distinct width from items))),
+hits as (
+  select doc_id, item_id, n, c, s, least(n_words, m) - width + 1 as n_win,
+    unnest(range(greatest(0, pos - n + 1), least(pos, greatest(0, m - n_words)) + 1)) as start
+  from dsh join ish using (width, s)),
+shared as (
+  select doc_id, item_id, start, n, n_win, sum(least(k, c)) as inter
+  from (select doc_id, item_id, start, n, n_win, s, c, count(*) as k from hits group by all) group by all),
+scored as (select *, inter::double / (n + n_win - inter)::double as similarity from shared)
+select doc_id, item_id, max(similarity) as similarity, cast(arg_min(start, (-similarity, start)) as bigint) as first_word
+from scored where similarity >= 0.8 group by doc_id, item_id
+"""
