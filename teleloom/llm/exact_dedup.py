@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teleloom.llm.common import BLANKS, kept
+from teleloom.llm.common import BLANKS, broadcast_if_small, kept
 
 #: Runs at the leaves and runs that one merge takes; a digest has at most one row in each run.
 RUNS = 256
@@ -80,5 +80,5 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns."""
-    stay = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias("_stay")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(stay["_stay"]), "left_semi")
+    gone = kept(exact_duplicates(docs, text, key).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct())
+    return docs.join(broadcast_if_small(gone, 16), docs[key] == gone["_gone"], "left_anti")

@@ -171,15 +171,23 @@ def score_quality(
     """
     small_batches(docs.sparkSession)
     columns = columns or [key]
-    rows = docs.select(*columns, F.col(text).alias("_scored"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
+    read = columns if text in columns else [*columns, text]
+    rows = docs.select(*read)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(columns)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in sized(batches, batch_text):
+        for batch, values in sized(batches, read.index(text)):
             scores = np.ones(len(values)) if model is None else model.score(values).astype(np.float64)
-            own = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.clip(scores, 0, 1))], [*columns, "score"])
+            own = batch.columns[: len(columns)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.clip(scores, 0, 1), pa.float64())], [*columns, "score"])
 
-    batch_text = len(columns)
     scored = rows.mapInArrow(run, ", ".join([*kinds, "score double"]))
     return scored.withColumn("predicted", (F.col("score") >= keep_score).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Attention | None, text: str = "text", keep_score: float = KEEP_SCORE) -> DataFrame:
+    """The rows that the verdict keeps, with all their columns, under the names they had."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at = inner[docs.columns.index(text)]
+    scored = score_quality(docs.toDF(*inner), model, at, keep_score=keep_score, columns=inner)
+    return scored.where("predicted = 1").select(*inner).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teleloom.llm import chat_format, decontamination, exact_dedup, language_id, mixing, phrase_dedup, quality, simhash_dedup, sql, token_counts
+from teleloom.llm import chat_format, decontamination, exact_dedup, language_id, mixing, phrase_dedup, quality, secret_scan, simhash_dedup, sql, token_counts
 from teleloom.llm.common import table
 
 #: File of the tokenizer that op10 counts with, if the caller names none.
@@ -68,6 +68,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = sql.ORACLES
