@@ -1,14 +1,15 @@
 """Grouped summaries with exact quantiles that stay bounded for very large groups.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is fine for inputs of a
-checked small size. Beyond it the summary runs in two passes:
+``percentile`` keeps every distinct value of a group in one buffer. Here no task holds more than a slice of
+a group, at any size of the input:
 
-1. count values per (key, magnitude slice); the slices split a hot key over many reducers and every
-   other measure is pre-aggregated with them. Running totals over the slices tell which slices
-   hold the wanted ranks;
-2. read again only the values inside those few slices and pick the values at the wanted ranks.
+1. rows are counted per (key, magnitude slice, value), with every other measure added up alongside. This is
+   the only pass over the input; the slices split a hot key over many reducers;
+2. running totals over the slices of a key tell which slices hold the wanted ranks;
+3. only the values of these slices are ordered, each slice by itself, and the values at the ranks taken.
 
-Both give the same linear-interpolated quantiles.
+Steps 2 and 3 read the same exchange of step 1: both need all its columns, the measures of the chosen slices
+being added in step 3 and those of the others in step 2. Quantiles are linear-interpolated.
 """
 
 from __future__ import annotations
@@ -20,12 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from teleloom.functions.predicates import finite_or_zero
-from teleloom.session import ensure_checkpoint_dir
 
-# Inputs the optimizer sizes below this may use the one-buffer aggregate.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-# Rank slices are broadcast only up to this many rows (each row: keys plus a few numbers).
-BROADCAST_ROWS = 200_000
 # Slices per factor e of magnitude: about 0.1 % wide.
 SLICES_PER_E = 1024
 
@@ -53,11 +49,6 @@ def smallest(value: Column) -> Measure:
     return value, "min"
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 @dataclass(frozen=True)
 class Span:
     """Rows that count for every step ``low``..``high`` of a numbered series, e.g. rolling windows."""
@@ -75,52 +66,44 @@ def summarize(
     quantiles: Mapping[str, float],
     scale: float = 1.0,
     span: Span | None = None,
-    input_bytes: int | None = None,
 ) -> DataFrame:
     """One row per key: merged measures, then quantiles of ``value`` divided by ``scale``.
 
     A quantile of no values is 0. With ``span`` the result also has one row per step; rows sharing
-    the same steps are added up before they are repeated for each step. ``input_bytes`` replaces the
-    optimizer's size estimate where the caller knows a better bound.
+    the same steps and value are added up before they are repeated for each step.
     """
-    rows = df.select(
+    keys = list(keys)
+    counted = df.select(
         *keys,
         *([span.low.alias("_low"), span.high.alias("_high")] if span else []),
         value.alias("_value"),
+        F.when(value.isNotNull(), 1).otherwise(0).cast("bigint").alias("_n"),
         *[expr.alias(name) for name, (expr, _) in measures.items()],
-    )
-    size = planned_bytes(rows) if input_bytes is None else input_bytes
-    build = _summarize_small if size <= SMALL_INPUT_BYTES else _summarize_ranked
-    out = build(rows, list(keys), measures, quantiles, span.name if span else None)
-    return out.select(
-        *keys,
-        *([span.name] if span else []),
-        *measures,
-        *[finite_or_zero(F.col(name) / scale).alias(name) for name in quantiles],
-    )
+    ).withColumn("_slice", magnitude_slice(F.col("_value")))
+    merged = _merged(measures)
+    if span:
+        counted = counted.groupBy(*keys, "_low", "_high", "_slice", "_value").agg(F.sum("_n").alias("_n"), *merged)
+        counted = counted.withColumn(span.name, F.explode(F.sequence("_low", "_high")))
+        keys = [*keys, span.name]
+    counted = counted.groupBy(*keys, "_slice", "_value").agg(F.sum("_n").alias("_n"), *merged)
+
+    positions = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in quantiles.items()}
+    chosen = _slices_with_ranks(counted, keys, measures, list(positions.values()))
+    picked = _values_at_ranks(counted, chosen, keys, measures, list(positions.values()))
+
+    out = []
+    for i, (name, p) in enumerate(positions.items()):
+        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        out.append(finite_or_zero((low + (high - low) * (p - F.floor(p))) / scale).alias(name))
+    return picked.select(*keys, *measures, *out)
 
 
 def _merged(measures: Mapping[str, Measure]) -> list[Column]:
     return [_MERGE[kind](name).alias(name) for name, (_, kind) in measures.items()]
 
 
-def _per_step(df: DataFrame, step: str) -> DataFrame:
-    return df.withColumn(step, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-
-
-def _summarize_small(rows, keys, measures, quantiles, step) -> DataFrame:
-    probs = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-    picked = F.percentile("_value", probs)
-    if step:
-        alike = rows.groupBy(*keys, "_low", "_high", "_value").agg(
-            F.count(F.lit(1)).alias("_n"), *_merged(measures)
-        )
-        rows, keys = _per_step(alike, step), [*keys, step]
-        picked = F.percentile("_value", probs, F.col("_n"))
-    grouped = rows.groupBy(*keys).agg(*_merged(measures), picked.alias("_q"))
-    return grouped.select(
-        *keys, *measures, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(quantiles)]
-    )
+def _rest(name: str) -> str:
+    return f"_rest_{name}"
 
 
 def magnitude_slice(value: Column) -> Column:
@@ -129,74 +112,71 @@ def magnitude_slice(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * SLICES_PER_E).cast("bigint")
 
 
-def _bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Mark a materialized table for broadcast if it is small enough, else leave the join to Spark."""
-    small = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if small else df
-
-
 def _holds(rank: Column, start: Column, count: Column) -> Column:
     return (rank >= start) & (rank < start + count)
 
 
-def _summarize_ranked(rows, keys, measures, quantiles, step) -> DataFrame:
-    rows = rows.withColumn("_slice", magnitude_slice(F.col("_value")))
-    alike = [*keys, "_low", "_high"] if step else list(keys)
-    counted = rows.groupBy(*alike, "_slice").agg(F.count("_value").alias("_n"), *_merged(measures))
-    out_keys = list(keys)
-    if step:
-        out_keys = [*keys, step]
-        counted = _per_step(counted, step).groupBy(*out_keys, "_slice").agg(F.sum("_n").alias("_n"), *_merged(measures))
+def _slices_with_ranks(counted: DataFrame, keys: list[str], measures: Mapping[str, Measure], positions: list[Column]) -> DataFrame:
+    """(keys, _total, measures of the slices left out, _slice, _before): the slices that hold a wanted rank.
 
-    # Pass 1: running totals over the slices of each key (a bounded number of rows per key).
-    by_key = Window.partitionBy(*out_keys)
+    Every key has one slice at least, if need be the one of its missing values.
+    """
+    slices = counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"), *_merged(measures))
+    by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = counted.select(
-        *out_keys,
-        "_slice",
-        "_n",
-        (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(by_key).alias("_total"),
-        F.row_number().over(by_key.orderBy("_slice")).alias("_pos"),
-        *[_MERGE[kind](name).over(by_key).alias(name) for name, (_, kind) in measures.items()],
-    )
-
-    # Ranks on either side of each quantile position, 0-based.
-    position = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in quantiles.items()}
-    has_rank = F.lit(False)
-    for p in position.values():
+    slices = slices.withColumn("_before", F.sum("_n").over(running) - F.col("_n")).withColumn("_total", F.sum("_n").over(by_key))
+    hit = F.col("_total") == 0
+    for p in positions:
         for rank in (F.floor(p), F.ceil(p)):
-            has_rank = has_rank | _holds(rank, F.col("_before"), F.col("_n"))
-    ensure_checkpoint_dir(rows.sparkSession)
-    chosen = (
-        slices.withColumn("_hit", has_rank).filter(F.col("_hit") | (F.col("_pos") == 1)).checkpoint(eager=True)
+            hit = hit | _holds(rank, F.col("_before"), F.col("_n"))
+    slices = slices.withColumn("_hit", hit)
+    left_out = [_MERGE[kind](F.when(~F.col("_hit"), F.col(name))).alias(_rest(name)) for name, (_, kind) in measures.items()]
+    by_hit = slices.groupBy(*keys).agg(
+        F.max("_total").alias("_total"),
+        *left_out,
+        # Two slices for each quantile at most.
+        F.collect_list(F.when(F.col("_hit"), F.struct("_slice", "_before"))).alias("_hits"),
     )
+    names = [_rest(name) for name in measures]
+    return by_hit.select(*keys, "_total", *names, F.inline("_hits"))
 
-    # Pass 2: only the values inside the chosen slices.
-    hits = chosen.filter("_hit").select(*out_keys, "_slice", "_before", "_total")
-    needed = rows.select(*alike, "_slice", "_value")
-    if step:
-        needed = needed.join(_bounded_broadcast(hits.select(*keys, "_slice").distinct()), [*keys, "_slice"], "left_semi")
-    else:
-        needed = needed.join(_bounded_broadcast(hits), [*keys, "_slice"])
-    carried = [] if step else ["_before", "_total"]
-    values = needed.groupBy(*alike, "_slice", *carried, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    if step:
-        values = _per_step(values, step).groupBy(*out_keys, "_slice", "_value").agg(F.sum("_n").alias("_n"))
-        values = values.join(_bounded_broadcast(hits), [*out_keys, "_slice"])
-    in_slice = Window.partitionBy(*out_keys, "_slice").orderBy("_value")
+
+def _values_at_ranks(
+    counted: DataFrame, chosen: DataFrame, keys: list[str], measures: Mapping[str, Measure], positions: list[Column]
+) -> DataFrame:
+    """(keys, _total, measures, _lo0, _hi0, ...): all measures and the values around each position."""
+    right = chosen.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_slice"]], "_total", "_before", *[_rest(m) for m in measures])
+    # Null-safe: keys may be null, and nothing is inferred about them that would set the two readers of the
+    # counts apart.
+    same = F.lit(True)
+    for k in [*keys, "_slice"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    values = counted.join(right, same)
+    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_value")
     up_to = F.sum("_n").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = values.withColumn("_start", F.col("_before") + up_to - F.col("_n"))
+    values = values.withColumn("_start", F.col("_before") + up_to - F.col("_n"))
     picks = []
-    for i, p in enumerate(position.values()):
+    for i, p in enumerate(positions):
         for side, rank in (("lo", F.floor(p)), ("hi", F.ceil(p))):
-            at_rank = F.when(_holds(rank, F.col("_start"), F.col("_n")), F.col("_value"))
-            picks.append(F.max(at_rank).alias(f"_{side}{i}"))
-    picked = ranked.groupBy(*out_keys).agg(*picks)
-
-    heads = chosen.filter(F.col("_pos") == 1).select(*out_keys, "_total", *measures)
-    result = []
-    for i, (name, p) in enumerate(position.items()):
-        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        result.append((low + (high - low) * (p - F.floor(p))).alias(name))
-    return heads.join(picked, out_keys, "left").select(*out_keys, *measures, *result)
+            picks.append(F.max(F.when(_holds(rank, F.col("_start"), F.col("_n")), F.col("_value"))).alias(f"_{side}{i}"))
+    rest = [F.max(_rest(name)).alias(_rest(name)) for name in measures]
+    found = values.groupBy(*keys).agg(F.max("_total").alias("_total"), *rest, *_merged(measures), *picks)
+    whole = []
+    for name, (_, kind) in measures.items():
+        own, other = F.col(name), F.col(_rest(name))
+        if kind == "sum":
+            both = F.coalesce(own + other, own, other)
+        else:
+            both = {"max": F.greatest, "min": F.least}[kind](own, other)
+        whole.append(both.alias(name))
+    sides = [f"_{side}{i}" for i in range(len(positions)) for side in ("lo", "hi")]
+    return found.select(*keys, "_total", *whole, *sides)
+
+
+def joined_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null; a summary on either side still reads its input once."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])

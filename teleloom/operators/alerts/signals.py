@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleloom.functions.predicates import finite_or_zero, flag, is_server_error, is_server_span, ratio
-from teleloom.functions.quantiles import Span, planned_bytes, summarize
+from teleloom.functions.quantiles import Span, summarize
 from teleloom.operators.alerts.rules import (
     LATENCY_SIGNALS,
     LEAST_EVALUATED_WINDOW_S,
@@ -26,8 +26,6 @@ from teleloom.operators.alerts.rules import (
 
 NS = 1_000_000_000
 MS = 1_000_000.0
-# Rules are broadcast up to this many; beyond it the join is left to Spark.
-BROADCAST_RULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -74,12 +72,6 @@ def live_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(rules: DataFrame) -> tuple[DataFrame, int]:
-    """Rules marked for broadcast when their counted number allows it, and that number (cut off)."""
-    number = rules.limit(BROADCAST_RULES + 1).count()
-    return (F.broadcast(rules) if number <= BROADCAST_RULES else rules), number
-
-
 def _matched(facts: DataFrame, time_col: str, watching: DataFrame, ticks: Ticks) -> DataFrame:
     """Facts joined to the rules watching them, with the run of ticks they count for."""
     rows = ticks.cut(facts, time_col).join(watching, "tenant_id")
@@ -110,7 +102,6 @@ def signal_latency(rules: DataFrame, spans: DataFrame, ticks: Ticks) -> DataFram
     """p50/p90/p99 of server spans in ms."""
     wanted = live_rules(rules).filter(F.col("signal_type").isin(list(LATENCY_SIGNALS)))
     facts = spans.filter(is_server_span()).select("tenant_id", "service_name", "start_time_unix_ns", "duration_ns")
-    wanted, number = _bounded(wanted)
     rows = _matched(facts, "start_time_unix_ns", wanted, ticks)
     summary = summarize(
         rows,
@@ -120,8 +111,6 @@ def signal_latency(rules: DataFrame, spans: DataFrame, ticks: Ticks) -> DataFram
         LATENCY_SIGNALS,
         scale=MS,
         span=Span("_step", F.col("_low"), F.col("_high")),
-        # A fact matches each rule at most once.
-        input_bytes=planned_bytes(facts) * max(1, number),
     )
     value = F.lit(None).cast("double")
     for name in LATENCY_SIGNALS:
@@ -134,7 +123,7 @@ def _span_counts(rules: DataFrame, spans: DataFrame, ticks: Ticks, signals: list
     facts = spans.filter(is_server_span()).select(
         "tenant_id", "service_name", "start_time_unix_ns", flag(is_server_error()).alias("_error")
     )
-    rows = _matched(facts, "start_time_unix_ns", _bounded(wanted)[0], ticks)
+    rows = _matched(facts, "start_time_unix_ns", wanted, ticks)
     return _rolled(rows, {"n": (F.lit(1).cast("bigint"), "sum"), "errors": (F.col("_error"), "sum")})
 
 
@@ -161,7 +150,7 @@ def signal_log_count(rules: DataFrame, logs: DataFrame, ticks: Ticks) -> DataFra
     wanted = live_rules(rules).filter(F.col("signal_type") == "log_count")
     wanted = wanted.withColumn("_floor", severity_floor(F.col("signal_param")))
     facts = logs.select("tenant_id", "service_name", "time_unix_ns", "severity_number")
-    rows = _matched(facts, "time_unix_ns", _bounded(wanted)[0], ticks)
+    rows = _matched(facts, "time_unix_ns", wanted, ticks)
     rows = rows.filter(F.col("severity_number") >= F.col("_floor"))
     return _observed(_rolled(rows, {"n": (F.lit(1).cast("bigint"), "sum")}), ticks, F.col("n"))
 
@@ -171,7 +160,7 @@ def signal_metric(rules: DataFrame, points: DataFrame, ticks: Ticks) -> DataFram
     wanted = live_rules(rules).filter(F.col("signal_type").isin(METRIC_SIGNALS))
     value = F.coalesce("value_double", F.col("value_int").cast("double"), "histogram_sum")
     facts = points.select("tenant_id", "service_name", "time_unix_ns", "metric_name", value.alias("_value"))
-    rows = _matched(facts, "time_unix_ns", _bounded(wanted)[0], ticks)
+    rows = _matched(facts, "time_unix_ns", wanted, ticks)
     rows = rows.filter(F.col("metric_name") == F.col("signal_param"))
     sums = _rolled(
         rows,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from teleloom.functions.predicates import ANONYMOUS, bounded, display_consumer, ratio, stored_consumer
 from teleloom.functions.ranking import top_n, top_n_by
 from teleloom.functions.timing import bucket_start, int_div
-from teleloom.operators.rollups import CONSUMER_HOURLY, STATUS_HOURLY, latency_ms, merge, merge_columns, sum_where
+from teleloom.operators.rollups import CONSUMER_HOURLY, MAX, MIN, STATUS_HOURLY, SUM, latency_ms, merge
 from teleloom.scope import Scope
 
 HOUR_S = 3600
@@ -40,16 +40,14 @@ def list_consumers(
     states: DataFrame, scope: Scope = Scope(), service: str | None = None, limit: int = 100
 ) -> DataFrame:
     """Most active consumers with volume, errors, latency, routes used and hours seen."""
-    grouped = (
-        _consumer_states(states, scope, None, service)
-        .groupBy("tenant_id", "consumer_id")
-        .agg(
-            *merge_columns(CONSUMER_HOURLY),
-            F.count_distinct("http_route").alias("distinct_routes"),
-            F.min("bucket_s").alias("first_seen_s"),
-            F.max("bucket_s").alias("last_seen_s"),
-        )
-    )
+    keys = ["tenant_id", "consumer_id"]
+    seen = [("first_seen_s", MIN), ("last_seen_s", MAX)]
+    df = _consumer_states(states, scope, None, service)
+    df = df.withColumn("first_seen_s", F.col("bucket_s")).withColumn("last_seen_s", F.col("bucket_s"))
+    # Merged by route first: a consumer's routes are then its rows.
+    by_route = merge(CONSUMER_HOURLY, df, [*keys, "http_route"], seen)
+    by_route = by_route.withColumn("distinct_routes", F.when(F.col("http_route").isNotNull(), 1).otherwise(0).cast("bigint"))
+    grouped = merge(CONSUMER_HOURLY, by_route, keys, [*seen, ("distinct_routes", SUM)])
     top = top_n(grouped, scope, [F.col("request_count").desc(), F.col("consumer_id")], bounded(limit, 100))
     return top.select(
         "tenant_id",
@@ -115,17 +113,18 @@ def consumer_routes_sparkline(
     hours = max(1, math.ceil(scope.seconds_long / HOUR_S))
     first_hour = scope.start_s // HOUR_S * HOUR_S
     keys = ["tenant_id", "consumer_id", *ROUTE]
-    hourly = merge(CONSUMER_HOURLY, _consumer_states(states, scope, consumer), [*keys, "bucket_s"])
+    df = _consumer_states(states, scope, consumer)
     slot = int_div(F.col("bucket_s") - first_hour, HOUR_S).cast("int")
-    per_route = hourly.groupBy(*keys).agg(
-        *merge_columns(CONSUMER_HOURLY),
-        F.map_from_entries(F.collect_list(F.struct(slot.alias("slot"), F.col("request_count")))).alias("_by_hour"),
-    )
+    # Hours of the busiest routes only; the range bounds their number.
+    busiest = _busiest_routes(merge(CONSUMER_HOURLY, df, keys), limit)
+    hourly = df.groupBy(*keys, slot.alias("slot")).agg(F.sum("request_count").alias("n")).groupBy(*keys)
+    by_hour = hourly.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_by_hour"))
+    per_route = busiest.join(by_hour, keys)
     spark_line = F.transform(
         F.sequence(F.lit(0), F.lit(hours - 1)),
         lambda i: F.coalesce(F.try_element_at(F.col("_by_hour"), i), F.lit(0).cast("bigint")),
     )
-    return _busiest_routes(per_route, limit).select(
+    return per_route.select(
         "tenant_id",
         display_consumer(F.col("consumer_id")).alias("consumer_id"),
         *ROUTE,
@@ -148,17 +147,16 @@ def route_status_breakdown(
     if service is not None:
         df = df.filter(F.col("service_name") == service)
     code = F.col("http_status_code")
-    grouped = (
-        df.groupBy("tenant_id", *ROUTE)
-        .agg(
-            *merge_columns(STATUS_HOURLY),
-            sum_where("request_count", code.between(200, 299)).alias("status_2xx"),
-            sum_where("request_count", code.between(300, 399)).alias("status_3xx"),
-            sum_where("request_count", code.between(400, 499)).alias("status_4xx"),
-            sum_where("request_count", code >= 500).alias("status_5xx"),
-        )
-        .filter(F.col("request_count") > 0)
-    )
+    classes = {
+        "status_2xx": code.between(200, 299),
+        "status_3xx": code.between(300, 399),
+        "status_4xx": code.between(400, 499),
+        "status_5xx": code >= 500,
+    }
+    for name, inside in classes.items():
+        df = df.withColumn(name, F.when(inside, F.col("request_count")).otherwise(F.lit(0).cast("bigint")))
+    grouped = merge(STATUS_HOURLY, df, ["tenant_id", *ROUTE], [(name, SUM) for name in classes])
+    grouped = grouped.filter(F.col("request_count") > 0)
     failed = F.col("status_4xx") + F.col("status_5xx")
     order = [failed.desc(), F.col("request_count").desc(), *[F.col(c) for c in ROUTE]]
     return top_n(grouped, scope, order, bounded(limit, 50)).select(

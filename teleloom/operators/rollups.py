@@ -2,7 +2,8 @@
 
 A rollup is described once (``Rollup``) and used three ways: ``partials`` turns raw rows into state
 rows (batch, or one micro-batch of a stream), ``merge`` combines state rows on all or fewer keys, and
-readers turn merged states into values. Latency states are KLL sketches.
+readers turn merged states into values. A latency state counts the values of each magnitude slice: counts
+add up, so that a state is the same for any order of merges, on every run and at any size.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from teleloom.functions.predicates import flag, is_error_status, is_server_span
 from teleloom.functions.timing import bucket_seconds, bucket_start
 from teleloom.scope import Scope
 
-# Rank error well below 0.1 % for p50/p90/p99; exact up to this many values.
-SKETCH_K = 3200
+# Slices per factor e of magnitude. A quantile's rank is exact, its value the middle of its slice: at most
+# 0.4 % off, or half a nanosecond. All values of 64 bits lie in 5,700 slices, which bounds a state.
+SLICES_PER_E = 128
 MS = 1_000_000.0
 
-SUM, MAX, MIN, LAST, SKETCH = "sum", "max", "min", "last", "sketch"
+SUM, MAX, MIN, LAST, COUNTS = "sum", "max", "min", "last", "counts"
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ SPANS_MINUTELY = Rollup(
     (
         ("request_count", SUM, _one),
         ("error_count", SUM, lambda: flag(is_error_status())),
-        ("latency_sketch", SKETCH, _latency),
+        ("latency_counts", COUNTS, _latency),
     ),
 )
 
@@ -80,7 +82,7 @@ CONSUMER_HOURLY = Rollup(
         ("error_count", SUM, lambda: flag(is_error_status())),
         ("client_error_count", SUM, lambda: flag(F.col("http_status_code").between(400, 499))),
         ("server_error_count", SUM, lambda: flag(F.col("http_status_code") >= 500)),
-        ("latency_sketch", SKETCH, _latency),
+        ("latency_counts", COUNTS, _latency),
         ("bytes_in", SUM, _zero),
         ("bytes_out", SUM, _zero),
     ),
@@ -92,7 +94,7 @@ STATUS_HOURLY = Rollup(
     3600,
     "start_time_unix_ns",
     ("service_name", "http_route", "http_status_code"),
-    (("request_count", SUM, _one), ("latency_sketch", SKETCH, _latency)),
+    (("request_count", SUM, _one), ("latency_counts", COUNTS, _latency)),
     where=lambda: is_server_span() & (F.col("http_status_code") > 0),
 )
 
@@ -131,57 +133,95 @@ def prepared(rollup: Rollup, facts: DataFrame) -> DataFrame:
     return facts.withColumn("bucket_s", bucket_seconds(F.col(rollup.time_col), rollup.bucket_width_s))
 
 
-def state_columns(rollup: Rollup) -> list[Column]:
-    """Aggregates turning raw rows into states."""
-    out = []
-    for name, kind, expr in rollup.measures:
-        if kind == SKETCH:
-            out.append(F.kll_sketch_agg_bigint(expr(), SKETCH_K).alias(name))
-        elif kind == LAST:
-            newest = F.struct(F.col(rollup.time_col).alias("ts"), expr().alias("value"))
-            out.append(F.max(newest).alias(name))
-        else:
-            out.append(getattr(F, kind)(expr()).alias(name))
-    return out
-
-
-def merge_columns(rollup: Rollup) -> list[Column]:
-    """Aggregates combining states."""
-    out = []
-    for name, kind, _ in rollup.measures:
-        if kind == SKETCH:
-            out.append(F.kll_merge_agg_bigint(name, SKETCH_K).alias(name))
-        elif kind == LAST:
-            out.append(F.max(name).alias(name))
-        else:
-            out.append(getattr(F, kind)(name).alias(name))
-    return out
+def latency_slice(value: Column) -> Column:
+    """The magnitude slice of a value; slices are ordered as the values are."""
+    return F.floor(F.signum(value.cast("double")) * F.log1p(F.abs(value).cast("double")) * SLICES_PER_E).cast("int")
 
 
-def partials(rollup: Rollup, facts: DataFrame) -> DataFrame:
-    """State rows of a batch of raw rows at the rollup's grain."""
-    return prepared(rollup, facts).groupBy(*rollup.grain).agg(*state_columns(rollup))
+def slice_value(number: Column) -> Column:
+    """The whole number in the middle of a slice."""
+    middle = (number + 0.5) / SLICES_PER_E
+    return (F.signum(middle) * F.floor(F.exp(F.abs(middle)) - 0.5)).cast("bigint")
 
 
-def merge(rollup: Rollup, states: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Combine state rows on ``keys`` (default: the full grain, i.e. compaction)."""
-    return states.groupBy(*(rollup.grain if keys is None else keys)).agg(*merge_columns(rollup))
+_MERGE = {SUM: F.sum, MAX: F.max, MIN: F.min, LAST: F.max}
 
 
-def sum_where(measure: str, condition: Column) -> Column:
-    """Aggregate: a summed state over the rows meeting a condition."""
-    return F.sum(F.when(condition, F.col(measure)).otherwise(_zero()))
+def _counts_of(rollup: Rollup) -> str | None:
+    """Name of the rollup's latency state, if it has one."""
+    return next((name for name, kind, _ in rollup.measures if kind == COUNTS), None)
 
 
-def latency_ms(names_to_ranks: dict[str, float], sketch: str = "latency_sketch") -> list[Column]:
-    """Milliseconds at the given ranks of a merged sketch; 0 without values."""
-    ranks = F.array(*[F.lit(float(rank)) for rank in names_to_ranks.values()])
-    values = F.when(
-        F.kll_sketch_get_n_bigint(sketch) > 0, F.kll_sketch_get_quantile_bigint(sketch, ranks)
-    )
-    return [
-        F.coalesce(F.get(values, F.lit(i)) / MS, F.lit(0.0)).alias(name) for i, name in enumerate(names_to_ranks)
-    ]
+def _plain(rollup: Rollup) -> list[tuple[str, str]]:
+    return [(name, kind) for name, kind, _ in rollup.measures if kind != COUNTS]
+
+
+def _gathered(sliced: DataFrame, rollup: Rollup, keys: Sequence[str], others: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per key from rows per (key, ``_slice``): the slices' counts become a map."""
+    slices = F.collect_list(F.when(F.col("_slice").isNotNull(), F.struct("_slice", "_n")))
+    found = sliced.groupBy(*keys).agg(*[_MERGE[kind](name).alias(name) for name, kind in others], slices.alias("_slices"))
+    order = [name for name, _, _ in rollup.measures] + [name for name, _ in others if name not in {m[0] for m in rollup.measures}]
+    return found.withColumn(_counts_of(rollup), F.map_from_entries("_slices")).select(*keys, *order)
+
+
+def partials(rollup: Rollup, facts: DataFrame) -> DataFrame:
+    """State rows of a batch of raw rows at the rollup's grain."""
+    rows = prepared(rollup, facts)
+    states = []
+    for name, kind, expr in rollup.measures:
+        if kind == LAST:
+            states.append(F.max(F.struct(F.col(rollup.time_col).alias("ts"), expr().alias("value"))).alias(name))
+        elif kind != COUNTS:
+            states.append(_MERGE[kind](expr()).alias(name))
+    if _counts_of(rollup) is None:
+        return rows.groupBy(*rollup.grain).agg(*states)
+    value = next(expr for _, kind, expr in rollup.measures if kind == COUNTS)
+    sliced = rows.withColumn("_slice", latency_slice(value())).groupBy(*rollup.grain, "_slice")
+    return _gathered(sliced.agg(F.count(F.lit(1)).alias("_n"), *states), rollup, rollup.grain, _plain(rollup))
+
+
+def merge(
+    rollup: Rollup,
+    states: DataFrame,
+    keys: Sequence[str] | None = None,
+    extra: Sequence[tuple[str, str]] = (),
+) -> DataFrame:
+    """Combine state rows on ``keys`` (default: the full grain, i.e. compaction).
+
+    ``extra`` names further columns of the states with the kind they are merged by.
+    """
+    keys = rollup.grain if keys is None else list(keys)
+    others = [*_plain(rollup), *extra]
+    counts = _counts_of(rollup)
+    if counts is None:
+        return states.groupBy(*keys).agg(*[_MERGE[kind](name).alias(name) for name, kind in others])
+    # A state row becomes a row for each slice, and one with its other measures; both are summed by slice
+    # within the map tasks, so that a busy key is spread over its slices.
+    none = F.struct(F.lit(None).cast("int").alias("key"), F.lit(None).cast("bigint").alias("value"))
+    each = states.select("*", F.explode(F.concat(F.array(none), F.map_entries(counts))).alias("_e"))
+    own = [F.when(F.col("_e.key").isNull(), F.col(name)).alias(name) for name, _ in others]
+    each = each.select(*keys, F.col("_e.key").alias("_slice"), F.col("_e.value").alias("_n"), *own)
+    sliced = each.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"), *[_MERGE[kind](name).alias(name) for name, kind in others])
+    return _gathered(sliced, rollup, keys, others)
+
+
+def latency_ms(names_to_ranks: dict[str, float], counts: str = "latency_counts") -> list[Column]:
+    """Milliseconds at the given ranks (nearest rank) of a latency state; 0 without values."""
+    entries = F.array_sort(F.map_entries(counts))
+    total = F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+    def at(rank: float) -> Column:
+        wanted = F.greatest(F.lit(1).cast("bigint"), total - F.floor(total - total * F.lit(float(rank))))
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("slice"))
+
+        def step(state: Column, entry: Column) -> Column:
+            seen = state["seen"] + entry["value"]
+            reached = F.when(state["slice"].isNull() & (seen >= wanted), entry["key"]).otherwise(state["slice"])
+            return F.struct(seen.alias("seen"), reached.alias("slice"))
+
+        return slice_value(F.aggregate(entries, start, step)["slice"]) / MS
+
+    return [F.coalesce(at(rank), F.lit(0.0)).alias(name) for name, rank in names_to_ranks.items()]
 
 
 def latency_from_minutely(

@@ -20,7 +20,7 @@ from teleloom.functions.predicates import (
     ratio,
     stored_consumer,
 )
-from teleloom.functions.quantiles import count_all, count_where, largest, summarize, total
+from teleloom.functions.quantiles import count_all, count_where, joined_null_safe, largest, summarize, total
 from teleloom.functions.ranking import top_n
 from teleloom.functions.timing import bucket_seconds, int_div, to_millis, to_seconds
 from teleloom.scope import Scope
@@ -226,7 +226,7 @@ def overview(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
         .agg(F.count("one").alias("services"))
     )
     return (
-        summary.join(services, "tenant_id")
+        joined_null_safe(summary, services, ["tenant_id"])
         .withColumn("error_rate", ratio(F.col("error_spans"), F.col("total_spans")))
         .orderBy("tenant_id")
     )
@@ -312,7 +312,7 @@ def database_overview(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
         .agg(F.count("one").alias("distinct_systems"))
     )
     return (
-        summary.join(systems, "tenant_id")
+        joined_null_safe(summary, systems, ["tenant_id"])
         .withColumn("error_rate", ratio(F.col("error_queries"), F.col("total_queries")))
         .withColumn("total_db_ms", F.col("_total_ns") / MS)
         .drop("_total_ns")
@@ -424,7 +424,7 @@ def route_summary(
     dominant = by_method.groupBy(*ROUTE_KEYS).agg(F.max(F.struct("n", "http_method")).alias("m"))
     minutes = max(1 / 60, scope.seconds_long / 60)
     return (
-        summary.join(dominant, ROUTE_KEYS)
+        joined_null_safe(summary, dominant, ROUTE_KEYS)
         .withColumn("http_method", F.col("m.http_method"))
         .drop("m")
         .withColumn("error_rate", ratio(F.col("errors"), F.col("total")))

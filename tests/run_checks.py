@@ -11,11 +11,6 @@ from teleloom.plans import ORACLES, QUERIES  # noqa: E402
 from teleloom.session import local_session  # noqa: E402
 
 names = [a for a in sys.argv[1:] if not a.startswith("--")]
-if "--ranked" in sys.argv:
-    # Take the two-pass quantile plan whatever the input size.
-    from teleloom.functions import quantiles
-
-    quantiles.SMALL_INPUT_BYTES = -1
 spark = local_session(8)
 con = duck()
 bad = 0

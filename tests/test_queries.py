@@ -4,7 +4,6 @@ import os
 
 import pytest
 from checking import compare, duck
-from teleloom.functions import quantiles
 from teleloom.plans import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -27,10 +26,3 @@ def test_query(spark, con, name):
     if name in MAY_BE_EMPTY and problem.endswith("no rows on either side"):
         return
     assert problem == ""
-
-
-@pytest.mark.parametrize("name", ["overview", "list_services", "top_queries", "route_timeseries", "signal_latency"])
-def test_query_with_ranked_quantiles(spark, con, name, monkeypatch):
-    """The plan used for large inputs gives the same rows."""
-    monkeypatch.setattr(quantiles, "SMALL_INPUT_BYTES", -1)
-    assert compare(spark, con, name, QUERIES[name], ORACLES[name], SF) == ""

@@ -33,8 +33,8 @@ def span_files(spark, tmp_path_factory):
 
 def read_values(states_df, rollup):
     merged = rollups.merge(rollup, states_df)
-    if "latency_sketch" in merged.columns:
-        merged = merged.select("*", *rollups.latency_ms(P3)).drop("latency_sketch")
+    if "latency_counts" in merged.columns:
+        merged = merged.select("*", *rollups.latency_ms(P3)).drop("latency_counts")
     return merged.select(*sorted(merged.columns))
 
 
