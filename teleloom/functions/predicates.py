@@ -50,8 +50,6 @@ def stored_consumer(consumer: str) -> str:
     return "" if consumer == ANONYMOUS else consumer
 
 
-def bounded(limit: int, default: int, maximum: int | None = None) -> int:
-    """A requested row limit: non-positive means the default, larger than the maximum is clipped."""
-    if limit <= 0:
-        limit = default
-    return limit if maximum is None else min(limit, maximum)
+def bounded(limit: int | None, default: int) -> int | None:
+    """A requested row limit: None means all rows, a non-positive number the default."""
+    return default if limit is not None and limit <= 0 else limit

@@ -34,19 +34,19 @@ def metric_cardinality_guard(
 def admit_by_tenant(
     batches: DataFrame, tenants: DataFrame, api_keys: DataFrame, as_of_ns: Column
 ) -> DataFrame:
-    """Adds ``admitted``: the tenant is active and the key is its own, not revoked and not expired."""
+    """Adds ``admitted``: the tenant is active and the key is its own, not revoked and not expired.
+
+    Valid keys are looked up for the distinct (tenant, key) of the batches and joined back by these.
+    """
     good_keys = api_keys.filter(F.col("revoked_unix_ns").isNull()).select(
         "tenant_id", "key_id", F.col("expires_unix_ns").alias("_expires"), F.lit(True).alias("_known")
     )
-    active = tenants.filter(F.col("status") == "active").select("tenant_id", F.lit(True).alias("_active"))
+    active = tenants.filter(F.col("status") == "active").select("tenant_id")
+    used = batches.select("tenant_id", "key_id").distinct()
+    valid = used.join(good_keys, ["tenant_id", "key_id"]).join(active, "tenant_id", "left_semi")
+    joined = batches.join(valid, ["tenant_id", "key_id"], "left")
     fresh = F.col("_expires").isNull() | (F.col("_expires") > as_of_ns)
-    passes = F.col("_known") & F.col("_active") & fresh
-    return (
-        batches.join(good_keys, ["tenant_id", "key_id"], "left")
-        .join(active, "tenant_id", "left")
-        .withColumn("admitted", F.coalesce(passes, F.lit(False)))
-        .drop("_expires", "_known", "_active")
-    )
+    return joined.withColumn("admitted", F.coalesce(F.col("_known") & fresh, F.lit(False))).drop("_expires", "_known")
 
 
 def ingest_quality_counts(outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:

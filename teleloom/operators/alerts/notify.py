@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from teleloom.functions.predicates import bounded
 from teleloom.functions.ranking import page, top_n
 from teleloom.operators.alerts.rules import LATENCY_SIGNALS
 from teleloom.scope import Scope
@@ -81,9 +82,9 @@ def list_firings(
     tenant_id: object | None = None,
     active_only: bool = False,
     page_no: int = 1,
-    page_size: int = 50,
+    page_size: int | None = 50,
 ) -> DataFrame:
-    """A page of firings with their rules, newest first, and the tenant's total."""
+    """A page of firings with their rules, newest first, and the tenant's total; all without a page size."""
     df = Scope(tenant_id).apply(firings)
     if active_only:
         df = df.filter(F.col("resolved_s").isNull())
@@ -91,15 +92,15 @@ def list_firings(
         "tenant_id", "firing_id", "rule_id", "rule_name", "signal_type", "fired_s", "resolved_s", "observed", "severity"
     )
     order = [F.col("fired_s").desc(), F.col("firing_id")]
-    return page(rows, ["tenant_id"], order, page_no, max(1, min(200, page_size)))
+    return page(rows, ["tenant_id"], order, page_no, bounded(page_size, 50))
 
 
 def list_notifications(
-    notifications: DataFrame, tenant_id: object | None = None, unread_only: bool = False, limit: int = 50
+    notifications: DataFrame, tenant_id: object | None = None, unread_only: bool = False, limit: int | None = 50
 ) -> DataFrame:
     """Newest in-app notifications."""
     scope = Scope(tenant_id)
     df = scope.apply(notifications)
     if unread_only:
         df = df.filter(F.col("acknowledged_s").isNull())
-    return top_n(df, scope, [F.col("posted_s").desc(), F.col("firing_id")], max(1, min(100, limit)))
+    return top_n(df, scope, [F.col("posted_s").desc(), F.col("firing_id")], bounded(limit, 50))

@@ -37,7 +37,7 @@ def _error_rate() -> Column:
 
 
 def list_consumers(
-    states: DataFrame, scope: Scope = Scope(), service: str | None = None, limit: int = 100
+    states: DataFrame, scope: Scope = Scope(), service: str | None = None, limit: int | None = 100
 ) -> DataFrame:
     """Most active consumers with volume, errors, latency, routes used and hours seen."""
     keys = ["tenant_id", "consumer_id"]
@@ -83,13 +83,13 @@ def consumer_timeseries(
     ).orderBy("tenant_id", "consumer_id", "bucket_s")
 
 
-def _busiest_routes(df: DataFrame, limit: int) -> DataFrame:
+def _busiest_routes(df: DataFrame, limit: int | None) -> DataFrame:
     order = [F.col("request_count").desc(), *[F.col(c) for c in ROUTE]]
     return top_n_by(df, ["tenant_id", "consumer_id"], order, bounded(limit, 20))
 
 
 def consumer_top_routes(
-    states: DataFrame, scope: Scope = Scope(), consumer: str | None = None, limit: int = 20
+    states: DataFrame, scope: Scope = Scope(), consumer: str | None = None, limit: int | None = 20
 ) -> DataFrame:
     """Busiest routes of a consumer, or of every consumer."""
     merged = merge(
@@ -107,7 +107,7 @@ def consumer_top_routes(
 
 
 def consumer_routes_sparkline(
-    states: DataFrame, scope: Scope, consumer: str | None = None, limit: int = 20
+    states: DataFrame, scope: Scope, consumer: str | None = None, limit: int | None = 20
 ) -> DataFrame:
     """Busiest routes with request counts per hour of the range; hours outside are left out."""
     hours = max(1, math.ceil(scope.seconds_long / HOUR_S))
@@ -140,7 +140,7 @@ def consumer_routes_sparkline(
 
 
 def route_status_breakdown(
-    states: DataFrame, scope: Scope = Scope(), service: str | None = None, limit: int = 50
+    states: DataFrame, scope: Scope = Scope(), service: str | None = None, limit: int | None = 50
 ) -> DataFrame:
     """Status classes per route, the routes with most failed requests first."""
     df = scope.apply_bucket(states, "bucket_s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def host_networks(samples: DataFrame, scope: Scope = Scope(), host: str | None =
 
 
 def top_processes(
-    processes: DataFrame, tenant_id: object | None = None, host: str | None = None, limit: int = 50
+    processes: DataFrame, tenant_id: object | None = None, host: str | None = None, limit: int | None = 50
 ) -> DataFrame:
     """Busiest processes of each host's newest snapshot, whatever its age."""
     df = Scope(tenant_id).apply(processes, TIME)
@@ -124,15 +126,17 @@ def disk_capacity_latest(disk_points: DataFrame) -> DataFrame:
     return grouped.select(*HOST, "device", "_n.*").orderBy(*HOST, "device")
 
 
-def host_series_pivot(
-    points: DataFrame, name: str, values: dict[str, str], names: list[str] | None = None
-) -> DataFrame:
-    """Per bucket one MiB/s column for each (device or interface, measure), 0 where missing.
+def host_series_pivot(points: DataFrame, name: str, values: dict[str, str], names: Sequence[str]) -> DataFrame:
+    """Per bucket one MiB/s column for each (named device or interface, measure), 0 where missing.
 
-    ``values`` maps a column suffix to the byte-rate column. Without ``names`` Spark looks them up.
+    ``values`` maps a column suffix to the byte-rate column.
     """
-    measures = [F.round(F.first(column) / MIB, 3).alias(suffix) for suffix, column in values.items()]
-    return points.groupBy(*HOST, "bucket_s").pivot(name, names).agg(*measures).na.fill(0.0)
+    measures = []
+    for wanted in names:
+        for suffix, column in values.items():
+            rate = F.max(F.when(F.col(name) == wanted, F.col(column)))
+            measures.append(F.coalesce(F.round(rate / MIB, 3), F.lit(0.0)).alias(f"{wanted}_{suffix}"))
+    return points.groupBy(*HOST, "bucket_s").agg(*measures)
 
 
 def host_health(hosts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from teleloom.scope import Scope
 
 TIME = "time_unix_ns"
 NS_PER_MS = 1_000_000
-# Fixed value: most log records shown for one trace.
+# Fixed value: log records shown for one trace by default.
 TRACE_LOG_LIMIT = 500
+# Severity names.
+SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 # Spread of records without a trace id.
 NO_KEY_PARTS = 256
 
@@ -31,7 +35,7 @@ def list_logs(
     trace_id: str | None = None,
     cursor_ms: int | None = None,
     after: tuple[int, str] | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
     """Newest records first; ``next_cursor_ms`` is the millisecond to pass as the next cursor.
 
@@ -60,22 +64,24 @@ def list_logs(
     if after is not None:
         last_ns, last_ids = after
         df = df.filter((F.col(TIME) < last_ns) | ((F.col(TIME) == last_ns) & (ids < last_ids)))
-    rows = top_n(df, scope, [F.col(TIME).desc(), ids.desc()], bounded(limit, 100, 1000))
+    rows = top_n(df, scope, [F.col(TIME).desc(), ids.desc()], bounded(limit, 100))
     # At most the listed rows of each tenant.
     return rows.withColumn("next_cursor_ms", to_millis(F.min(TIME).over(Window.partitionBy("tenant_id"))))
 
 
-def logs_for_trace(logs: DataFrame, tenant_id: object, trace_id: str) -> DataFrame:
-    """Oldest records of one trace first."""
+def logs_for_trace(
+    logs: DataFrame, tenant_id: object, trace_id: str, limit: int | None = TRACE_LOG_LIMIT
+) -> DataFrame:
+    """Oldest records of one trace first; without a limit all of them."""
     wanted = (F.col("tenant_id") == tenant_id) & (F.col("trace_id") == trace_id.lower())
-    return logs.filter(wanted).orderBy(TIME, "span_id").limit(TRACE_LOG_LIMIT)
+    return top_n(logs.filter(wanted), Scope(tenant_id), [F.col(TIME), F.col("span_id")], bounded(limit, TRACE_LOG_LIMIT))
 
 
-def logs_for_traces(logs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The same for every trace listed in ``wanted`` (tenant_id, trace_id)."""
+def logs_for_traces(logs: DataFrame, wanted: DataFrame, limit: int | None = TRACE_LOG_LIMIT) -> DataFrame:
+    """The same for every trace listed in ``wanted`` (tenant_id, trace_id), ``limit`` records of each."""
     keys = wanted.select("tenant_id", F.lower("trace_id").alias("trace_id"))
     found = logs.join(keys, ["tenant_id", "trace_id"], "left_semi")
-    return top_n_by(found, ["tenant_id", "trace_id"], [F.col(TIME), F.col("span_id")], TRACE_LOG_LIMIT)
+    return top_n_by(found, ["tenant_id", "trace_id"], [F.col(TIME), F.col("span_id")], bounded(limit, TRACE_LOG_LIMIT))
 
 
 def log_volume_timeseries(
@@ -90,14 +96,16 @@ def log_volume_timeseries(
     return merge(LOGS_MINUTELY, df, keys).orderBy(*keys)
 
 
-def log_volume_pivot(volume: DataFrame, severities: list[str] | None = None) -> DataFrame:
-    """One column per severity, 0 where a bucket has none; a blank severity is ``?``.
+def log_volume_pivot(volume: DataFrame, severities: Sequence[str] = SEVERITIES) -> DataFrame:
+    """One column per named severity, 0 where a bucket has none; a blank severity is ``?``.
 
-    Without ``severities`` Spark looks the names up first.
+    Records of a severity without a column are added up in ``other``.
     """
     shown = F.when(F.coalesce("severity_text", F.lit("")) == "", "?").otherwise(F.col("severity_text"))
-    rows = volume.withColumn("severity_text", shown)
-    return rows.groupBy("tenant_id", "bucket_s").pivot("severity_text", severities).agg(F.sum("log_count")).na.fill(0)
+    counted = lambda inside: F.sum(F.when(inside, F.col("log_count")).otherwise(F.lit(0).cast("bigint")))
+    named = [counted(shown == name).alias(name) for name in severities]
+    other = counted(~shown.isin(list(severities))).alias("other")
+    return volume.groupBy("tenant_id", "bucket_s").agg(*named, other)
 
 
 def log_view(logs: DataFrame) -> DataFrame:

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teleloom.functions.attributes import series_key
-from teleloom.functions.predicates import finite_or_zero
+from teleloom.functions.predicates import bounded, finite_or_zero
 from teleloom.functions.ranking import top_n
 from teleloom.functions.timing import bucket_start
 from teleloom.operators.rollups import METRICS_MINUTELY, merge
 from teleloom.scope import Scope
 
 TIME = "time_unix_ns"
-# Fixed value: most entries of the metric catalogue.
+# Fixed value: entries of the metric catalogue that are shown by default.
 CATALOG_LIMIT = 500
 
 
-def list_metrics(points: DataFrame, scope: Scope = Scope(), service: str = "") -> DataFrame:
-    """Metric catalogue: latest kind and unit, last seen, number of points."""
+def list_metrics(points: DataFrame, scope: Scope = Scope(), service: str = "", limit: int | None = CATALOG_LIMIT) -> DataFrame:
+    """Metric catalogue: latest kind and unit, last seen, number of points; without a limit all of it."""
     df = scope.apply(points, TIME)
     if service:
         df = df.filter(F.col("service_name") == service)
@@ -36,7 +36,7 @@ def list_metrics(points: DataFrame, scope: Scope = Scope(), service: str = "") -
         "point_count",
     )
     order = [F.col("last_seen_ns").desc(), F.col("metric_name"), F.col("service_name")]
-    return top_n(catalog, scope, order, CATALOG_LIMIT)
+    return top_n(catalog, scope, order, bounded(limit, CATALOG_LIMIT))
 
 
 def metric_series(

@@ -77,7 +77,7 @@ def list_profiles(
     to_ms: int | None = None,
     service: str = "",
     kind: str = "",
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
     """Newest captures; the size is that of the stored Base64 text."""
     scope = Scope(
@@ -102,7 +102,7 @@ def list_profiles(
         "agent_version",
     )
     order = [F.col(START).desc(), F.col("service_name"), F.col("profile_kind")]
-    return top_n(shown, scope, order, bounded(limit, 100, 500))
+    return top_n(shown, scope, order, bounded(limit, 100))
 
 
 def decoded(profiles: DataFrame) -> DataFrame:

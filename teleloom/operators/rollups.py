@@ -164,9 +164,11 @@ def _gathered(sliced: DataFrame, rollup: Rollup, keys: Sequence[str], others: Se
     return found.withColumn(_counts_of(rollup), F.map_from_entries("_slices")).select(*keys, *order)
 
 
-def partials(rollup: Rollup, facts: DataFrame) -> DataFrame:
-    """State rows of a batch of raw rows at the rollup's grain."""
-    rows = prepared(rollup, facts)
+def partials(rollup: Rollup, facts: DataFrame, keys: Sequence[Column | str] | None = None) -> DataFrame:
+    """State rows of a batch of raw rows at the rollup's grain, or by other keys of prepared rows."""
+    rows = prepared(rollup, facts) if keys is None else facts
+    names = rollup.grain if keys is None else [k if isinstance(k, str) else "_window" for k in keys]
+    keys = rollup.grain if keys is None else list(keys)
     states = []
     for name, kind, expr in rollup.measures:
         if kind == LAST:
@@ -174,10 +176,10 @@ def partials(rollup: Rollup, facts: DataFrame) -> DataFrame:
         elif kind != COUNTS:
             states.append(_MERGE[kind](expr()).alias(name))
     if _counts_of(rollup) is None:
-        return rows.groupBy(*rollup.grain).agg(*states)
+        return rows.groupBy(*keys).agg(*states)
     value = next(expr for _, kind, expr in rollup.measures if kind == COUNTS)
-    sliced = rows.withColumn("_slice", latency_slice(value())).groupBy(*rollup.grain, "_slice")
-    return _gathered(sliced.agg(F.count(F.lit(1)).alias("_n"), *states), rollup, rollup.grain, _plain(rollup))
+    sliced = rows.withColumn("_slice", latency_slice(value())).groupBy(*keys, "_slice")
+    return _gathered(sliced.agg(F.count(F.lit(1)).alias("_n"), *states), rollup, names, _plain(rollup))
 
 
 def merge(

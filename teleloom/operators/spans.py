@@ -59,9 +59,12 @@ def list_spans(
     consumer: str | None = None,
     errors_only: bool = False,
     cursor_ns: int | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
-    """Newest spans first; ``next_cursor_ns`` is the start to pass as the next page's cursor."""
+    """Newest spans first; ``next_cursor_ns`` is the start to pass as the next page's cursor.
+
+    ``limit`` rows of each tenant, all without one.
+    """
     df = _only(
         _scoped(spans, scope),
         service_name=service or None,
@@ -73,7 +76,7 @@ def list_spans(
         df = df.filter(is_request_error())
     if cursor_ns:
         df = df.filter(F.col(START) < cursor_ns)
-    rows = top_n(df, scope, [F.col(START).desc(), F.col("span_id").desc()], bounded(limit, 50, 1000))
+    rows = top_n(df, scope, [F.col(START).desc(), F.col("span_id").desc()], bounded(limit, 50))
     # At most the listed rows of each tenant.
     return rows.withColumn("next_cursor_ns", F.min(START).over(Window.partitionBy("tenant_id")))
 
@@ -275,7 +278,7 @@ def latency_timeseries(
     return _timeseries(_only(_scoped(spans, scope), service_name=service), ["tenant_id"], bucket_s)
 
 
-def top_routes(spans: DataFrame, scope: Scope = Scope(), limit: int = 20) -> DataFrame:
+def top_routes(spans: DataFrame, scope: Scope = Scope(), limit: int | None = 20) -> DataFrame:
     keys = ["service_name", "span_name", "http_method", "http_route"]
     summary = summarize(
         _scoped(spans, scope),
@@ -320,7 +323,7 @@ def database_overview(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
     )
 
 
-def top_queries(spans: DataFrame, scope: Scope = Scope(), limit: int = 20) -> DataFrame:
+def top_queries(spans: DataFrame, scope: Scope = Scope(), limit: int | None = 20) -> DataFrame:
     """Database statements grouped by system and the first 200 characters of the statement."""
     df = _database_spans(spans, scope).filter(F.col("db_statement") != "")
     summary = summarize(
@@ -390,11 +393,11 @@ def service_sparklines(spans: DataFrame, scope: Scope, buckets: int = 30) -> Dat
     return lines.orderBy("tenant_id", F.col("total").desc(), "service_name")
 
 
-def consumer_sparklines(spans: DataFrame, scope: Scope, buckets: int = 30, limit: int = 200) -> DataFrame:
+def consumer_sparklines(spans: DataFrame, scope: Scope, buckets: int = 30, limit: int | None = 200) -> DataFrame:
     """Server spans of the most active consumers; an empty consumer shows as anonymous."""
     served = _scoped(spans, scope).filter(is_server_span())
     lines = _sparklines(served, "consumer_id", scope, buckets, is_request_error())
-    lines = top_n(lines, scope, [F.col("total").desc(), F.col("consumer_id")], max(1, limit))
+    lines = top_n(lines, scope, [F.col("total").desc(), F.col("consumer_id")], bounded(limit, 200))
     return lines.withColumn("consumer_id", display_consumer(F.col("consumer_id")))
 
 

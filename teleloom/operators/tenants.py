@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from teleloom.functions.predicates import bounded
 from teleloom.functions.ranking import page
 
 DAY_NS = 86_400 * 1_000_000_000
@@ -52,10 +53,9 @@ def audit_log_search(
     action: str = "",
     actor: str = "",
     page_no: int = 1,
-    page_size: int = 50,
-    max_page_size: int = 200,
+    page_size: int | None = 50,
 ) -> DataFrame:
-    """One page of the audit log, newest first, with the size of the whole result."""
+    """One page of the audit log, newest first, with the size of the whole result; all without a page size."""
     df = audit
     if tenant_id is not None:
         df = df.filter(F.col("tenant_id") == tenant_id)
@@ -71,8 +71,7 @@ def audit_log_search(
     if needle:
         by_name = F.contains(F.lower("actor_email"), F.lit(needle)) | F.contains(F.lower("posted_by"), F.lit(needle))
         df = df.filter(by_name)
-    size = max(1, min(page_size, max_page_size))
-    return page(df, [], [F.col("posted_unix_ns").desc(), F.col("audit_id").desc()], page_no, size)
+    return page(df, [], [F.col("posted_unix_ns").desc(), F.col("audit_id").desc()], page_no, bounded(page_size, 50))
 
 
 def upsert_service_registry(spans: DataFrame, registry: DataFrame | None = None) -> DataFrame:

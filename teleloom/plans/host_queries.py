@@ -97,7 +97,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     values = {"read": "read_bytes_avg", "write": "write_bytes_avg"}
-    return hosts.host_series_pivot(_disk_points(spark, sf), "device", values)
+    return hosts.host_series_pivot(_disk_points(spark, sf), "device", values, ["/dev/sda", "/dev/sdb"])
 
 
 @query(
@@ -271,6 +271,26 @@ def _(spark, sf):
     return rounded(profiles.list_profiles(views.profiles(spark, sf)).drop("trigger_trace_id", "agent_version"))
 
 
+@query(
+    "get_profile_by_key",
+    """WITH newest AS (SELECT tenant_id AS tn, service_name AS sv, profile_kind AS kd, start_time_unix_ns AS st
+                       FROM profiles WHERE o_orderkey % 50 <> 0
+                       ORDER BY start_time_unix_ns DESC, tenant_id, service_name, profile_kind LIMIT 1)
+       SELECT tenant_id, service_name, profile_kind, start_time_unix_ns, concat('pprof-', CAST(o_orderkey AS VARCHAR)) AS payload
+       FROM profiles, newest WHERE tenant_id = tn AND service_name = sv AND profile_kind = kd AND start_time_unix_ns = st""",
+    ["profiles"],
+)
+def _(spark, sf):
+    # The newest capture of the whole table that has a payload.
+    rows = views.profiles(spark, sf)
+    order = [F.desc("start_time_unix_ns"), "tenant_id", "service_name", "profile_kind"]
+    key = rows.filter("pprof_base64 <> ''").orderBy(*order).first()
+    found = profiles.get_profile(rows, key["tenant_id"], key["service_name"], key["profile_kind"], key["start_time_unix_ns"])
+    return found.select(
+        "tenant_id", "service_name", "profile_kind", "start_time_unix_ns", F.decode("pprof", "UTF-8").alias("payload")
+    )
+
+
 @query(
     "get_profile",
     """SELECT tenant_id, service_name, profile_kind, start_time_unix_ns,

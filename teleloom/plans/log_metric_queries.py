@@ -43,6 +43,37 @@ def _(spark, sf):
     return found.select("tenant_id", "trace_id", "span_id", "time_unix_ns", "severity_text")
 
 
+@query(
+    "logs_for_trace_by_id",
+    """WITH busiest AS (SELECT tenant_id AS tn, trace_id AS tr FROM logs WHERE trace_id <> '' GROUP BY 1, 2
+                        ORDER BY count(*) DESC, tenant_id, trace_id LIMIT 1)
+       SELECT tenant_id, trace_id, span_id, time_unix_ns, severity_text FROM logs, busiest
+       WHERE tenant_id = tn AND trace_id = tr""",
+    ["logs"],
+)
+def _(spark, sf):
+    # The trace with most records in the whole table, all of them.
+    rows = views.logs(spark, sf)
+    counts = rows.filter("trace_id <> ''").groupBy("tenant_id", "trace_id").count()
+    key = counts.orderBy(F.desc("count"), "tenant_id", "trace_id").first()
+    found = logs.logs_for_trace(rows, key["tenant_id"], key["trace_id"], limit=None)
+    return found.select("tenant_id", "trace_id", "span_id", "time_unix_ns", "severity_text")
+
+
+@query(
+    "correlate_logs_spans",
+    """WITH n AS (SELECT tenant_id, trace_id, span_id, count(*) AS span_count, min(start_time_unix_ns) AS trace_start_ns
+                  FROM spans WHERE trace_id <> '' GROUP BY 1, 2, 3)
+       SELECT l.tenant_id, l.time_unix_ns, l.trace_id, l.span_id, l.severity_text, n.span_count, n.trace_start_ns
+       FROM logs l LEFT JOIN n ON l.tenant_id = n.tenant_id AND l.trace_id = n.trace_id AND l.span_id = n.span_id
+                             AND l.trace_id <> ''""",
+    ["logs", "spans"],
+)
+def _(spark, sf):
+    found = logs.correlate_logs_traces(views.logs(spark, sf), views.spans(spark, sf), by_span=True)
+    return found.select("tenant_id", "time_unix_ns", "trace_id", "span_id", "severity_text", "span_count", "trace_start_ns")
+
+
 _VOLUME = f"""SELECT tenant_id, time_unix_ns {DAY} AS bucket_s, severity_text, count(*) AS log_count
   FROM logs GROUP BY 1, 2, 3"""
 
@@ -64,7 +95,7 @@ def _(spark, sf):
                CAST(coalesce(sum(log_count) FILTER (severity_text = 'INFO'), 0) AS BIGINT) AS "INFO",
                CAST(coalesce(sum(log_count) FILTER (severity_text = 'WARN'), 0) AS BIGINT) AS "WARN",
                CAST(coalesce(sum(log_count) FILTER (severity_text = 'ERROR'), 0) AS BIGINT) AS "ERROR",
-               CAST(coalesce(sum(log_count) FILTER (severity_text = 'FATAL'), 0) AS BIGINT) AS "FATAL"
+               CAST(coalesce(sum(log_count) FILTER (severity_text = 'FATAL'), 0) AS BIGINT) AS "FATAL", CAST(0 AS BIGINT) AS other
         FROM ({_VOLUME}) GROUP BY 1, 2""",
     ["logs"],
 )

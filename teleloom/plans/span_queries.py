@@ -58,7 +58,7 @@ def _(spark, sf):
               SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY start_time_unix_ns DESC, span_id DESC) AS rn
               FROM spans WHERE span_kind = 'SERVER' AND http_route = '/api/error' AND consumer_id = '' AND {_ERR4}
                 AND start_time_unix_ns >= 1704067200000000000 AND start_time_unix_ns <= 1706745600000000000
-                AND start_time_unix_ns < 1706054400000000000) WHERE rn <= 1000)""",
+                AND start_time_unix_ns < 1706054400000000000) WHERE rn <= 5000)""",
     ["spans"],
 )
 def _(spark, sf):
@@ -85,6 +85,23 @@ def _(spark, sf):
     )
 
 
+@query(
+    "get_trace_by_id",
+    """WITH slowest AS (SELECT max_by(struct_pack(tn := tenant_id, tr := trace_id), struct_pack(d := duration_ns, t := trace_id)) AS k
+                        FROM spans)
+       SELECT tenant_id, trace_id, span_id, parent_span_id, start_time_unix_ns, duration_ns
+       FROM spans, slowest WHERE tenant_id = slowest.k.tn AND trace_id = slowest.k.tr""",
+    ["spans"],
+)
+def _(spark, sf):
+    # The trace of the slowest span of the whole table.
+    rows = views.spans(spark, sf)
+    key = rows.agg(F.max_by(F.struct("tenant_id", "trace_id"), F.struct("duration_ns", "trace_id")).alias("k")).first()["k"]
+    return traces.get_trace(rows, key["tenant_id"], key["trace_id"].upper()).select(
+        "tenant_id", "trace_id", "span_id", "parent_span_id", "start_time_unix_ns", "duration_ns"
+    )
+
+
 @query(
     "span_view",
     """SELECT tenant_id, span_id, duration_ns, event_type AS attr_event_type, CAST(k AS VARCHAR) AS attr_k,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OK, PENDING, FIRING = "ok", "pending", "firing"
+# A rule without an observation for so long was off meanwhile: it starts over.
+MAX_GAP_S = 300
 OUTPUT = (
     "rule_id long, tick_s long, from_state string, to_state string, kind string, observed double, pending_since_s long"
 )
@@ -27,19 +29,27 @@ def next_state(state: str, since: int | None, breached: bool, tick: int, wait: i
 
 
 class RuleMachine(StatefulProcessor):
-    """Keeps (state, pending instant) of a rule; emits its state changes.
+    """Keeps (state, pending instant, last tick) of a rule; emits its state changes.
 
-    A rule that is no longer enabled loses its state.
+    A rule that is no longer enabled loses its state. A disabled rule is not evaluated, so mostly it just
+    stops being observed: an observation after a longer gap than ``max_gap_s`` finds it at ``ok``. What is left
+    in the store is a few numbers for each rule that was pending or firing when it was switched off.
     """
 
+    def __init__(self, max_gap_s: int = MAX_GAP_S) -> None:
+        self.max_gap_s = max_gap_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("rule", "state string, since long")
+        self.kept = handle.getValueState("rule", "state string, since long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         seen = pd.concat(list(rows)).sort_values("tick_s")
-        state, since = self.kept.get() if self.kept.exists() else (OK, None)
+        state, since, last = self.kept.get() if self.kept.exists() else (OK, None, None)
         changes = []
         for row in seen.itertuples():
+            if last is not None and row.tick_s - last > self.max_gap_s:
+                state, since = OK, None
+            last = int(row.tick_s)
             if not row.enabled:
                 state, since = OK, None
                 continue
@@ -51,7 +61,7 @@ class RuleMachine(StatefulProcessor):
         if state == OK:
             self.kept.clear()
         else:
-            self.kept.update((state, since))
+            self.kept.update((state, since, last))
         columns = [field.split(" ")[0] for field in OUTPUT.split(", ")]
         out = pd.DataFrame(changes, columns=columns)
         out["pending_since_s"] = out["pending_since_s"].astype("Int64")
@@ -61,14 +71,16 @@ class RuleMachine(StatefulProcessor):
         pass
 
 
-def alert_state_stream(observations: DataFrame, rules: DataFrame) -> DataFrame:
+def alert_state_stream(observations: DataFrame, rules: DataFrame, max_gap_s: int = MAX_GAP_S) -> DataFrame:
     """State changes from a stream of (rule_id, tick_s, observed, breached).
 
+    ``max_gap_s`` should be a few evaluation ticks.
+
     Needs the RocksDB state store (``teleloom.session.STREAMING_CONF``).
     """
     about = rules.select(F.col("rule_id").cast("bigint").alias("rule_id"), "for_seconds", "enabled")
     rows = observations.withColumn("rule_id", F.col("rule_id").cast("bigint")).join(about, "rule_id", "left")
     rows = rows.withColumn("enabled", F.coalesce("enabled", F.lit(False))).na.fill(0, ["for_seconds"])
     return rows.groupBy("rule_id").transformWithStateInPandas(
-        statefulProcessor=RuleMachine(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=RuleMachine(max_gap_s), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )

@@ -66,11 +66,11 @@ def ingest_stream(batches: DataFrame, signal: str, root: str, checkpoint: str, *
 def finalized_rollup(facts: DataFrame, rollup: Rollup, watermark: str = WATERMARK) -> DataFrame:
     """Append-mode stream of complete rollup rows, each emitted once its bucket can no longer change."""
     rows = rollups.prepared(rollup, facts).withColumn("_event", unix_ns_to_timestamp(F.col(rollup.time_col)))
-    window = F.window("_event", f"{rollup.bucket_width_s} seconds")
-    grouped = rows.withWatermark("_event", watermark).groupBy(window, "tenant_id", *rollup.keys)
-    return grouped.agg(*rollups.state_columns(rollup)).select(
+    window = F.window("_event", f"{rollup.bucket_width_s} seconds").alias("_window")
+    found = rollups.partials(rollup, rows.withWatermark("_event", watermark), [window, "tenant_id", *rollup.keys])
+    return found.select(
         "tenant_id",
-        F.unix_seconds("window.start").alias("bucket_s"),
+        F.unix_seconds("_window.start").alias("bucket_s"),
         *rollup.keys,
         *[name for name, _, _ in rollup.measures],
     )
