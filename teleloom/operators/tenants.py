@@ -103,8 +103,9 @@ def upsert_service_registry(spans: DataFrame, registry: DataFrame | None = None)
 
 
 def period_end(period: Column) -> Column:
-    """Last day covered by a ``yyyyMMdd`` or ``yyyyMM`` partition, null for other text."""
-    day = F.try_to_timestamp(F.when(F.length(period) == 8, period), F.lit("yyyyMMdd"))
+    """Last day covered by a ``yyyyMMdd``, ``yyyy-MM-dd`` or ``yyyyMM`` partition, null for other text."""
+    plain = F.when(period.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.replace(period, F.lit("-"), F.lit(""))).otherwise(period)
+    day = F.try_to_timestamp(F.when(F.length(plain) == 8, plain), F.lit("yyyyMMdd"))
     month = F.try_to_timestamp(F.when(F.length(period) == 6, period), F.lit("yyyyMM"))
     return F.coalesce(F.to_date(day), F.last_day(F.to_date(month)))
 

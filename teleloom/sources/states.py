@@ -1,76 +1,43 @@
 """Rollup state tables on plain Parquet.
 
-    <root>/<rollup>/batch_id=<n>/tenant_id=../bucket_month=..      state rows of one batch
-    <root>/<rollup>_compacted/upto=<n>/...                          all batches up to n, merged
+    <root>/<rollup>/tenant_id=../bucket_month=../batch_id=<n>/      state rows of one batch
 
-A batch written again replaces its own folder. Readers take the newest compaction and the batches
-after it, so neither a replayed batch nor a repeated compaction counts twice.
+A batch written again replaces its own rows, so that a replayed batch does not count twice. Compaction merges
+the batches of a month and leaves other months as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleloom.operators.rollups import Rollup, merge, partials
+from teleloom.sources import tables
 
 PARTITION = ["tenant_id", "bucket_month"]
 
 
-def _written(states: DataFrame, rollup: Rollup, path: str) -> None:
+def _arranged(states: DataFrame, rollup: Rollup) -> DataFrame:
     month = F.date_format(F.timestamp_seconds(F.col("bucket_s")), "yyyyMM")
     rows = states.withColumn("bucket_month", month).hint("rebalance", *[F.col(c) for c in PARTITION])
-    order = [*PARTITION, *[k for k in rollup.keys if not k.startswith("attrs_")], "bucket_s"]
-    rows.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").partitionBy(
-        *PARTITION
-    ).parquet(path)
+    return rows.sortWithinPartitions(*PARTITION, *[k for k in rollup.keys if not k.startswith("attrs_")], "bucket_s")
 
 
 def write_states(facts: DataFrame, rollup: Rollup, root: str, batch_id: int) -> None:
     """Aggregate one batch of facts and store its state rows under the batch id."""
-    _written(partials(rollup, facts), rollup, f"{root}/{rollup.name}/batch_id={batch_id}")
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-
-
-def _newest_compaction(spark: SparkSession, rollup: Rollup, root: str) -> tuple[DataFrame | None, int]:
-    compacted = _read(spark, f"{root}/{rollup.name}_compacted")
-    if compacted is None:
-        return None, -1
-    # One number out of partition names.
-    upto = compacted.agg(F.max("upto").alias("upto")).first()["upto"]
-    return compacted.filter(F.col("upto") == upto).drop("upto"), -1 if upto is None else int(upto)
+    rows = _arranged(partials(rollup, facts), rollup).withColumn(tables.BATCH, F.lit(batch_id).cast("bigint"))
+    writer = rows.write.option("compression", "zstd")
+    tables.replace_partitions(writer, f"{root}/{rollup.name}", [*PARTITION, tables.BATCH])
 
 
 def read_states(spark: SparkSession, rollup: Rollup, root: str, upto: int | None = None) -> DataFrame:
-    """All state rows, unmerged: the newest compaction and every batch after it."""
-    compacted, done = _newest_compaction(spark, rollup, root)
-    batches = _read(spark, f"{root}/{rollup.name}")
-    parts = []
-    if compacted is not None:
-        parts.append(compacted)
-    if batches is not None:
-        later = batches.filter(F.col("batch_id") > done)
-        if upto is not None:
-            later = later.filter(F.col("batch_id") <= upto)
-        parts.append(later.drop("batch_id"))
-    if not parts:
-        raise ValueError(f"no states of {rollup.name} under {root}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All state rows, unmerged, or those of the batches up to one."""
+    rows = spark.read.parquet(f"{root}/{rollup.name}")
+    if upto is not None:
+        rows = rows.filter(F.col(tables.BATCH) <= upto)
+    return rows.drop(tables.BATCH)
 
 
-def compact(spark: SparkSession, rollup: Rollup, root: str, upto: int) -> None:
-    """Merge all batches up to ``upto`` to one row per key. Older folders can be removed afterwards."""
-    merged = merge(rollup, read_states(spark, rollup, root, upto))
-    _written(merged, rollup, f"{root}/{rollup.name}_compacted/upto={upto}")
+def compact(spark: SparkSession, rollup: Rollup, root: str, upto: int) -> int:
+    """Merge the batches up to ``upto`` to one row per key, in the months that have several; gives how many."""
+    return tables.compact(spark, root, rollup.name, upto, PARTITION, lambda rows: _arranged(merge(rollup, rows), rollup))

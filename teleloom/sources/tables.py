@@ -1,7 +1,16 @@
-"""Partitioned Parquet fact and rollup tables."""
+"""Partitioned Parquet fact and rollup tables.
+
+    <root>/<table>/tenant_id=../event_date=../batch_id=<n>/      rows of one batch
+
+Batches, single appends and compactions share this layout, so that a partition is one folder: readers prune
+it, compaction rewrites it and retention removes it without touching others.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +35,10 @@ BLOOM_COLUMNS = {
 }
 TIME_COLUMNS = {"spans": "start_time_unix_ns", "profiles": "start_time_unix_ns"}
 PARTITION = ["tenant_id", "event_date"]
+BATCH = "batch_id"
+# Batch number of rows that were appended outside a stream.
+APPENDED = -1
+STAGING = "_compacting"
 
 
 def _writer(df: DataFrame, table: str):
@@ -49,29 +62,109 @@ def arranged(df: DataFrame, table: str) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, root: str, table: str) -> None:
-    """Append a batch to a fact table."""
-    _writer(arranged(df, table), table).mode("append").partitionBy(*PARTITION).parquet(f"{root}/{table}")
+    """Append rows to a fact table."""
+    rows = arranged(df, table).withColumn(BATCH, F.lit(APPENDED).cast("bigint"))
+    _writer(rows, table).mode("append").partitionBy(*PARTITION, BATCH).parquet(f"{root}/{table}")
 
 
 def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     """Write one micro-batch under its id; writing the same id again replaces it."""
-    path = f"{root}/{table}/batch_id={batch_id}"
-    _writer(arranged(df, table), table).mode("overwrite").partitionBy(*PARTITION).parquet(path)
+    rows = arranged(df, table).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+    replace_partitions(_writer(rows, table), f"{root}/{table}", [*PARTITION, BATCH])
+
+
+def replace_partitions(writer, path: str, partition: Sequence[str]) -> None:
+    """Write rows, replacing just the partitions that they are in."""
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}")
 
 
-def drop_partitions(spark: SparkSession, table_name: str, gone: DataFrame, column: str = "event_date") -> int:
-    """Drop the listed partitions (tenant_id, partition value) of a catalogue table by name.
+# ---------------------------------------------------------------------------- folders
+
+
+def _folder(spark: SparkSession, path: str):
+    """File system and path object of a folder; it may be in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
-    Partition names are metadata: a few per tenant and day. They are streamed, not collected.
+def _folders(spark: SparkSession, path: str, names: Sequence[str]) -> list[tuple[str, ...]]:
+    """Values of all partition folders below a path; names are metadata, no file is opened."""
+    fs, at = _folder(spark, "/".join([path, *[f"{n}=*" for n in names]]))
+    found = [str(status.getPath()) for status in (fs.globStatus(at) or []) if status.isDirectory()]
+    return sorted(tuple(part.split("=", 1)[1] for part in p.split("/")[-len(names) :]) for p in found)
+
+
+def _place(names: Sequence[str], values: Sequence[str]) -> str:
+    return "/".join(f"{n}={v}" for n, v in zip(names, values, strict=True))
+
+
+def list_partitions(spark: SparkSession, root: str, table: str, partition: Sequence[str] = PARTITION) -> DataFrame:
+    """(table_name, tenant_id, period) of every partition folder of a table."""
+    found = [(table, int(tenant), period) for tenant, period in _folders(spark, f"{root}/{table}", partition)]
+    return spark.createDataFrame(found, "table_name string, tenant_id int, period string")
+
+
+def remove_partitions(spark: SparkSession, root: str, gone: DataFrame, partition: Sequence[str] = PARTITION) -> int:
+    """Remove the folders of the listed partitions (table_name, tenant_id, period); gives how many there were.
+
+    One name per tenant and period: they are streamed, and each folder goes with one call.
+    """
+    removed = 0
+    for row in gone.select("table_name", "tenant_id", "period").distinct().toLocalIterator():
+        place = _place(partition, (row["tenant_id"], row["period"]))
+        fs, at = _folder(spark, f"{root}/{row['table_name']}/{place}")
+        removed += bool(fs.delete(at, True))
+    return removed
+
+
+def compact(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    upto: int,
+    partition: Sequence[str] = PARTITION,
+    rewrite: Callable[[DataFrame], DataFrame] | None = None,
+) -> int:
+    """Rewrite the partitions with several batches up to ``upto`` as one each; gives how many.
+
+    Only these partitions are read. ``upto`` must be a batch that will not be written again. The new files
+    are complete in a hidden folder before old ones go; a compaction that was cut off is finished by the
+    next one. A reader that lists files during the exchange should list again.
     """
-    dropped = 0
-    for row in gone.select("tenant_id", F.col(column).cast("string").alias("value")).distinct().toLocalIterator():
-        spark.sql(
-            f"ALTER TABLE {table_name} DROP IF EXISTS PARTITION (tenant_id = {row['tenant_id']!r}, {column} = '{row['value']}')"
-        )
-        dropped += 1
-    return dropped
+    path = f"{root}/{table}"
+    _finish(spark, path, partition)
+    batches = defaultdict(list)
+    for *place, batch in _folders(spark, path, [*partition, BATCH]):
+        if int(batch) <= upto:
+            batches[tuple(place)].append(batch)
+    several = {place: ids for place, ids in batches.items() if len(ids) > 1}
+    if not several:
+        return 0
+    paths = [f"{path}/{_place([*partition, BATCH], [*place, b])}" for place, ids in several.items() for b in ids]
+    rows = spark.read.option("basePath", path).parquet(*paths).drop(BATCH)
+    rows = arranged(rows, table) if rewrite is None else rewrite(rows)
+    merged = rows.withColumn(BATCH, F.lit(-2 - upto).cast("bigint"))
+    _writer(merged, table).mode("overwrite").partitionBy(*partition, BATCH).parquet(f"{path}/{STAGING}")
+    _finish(spark, path, partition)
+    return len(several)
+
+
+def _finish(spark: SparkSession, path: str, partition: Sequence[str]) -> None:
+    """Put complete compacted partitions in the place of their batches; drop incomplete ones."""
+    fs, staging = _folder(spark, f"{path}/{STAGING}")
+    if not fs.exists(staging):
+        return
+    if fs.exists(_folder(spark, f"{path}/{STAGING}/_SUCCESS")[1]):
+        names = [*partition, BATCH]
+        for *place, new in _folders(spark, f"{path}/{STAGING}", names):
+            upto = -2 - int(new)
+            for *_, old in _folders(spark, f"{path}/{_place(partition, place)}", [BATCH]):
+                if int(old) <= upto:
+                    fs.delete(_folder(spark, f"{path}/{_place(names, [*place, old])}")[1], True)
+            target = _place(names, [*place, new])
+            fs.rename(_folder(spark, f"{path}/{STAGING}/{target}")[1], _folder(spark, f"{path}/{target}")[1])
+    fs.delete(staging, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from teleloom.functions.timing import unix_ns_to_timestamp
-from teleloom.operators import ingest, rollups
+from teleloom.operators import admission, ingest, rollups
 from teleloom.operators.rollups import Rollup
 from teleloom.sources import otlp, states, tables
 
@@ -29,36 +30,92 @@ FLATTEN: dict[str, tuple[str, Callable[[DataFrame], DataFrame], Sequence[Rollup]
 WATERMARK = "65 minutes"
 
 
-def store_batch(batches: DataFrame, signal: str, root: str, batch_id: int) -> None:
+@dataclass(frozen=True)
+class Admission:
+    """What is let in: batches of active tenants with a valid key, and so many metric names for each tenant."""
+
+    tenants: DataFrame
+    api_keys: DataFrame
+    metric_cap: int = admission.METRIC_NAME_CAP
+    span_kinds: Sequence[str] = ()
+
+
+# Reasons for rows that are not stored.
+MALFORMED, NO_KEY, TOO_MANY_NAMES, OUT_OF_SCOPE = "malformed", "not admitted", "too many metric names", "out of scope"
+
+
+def store_batch(
+    batches: DataFrame, signal: str, root: str, batch_id: int, admit: Admission | None = None
+) -> None:
     """Write one micro-batch: unreadable lines, facts and rollup states, each under its batch id.
 
-    Every output replaces what an earlier try of the same batch left, so a replay changes nothing.
+    With ``admit`` batches without a valid key are not mapped; metric points over the cap of names and spans
+    of other kinds than those captured are not stored. What was let in and what was not is counted by tenant
+    and reason in ``<root>/ingest_quality`` (batches, and rows within them), and batches and names that were not are listed in
+    ``<root>/rejected``. Every output replaces what an earlier try of the same batch left, so a replay changes
+    nothing.
     """
-    batches = batches.persist(StorageLevel.DISK_ONLY)
+    source = batches = batches.persist(StorageLevel.DISK_ONLY)
+    outcomes = []
     try:
         if otlp.BAD_LINE in batches.columns:
             bad = batches.filter(~otlp.is_readable()).select(otlp.BAD_LINE)
             bad.write.mode("overwrite").parquet(f"{root}/unreadable/{signal}/batch_id={batch_id}")
+            outcomes.append(batches.filter(~otlp.is_readable()).select("tenant_id", F.lit(MALFORMED).alias("reject_reason")))
             batches = batches.filter(otlp.is_readable())
+        if admit is not None:
+            checked = admission.admit_by_tenant(
+                batches, admit.tenants, admit.api_keys, F.col("received_unix_ns").cast("bigint")
+            )
+            about = ["tenant_id", "key_id", "received_unix_ns"]
+            refused = checked.filter(~F.col("admitted")).select(*about, F.lit(NO_KEY).alias("reject_reason"))
+            refused.write.mode("overwrite").parquet(f"{root}/rejected/{signal}/batch_id={batch_id}")
+            outcomes.append(checked.select("tenant_id", F.when(~F.col("admitted"), NO_KEY).alias("reject_reason")))
+            batches = checked.filter("admitted").drop("admitted")
+            _count_outcomes(outcomes, f"{root}/ingest_quality/batches/{signal}", batch_id)
         if signal == "host":
             for table, rows in ingest.flatten_host_snapshots(batches).items():
                 tables.write_batch(rows, root, table, batch_id)
             return
         table, flatten, fed = FLATTEN[signal]
-        facts = flatten(batches).persist(StorageLevel.DISK_ONLY)
+        facts = flatten(batches)
+        reason = None
+        if admit is not None and signal == "metrics":
+            facts = admission.metric_cardinality_guard(facts, admit.metric_cap)
+            reason = F.when(~F.col("admitted"), TOO_MANY_NAMES)
+        elif admit is not None and signal == "spans" and admit.span_kinds:
+            facts = facts.withColumn("admitted", F.col("span_kind").isin(list(admit.span_kinds)))
+            reason = F.when(~F.col("admitted"), OUT_OF_SCOPE)
+        stored = facts = facts.persist(StorageLevel.DISK_ONLY)
         try:
+            if reason is not None:
+                _count_outcomes([facts.select("tenant_id", reason.alias("reject_reason"))], f"{root}/ingest_quality/rows/{table}", batch_id)
+                if signal == "metrics":
+                    names = facts.filter(~F.col("admitted")).groupBy("tenant_id", "metric_name").agg(F.count(F.lit(1)).alias("points"))
+                    names.write.mode("overwrite").parquet(f"{root}/rejected/{table}/batch_id={batch_id}")
+                facts = facts.filter("admitted").drop("admitted")
             tables.write_batch(facts, root, table, batch_id)
             for rollup in fed:
                 states.write_states(facts, rollup, root, batch_id)
         finally:
-            facts.unpersist()
+            stored.unpersist()
     finally:
-        batches.unpersist()
+        source.unpersist()
+
+
+def _count_outcomes(outcomes: list[DataFrame], path: str, batch_id: int) -> None:
+    """Store the counts of one batch by tenant and reason."""
+    rows = outcomes[0]
+    for more in outcomes[1:]:
+        rows = rows.unionByName(more)
+    admission.ingest_quality_counts(rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def ingest_stream(batches: DataFrame, signal: str, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def ingest_stream(
+    batches: DataFrame, signal: str, root: str, checkpoint: str, admit: Admission | None = None, **trigger
+) -> StreamingQuery:
     """Run the ingest of one signal; ``trigger`` as for ``DataStreamWriter.trigger``."""
-    writer = batches.writeStream.foreachBatch(lambda df, batch_id: store_batch(df, signal, root, batch_id))
+    writer = batches.writeStream.foreachBatch(lambda df, batch_id: store_batch(df, signal, root, batch_id, admit))
     writer = writer.option("checkpointLocation", checkpoint).queryName(f"ingest_{signal}")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from datetime import date
 
 import numpy as np
 import pytest
@@ -95,18 +96,16 @@ def flat(spark, *lines):
 @pytest.mark.parametrize("system", ["db.system", "db.system.name"])
 @pytest.mark.parametrize("statement", ["db.statement", "db.query.text"])
 def test_database_attributes_under_either_name(spark, system, statement):
-    text = "SELECT * FROM master_plant WHERE company_id = $1"
-    row = flat(spark, span_line([(system, "postgresql"), (statement, text), ("rest", "1")])).first()
-    assert (row.db_system, row.db_statement, row.attrs_keys, row.attrs_values) == ("postgresql", text, ["rest"], ["1"])
+    text = "update stock set n = n - 1 where part = ?"
+    row = flat(spark, span_line([("shelf", "b4"), (statement, text), (system, "mariadb")])).first()
+    assert (row.db_system, row.db_statement, row.attrs_keys, row.attrs_values) == ("mariadb", text, ["shelf"], ["b4"])
 
 
 def test_duplicate_attributes_and_span_fields(spark):
-    twice = [("db.system", "postgresql"), ("db.system.name", "postgresql"), ("http.route", "/a"), ("http.route", "/b")]
-    row = flat(
-        spark, span_line(twice, start=1_700_000_000_000_000_000, end=1_700_000_000_005_000_000, kind=2, status={"code": 1})
-    ).first()
-    assert (row.db_system, row.http_route, row.attrs_keys) == ("postgresql", "/b", [])
-    assert (row.span_kind, row.status_code, row.duration_ns, row.service_name) == ("SERVER", "OK", 5_000_000, "svc")
+    twice = [("http.route", "/cart"), ("db.system.name", "redis"), ("db.system", "redis"), ("http.route", "/cart/{id}")]
+    row = flat(spark, span_line(twice, start=5 * HOUR, end=5 * HOUR + 1_234_567, kind=2, status={"code": 1})).first()
+    assert (row.db_system, row.http_route, row.attrs_keys) == ("redis", "/cart/{id}", [])
+    assert (row.span_kind, row.status_code, row.duration_ns, row.service_name) == ("SERVER", "OK", 1_234_567, "svc")
     assert (row.trace_id, row.parent_span_id) == ("ab" * 16, "")
 
 
@@ -271,6 +270,20 @@ def test_log_paging_and_millisecond_bounds(spark):
     assert logs.list_logs(df, 1, after=last).count() == 3
 
 
+def test_limits_can_be_lifted(spark):
+    ids = [(i, f"{i:04d}") for i in range(1200)]
+    many = span_rows(spark, ids, "start_time_unix_ns long, span_id string")
+    assert [spans.list_spans(many, limit=n).count() for n in (0, 1100, None)] == [50, 1100, 1200]
+    schema = (
+        "tenant_id int, time_unix_ns long, service_name string, severity_number int, severity_text string, body string,"
+        " trace_id string, span_id string"
+    )
+    lines = spark.createDataFrame([(1, i, "s", 9, "INFO", "b", "t", s) for i, s in ids], schema)
+    assert [logs.logs_for_trace(lines, 1, "T", n).count() for n in (500, None)] == [500, 1200]
+    assert [logs.logs_for_traces(lines, lines.limit(1), n).count() for n in (500, None)] == [500, 1200]
+    assert [logs.list_logs(lines, limit=n).count() for n in (1150, None)] == [1150, 1200]
+
+
 # ---------------------------------------------------------------------------- quantiles and latency states
 
 
@@ -401,10 +414,46 @@ def test_written_tables_are_partitioned_and_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(tenant_id" in plan and "event_date" in plan.split("PartitionFilters:")[1][:200]
 
 
-def test_dropping_catalogue_partitions(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-02")], "tenant_id int, event_date string").withColumn("v", F.lit(1))
-    spark.sql("DROP TABLE IF EXISTS facts_to_drop")
-    rows.write.partitionBy("tenant_id", "event_date").option("path", str(tmp_path / "t")).saveAsTable("facts_to_drop")
-    assert tables.drop_partitions(spark, "facts_to_drop", rows.filter("event_date = '2024-01-01'")) == 1
-    assert values(spark.table("facts_to_drop"), "event_date") == [("2024-01-02",)]
-    spark.sql("DROP TABLE facts_to_drop")
+def test_one_layout_for_batches_appends_compaction_and_retention(spark, tmp_path):
+    root = str(tmp_path)
+    days = [(d * 86_400 * NS, f"{d}-{i}", t) for d in range(4) for t in (1, 2) for i in range(3)]
+    df = span_rows(spark, days, "start_time_unix_ns long, trace_id string, tenant_id int")
+    tables.write_partitioned(df.filter("tenant_id = 1"), root, "spans")
+    for batch in (0, 1, 2):
+        tables.write_batch(df.filter(F.endswith("trace_id", F.lit(f"-{batch}"))), root, "spans", batch)
+    tables.write_batch(df.filter(F.endswith("trace_id", F.lit("-2"))), root, "spans", 2)  # a replay
+    everything = lambda: sorted(values(tables.read_table(spark, root, "spans"), "tenant_id", "trace_id"))
+    wanted = sorted([(t, x) for _, x, t in days] + [(t, x) for _, x, t in days if t == 1])
+    assert everything() == wanted
+
+    batches = lambda: {r.batch_id for r in tables.read_table(spark, root, "spans").select("batch_id").distinct().collect()}
+    assert tables.compact(spark, root, "spans", upto=1) == 8 and everything() == wanted and batches() == {-3, 2}
+    assert tables.compact(spark, root, "spans", upto=1) == 0
+    tables.write_batch(df.filter(F.endswith("trace_id", F.lit("-0")) & (F.col("tenant_id") == 1)), root, "spans", 3)
+    assert tables.compact(spark, root, "spans", upto=3) == 8 and batches() == {-5}
+    assert everything() == sorted(wanted + [(t, x) for _, x, t in days if t == 1 and x.endswith("-0")])
+
+    # As of 1970-01-04 tenant 1 keeps one day, tenant 2 everything.
+    known = spark.createDataFrame([(1, 1, "active"), (2, 90, "active")], "tenant_id int, data_retention_days int, status string")
+    listed = tables.list_partitions(spark, root, "spans")
+    assert listed.count() == 8
+    gone = tenants.retention_sweep(listed, known, 3 * 86_400 * NS)
+    assert sorted(values(gone, "tenant_id", "period")) == [(1, "1970-01-01"), (1, "1970-01-02")]
+    assert tables.remove_partitions(spark, root, gone) == 2
+    left = tables.read_table(spark, root, "spans")
+    assert sorted(set(values(left, "tenant_id", "event_date"))) == [
+        (1, date(1970, 1, 3)), (1, date(1970, 1, 4)), *[(2, date(1970, 1, d)) for d in (1, 2, 3, 4)],
+    ]
+
+
+def test_a_compaction_that_was_cut_off_is_finished(spark, tmp_path):
+    root = str(tmp_path)
+    df = span_rows(spark, [(i * NS, str(i)) for i in range(6)], "start_time_unix_ns long, trace_id string")
+    for batch in (0, 1):
+        tables.write_batch(df.filter(f"cast(trace_id as int) % 2 = {batch}"), root, "spans", batch)
+    # The merged files are complete, the exchange did not happen.
+    merged = tables.arranged(df, "spans").withColumn("batch_id", F.lit(-3))
+    merged.write.partitionBy("tenant_id", "event_date", "batch_id").parquet(f"{root}/spans/_compacting")
+    assert tables.read_table(spark, root, "spans").count() == 6
+    assert tables.compact(spark, root, "spans", upto=1) == 0
+    assert sorted(values(tables.read_table(spark, root, "spans"), "trace_id", "batch_id")) == [(str(i), -3) for i in range(6)]

@@ -1,5 +1,6 @@
 """Streams against the batch results over the same input."""
 
+import json
 import shutil
 
 import pytest
@@ -96,6 +97,49 @@ def test_all_signals_are_stored(spark, tmp_path):
     assert count("host_processes") == views.host_processes(spark, SF).filter(inside).count()
 
 
+def test_rows_that_are_not_admitted(spark, tmp_path):
+    root = str(tmp_path)
+    known = spark.createDataFrame([(1, "active"), (2, "suspended"), (3, "active")], "tenant_id int, status string")
+    keys = spark.createDataFrame(
+        [(1, 10, None, None), (1, 11, 5, None), (2, 20, None, None), (3, 30, None, 900)],
+        "tenant_id int, key_id long, revoked_unix_ns long, expires_unix_ns long",
+    )
+    admit = jobs.Admission(known, keys, metric_cap=2, span_kinds=["SERVER"])
+
+    def span(kind):
+        return {"trace_id": "ab" * 16, "span_id": "cd" * 8, "name": "n", "kind": kind, "start_time_unix_nano": "1", "end_time_unix_nano": "2"}
+
+    def line(tenant, key, received=1000, **signal):
+        return json.dumps({"tenant_id": tenant, "key_id": key, "received_unix_ns": str(received), **signal})
+
+    spans = {"resource_spans": [{"resource": {"attributes": []}, "scope_spans": [{"spans": [span(2), span(3)]}]}]}
+    sent = [line(1, 10, **spans), line(1, 11, **spans), line(2, 20, **spans), line(3, 30, **spans), line(1, 99, **spans),
+            line(3, 30, received=800, **spans), '{"tenant_id": 1, ']
+    lines = spark.createDataFrame([(x,) for x in sent], "value string")
+    for _ in range(2):  # a replay changes nothing
+        jobs.store_batch(otlp.parsed(lines, "spans"), "spans", root, 0, admit)
+    stored = spark.read.parquet(f"{root}/spans")
+    assert sorted((r.tenant_id, r.span_kind) for r in stored.collect()) == [(1, "SERVER"), (3, "SERVER")]
+    refused = spark.read.parquet(f"{root}/rejected/spans")
+    assert sorted((r.tenant_id, r.key_id, r.reject_reason) for r in refused.collect()) == [
+        (1, 11, "not admitted"), (1, 99, "not admitted"), (2, 20, "not admitted"), (3, 30, "not admitted"),
+    ]
+    counted = lambda what: {
+        (r.tenant_id, r.reject_reason): (r.accepted, r.rejected) for r in spark.read.parquet(f"{root}/ingest_quality/{what}/spans").collect()
+    }
+    batches, by_row = counted("batches"), counted("rows")
+    assert batches[(1, "not admitted")] == (0, 2) and batches[(1, "")] == (1, 0) and sum(r for (_, why), (_, r) in batches.items() if why == "malformed") == 1
+    assert by_row == {(t, why): n for t in (1, 3) for why, n in (("", (1, 0)), ("out of scope", (0, 1)))}
+
+    points = [{"name": n, "gauge": {"data_points": [{"time_unix_nano": "1", "as_double": 1.0}]}} for n in ("a", "b", "c", "c")]
+    metrics = {"resource_metrics": [{"resource": {"attributes": []}, "scope_metrics": [{"metrics": points}]}]}
+    lines = spark.createDataFrame([(line(1, 10, **metrics),), (line(2, 20, **metrics),)], "value string")
+    jobs.store_batch(otlp.parsed(lines, "metrics"), "metrics", root, 0, admit)
+    assert sorted(r.metric_name for r in spark.read.parquet(f"{root}/metric_points").collect()) == ["a", "b"]
+    names = spark.read.parquet(f"{root}/rejected/metric_points").collect()
+    assert [(r.tenant_id, r.metric_name, r.points) for r in names] == [(1, "c", 2)]
+
+
 def test_unreadable_lines_are_kept_apart(spark, tmp_path):
     lines = spark.createDataFrame([('{"tenant_id": 1, "resource_spans": []}',), ('{"tenant_id": ',)], "value string")
     jobs.store_batch(otlp.parsed(lines, "spans"), "spans", str(tmp_path), 3)
