@@ -181,7 +181,7 @@ def training_rows(docs: DataFrame, text: str, lang: str, key: str, rows: int) ->
 
     The rows are chosen by their keys alone, and these few keys are sent to the documents.
     """
-    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
     keys = usable.select(F.col(key).alias("_k"), F.col(lang).alias("_c")).distinct()
     order = Window.partitionBy("_c").orderBy(F.xxhash64("_k"), "_k")
     picked = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")

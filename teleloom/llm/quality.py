@@ -144,7 +144,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, quality: str, k
     """
     picked = None
     for good in (0, 1):
-        some = labels.where(F.col(quality) == good).select(F.col(key).alias("_k"), F.lit(good).alias("_good")).distinct()
+        some = labels.where((F.col(quality) == good) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(good).alias("_good")).distinct()
         some = some.orderBy(F.xxhash64("_k"), "_k").limit(rows)
         picked = some if picked is None else picked.union(some)
     found = docs.join(F.broadcast(picked), docs[key] == F.col("_k")).select("_k", "_good", F.coalesce(F.col(text), F.lit("")).alias("_t"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from teleloom.llm.common import broadcast_if_small, kept, word_array
 
-# A word with a run of at least so many of these characters, a digit among them, is a candidate.
+# A word with a run of at least so many of these characters, a digit among them, is a candidate; so is a key
+# identifier of a known form, which may have none.
 RUN = r"[A-Za-z0-9+/_\-]{12,}"
+IDENTIFIER = r"AKIA[0-9A-Z]{16}"
 #: Words of the dictionary, the commonest of the whole table, and the length of the pieces compared.
 DICTIONARY_WORDS = 5000
 PIECE = 4
@@ -33,7 +35,7 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
     """
     rows = docs.select(F.col(key).alias("doc"), (F.col(path) if path else F.lit("")).cast("string").alias("path"), word_array(F.col(text)).alias("w"))
     each = rows.select("doc", "path", "w", F.posexplode("w").alias("at", "word")).where(F.length("word") >= 12)
-    run = F.regexp_extract("word", rf"((?=[A-Za-z+/_\-]*[0-9]){RUN})", 1)
+    run = F.regexp_extract("word", rf"((?=[A-Za-z+/_\-]*[0-9]){RUN}|{IDENTIFIER})", 1)
     each = each.withColumn("candidate", run).where("candidate <> ''")
     near = lambda i: F.coalesce(F.try_element_at("w", i), F.lit(""))
     # try_element_at counts from 1, and from the end below 0.

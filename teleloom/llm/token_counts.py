@@ -67,7 +67,7 @@ def count_tokens(text: str, encoder, tables: list[dict], cache: dict) -> int:
 def frequent_words(docs: DataFrame, text: str, rows: int = HINT_ROWS, words: int = HINT_WORDS) -> list[str]:
     """The commonest pre-tokens of a bounded number of rows."""
     some = docs.select(F.col(text).alias("t")).where("t is not null").limit(rows)
-    split = some.select(F.explode(F.split("t", "(?<=[^ ])(?= )")).alias("w")).where(F.length("w") <= CACHE_CHARS)
+    split = some.select(F.explode(F.split("t", "(?<=[^ ])(?= )")).alias("w")).where(F.length("w").between(1, CACHE_CHARS))
     top = split.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
     return [r["w"] for r in top.collect()]
 
