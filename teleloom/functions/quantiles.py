@@ -66,10 +66,11 @@ def summarize(
     quantiles: Mapping[str, float],
     scale: float = 1.0,
     span: Span | None = None,
+    times: Column | None = None,
 ) -> DataFrame:
     """One row per key: merged measures, then quantiles of ``value`` divided by ``scale``.
 
-    A quantile of no values is 0. With ``span`` the result also has one row per step; rows sharing
+    A quantile of no values is 0. A value counts once, or as often as ``times`` says. With ``span`` the result also has one row per step; rows sharing
     the same steps and value are added up before they are repeated for each step.
     """
     keys = list(keys)
@@ -77,7 +78,7 @@ def summarize(
         *keys,
         *([span.low.alias("_low"), span.high.alias("_high")] if span else []),
         value.alias("_value"),
-        F.when(value.isNotNull(), 1).otherwise(0).cast("bigint").alias("_n"),
+        F.when(value.isNotNull(), F.lit(1) if times is None else times).otherwise(0).cast("bigint").alias("_n"),
         *[expr.alias(name) for name, (expr, _) in measures.items()],
     ).withColumn("_slice", magnitude_slice(F.col("_value")))
     merged = _merged(measures)

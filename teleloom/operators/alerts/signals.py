@@ -1,8 +1,9 @@
 """Rolling-window signals of all alert rules in one job.
 
-Rules are joined to the facts of their tenant. Every fact belongs to the ticks whose window covers
-it, a run ``low..high`` of the tick grid. Facts with the same run are added up first; only those sums
-are repeated per tick, so dense grids do not multiply the raw rows.
+Facts are added up by tenant, service and second before any rule sees them; ticks and windows are whole
+seconds, so that nothing is lost. Rules with a service are joined to the sums of that service, rules without
+one to the sums of the whole tenant. Every sum belongs to the ticks whose window covers it, a run
+``low..high`` of the tick grid; sums with the same run are added up before they are repeated per tick.
 """
 
 from __future__ import annotations
@@ -72,21 +73,50 @@ def live_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _matched(facts: DataFrame, time_col: str, watching: DataFrame, ticks: Ticks) -> DataFrame:
-    """Facts joined to the rules watching them, with the run of ticks they count for."""
-    rows = ticks.cut(facts, time_col).join(watching, "tenant_id")
-    rows = rows.filter((F.col("service_filter") == "") | (F.col("service_filter") == F.col("service_name")))
-    rows = rows.withColumn("_low", ticks.low(F.col(time_col))).withColumn(
-        "_high", ticks.high(F.col(time_col), F.col("_window_s"))
+# Parts of a second: facts at its very begin, and facts within it, for which the middle stands.
+HALF_NS = NS // 2
+_SUM = {"sum": F.sum, "max": F.max}
+
+
+def _by_second(
+    facts: DataFrame, time_col: str, ticks: Ticks, detail: list[str], sums: dict[str, tuple[Column, str]]
+) -> DataFrame:
+    """Sums by tenant, service, second (``_at``, in ns) and further columns."""
+    time = F.col(time_col)
+    second = time - F.pmod(time, F.lit(NS))
+    at = second + F.when(F.pmod(time, F.lit(NS)) == 0, 0).otherwise(HALF_NS)
+    rows = ticks.cut(facts, time_col).withColumn("_at", at)
+    return rows.groupBy("tenant_id", "service_name", "_at", *detail).agg(
+        *[_SUM[kind](expr).alias(name) for name, (expr, kind) in sums.items()]
     )
+
+
+def _matched(
+    sums: DataFrame, watching: DataFrame, ticks: Ticks, detail: list[str], kinds: dict[str, str]
+) -> DataFrame:
+    """Sums joined to the rules watching them, with the run of ticks they count for."""
+    merged = [_SUM[kind](name).alias(name) for name, kind in kinds.items()]
+    whole = sums.groupBy("tenant_id", "_at", *detail).agg(*merged)
+    all_services = whole.join(watching.filter(F.col("service_filter") == ""), "tenant_id")
+    one = watching.filter(F.col("service_filter") != "")
+    one_service = sums.join(one.withColumn("service_name", F.col("service_filter")), ["tenant_id", "service_name"])
+    rows = all_services.unionByName(one_service.drop("service_name"))
+    rows = rows.withColumn("_low", ticks.low(F.col("_at"))).withColumn("_high", ticks.high(F.col("_at"), F.col("_window_s")))
     return rows.filter(F.col("_low") <= F.col("_high"))
 
 
+def _watched(
+    facts: DataFrame, time_col: str, watching: DataFrame, ticks: Ticks, detail: list[str], sums: dict[str, tuple[Column, str]]
+) -> DataFrame:
+    by_second = _by_second(facts, time_col, ticks, detail, sums)
+    return _matched(by_second, watching, ticks, detail, {name: kind for name, (_, kind) in sums.items()})
+
+
 def _rolled(rows: DataFrame, partial: dict[str, tuple[Column, str]]) -> DataFrame:
     """Sums and maxima per rule and tick from sums per run of ticks."""
-    merge = {"sum": F.sum, "max": F.max}
+    merge = _SUM
     runs = rows.groupBy("rule_id", "signal_type", "_low", "_high").agg(
-        *[merge[kind](expr).alias(name) for name, (expr, kind) in partial.items()]
+        *[merge[kind](name).alias(name) for name, (_, kind) in partial.items()]
     )
     steps = runs.withColumn("_step", F.explode(F.sequence("_low", "_high")))
     return steps.groupBy("rule_id", "signal_type", "_step").agg(
@@ -102,15 +132,16 @@ def signal_latency(rules: DataFrame, spans: DataFrame, ticks: Ticks) -> DataFram
     """p50/p90/p99 of server spans in ms."""
     wanted = live_rules(rules).filter(F.col("signal_type").isin(list(LATENCY_SIGNALS)))
     facts = spans.filter(is_server_span()).select("tenant_id", "service_name", "start_time_unix_ns", "duration_ns")
-    rows = _matched(facts, "start_time_unix_ns", wanted, ticks)
+    sums = _by_second(facts, "start_time_unix_ns", ticks, ["duration_ns"], {"_times": (F.lit(1).cast("bigint"), "sum")})
     summary = summarize(
-        rows,
+        _matched(sums, wanted, ticks, ["duration_ns"], {"_times": "sum"}),
         ["rule_id", "signal_type"],
         {},
         F.col("duration_ns"),
         LATENCY_SIGNALS,
         scale=MS,
         span=Span("_step", F.col("_low"), F.col("_high")),
+        times=F.col("_times"),
     )
     value = F.lit(None).cast("double")
     for name in LATENCY_SIGNALS:
@@ -123,8 +154,8 @@ def _span_counts(rules: DataFrame, spans: DataFrame, ticks: Ticks, signals: list
     facts = spans.filter(is_server_span()).select(
         "tenant_id", "service_name", "start_time_unix_ns", flag(is_server_error()).alias("_error")
     )
-    rows = _matched(facts, "start_time_unix_ns", wanted, ticks)
-    return _rolled(rows, {"n": (F.lit(1).cast("bigint"), "sum"), "errors": (F.col("_error"), "sum")})
+    sums = {"n": (F.lit(1).cast("bigint"), "sum"), "errors": (F.col("_error"), "sum")}
+    return _rolled(_watched(facts, "start_time_unix_ns", wanted, ticks, [], sums), sums)
 
 
 def signal_error_rate(rules: DataFrame, spans: DataFrame, ticks: Ticks) -> DataFrame:
@@ -150,9 +181,10 @@ def signal_log_count(rules: DataFrame, logs: DataFrame, ticks: Ticks) -> DataFra
     wanted = live_rules(rules).filter(F.col("signal_type") == "log_count")
     wanted = wanted.withColumn("_floor", severity_floor(F.col("signal_param")))
     facts = logs.select("tenant_id", "service_name", "time_unix_ns", "severity_number")
-    rows = _matched(facts, "time_unix_ns", wanted, ticks)
+    sums = {"n": (F.lit(1).cast("bigint"), "sum")}
+    rows = _watched(facts, "time_unix_ns", wanted, ticks, ["severity_number"], sums)
     rows = rows.filter(F.col("severity_number") >= F.col("_floor"))
-    return _observed(_rolled(rows, {"n": (F.lit(1).cast("bigint"), "sum")}), ticks, F.col("n"))
+    return _observed(_rolled(rows, sums), ticks, F.col("n"))
 
 
 def signal_metric(rules: DataFrame, points: DataFrame, ticks: Ticks) -> DataFrame:
@@ -160,18 +192,18 @@ def signal_metric(rules: DataFrame, points: DataFrame, ticks: Ticks) -> DataFram
     wanted = live_rules(rules).filter(F.col("signal_type").isin(METRIC_SIGNALS))
     value = F.coalesce("value_double", F.col("value_int").cast("double"), "histogram_sum")
     facts = points.select("tenant_id", "service_name", "time_unix_ns", "metric_name", value.alias("_value"))
-    rows = _matched(facts, "time_unix_ns", wanted, ticks)
-    rows = rows.filter(F.col("metric_name") == F.col("signal_param"))
-    sums = _rolled(
-        rows,
-        {
-            "total": (F.col("_value"), "sum"),
-            "n": (F.when(F.col("_value").isNotNull(), 1).otherwise(0).cast("bigint"), "sum"),
-            "top": (F.col("_value"), "max"),
-        },
-    )
+    sums = {
+        "total": (F.col("_value"), "sum"),
+        "n": (F.when(F.col("_value").isNotNull(), 1).otherwise(0).cast("bigint"), "sum"),
+        "top": (F.col("_value"), "max"),
+    }
+    # Only points of a metric that some rule watches.
+    watched = wanted.select("tenant_id", F.col("signal_param").alias("metric_name")).distinct()
+    facts = facts.join(watched, ["tenant_id", "metric_name"], "left_semi")
+    rows = _watched(facts, "time_unix_ns", wanted, ticks, ["metric_name"], sums)
+    rolled = _rolled(rows.filter(F.col("metric_name") == F.col("signal_param")), sums)
     mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
-    return _observed(sums, ticks, F.when(F.col("signal_type") == "metric_avg", mean).otherwise(F.col("top")))
+    return _observed(rolled, ticks, F.when(F.col("signal_type") == "metric_avg", mean).otherwise(F.col("top")))
 
 
 def evaluate_rules(rules: DataFrame, spans: DataFrame, logs: DataFrame, points: DataFrame, ticks: Ticks) -> DataFrame:

@@ -59,43 +59,69 @@ def service_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
     return _edge(joined, ["source", "target"], is_server_error())
 
 
+def _outbound(spans: DataFrame, scope: Scope) -> DataFrame:
+    """Spans that call a database or, over HTTP, another host, with the ``kind`` and ``target`` of the call.
+
+    A span calls one of them at most, so that both kinds of edges come from one pass.
+    """
+    df = scope.apply(spans, START).filter(F.col("service_name") != "")
+    outside = (F.col("span_kind") == "CLIENT") & (F.col("http_url") != "")
+    database = F.col("db_system") != ""
+    host = F.when(outside, F.try_parse_url("http_url", F.lit("HOST")))
+    target = F.when(database, F.col("db_system")).otherwise(host)
+    kind = F.when(database, "database").otherwise("external")
+    failed = F.when(database, is_error_status()).otherwise(is_server_error())
+    return df.select("*", kind.alias("kind"), target.alias("target"), failed.alias("_failed"))
+
+
+def outbound_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Calls by service, kind and target; database calls fail by their status alone."""
+    calls = _outbound(spans, scope).filter(F.coalesce("target", F.lit("")) != "")
+    return _edge(calls, ["kind", "service_name", "target"], F.col("_failed"))
+
+
 def database_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    df = scope.apply(spans, START).filter((F.col("db_system") != "") & (F.col("service_name") != ""))
-    return _edge(df, ["service_name", "db_system"], is_error_status())
+    found = outbound_edges(spans.filter(F.col("db_system") != ""), scope).filter(F.col("kind") == "database")
+    return found.drop("kind").withColumnRenamed("target", "db_system")
 
 
 def external_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """Outbound HTTP calls by target host."""
-    df = scope.apply(spans, START).filter(
-        (F.col("span_kind") == "CLIENT")
-        & (F.col("db_system") == "")
-        & (F.col("http_url") != "")
-        & (F.col("service_name") != "")
-    )
-    hosted = df.withColumn("host", F.try_parse_url("http_url", F.lit("HOST"))).filter(F.col("host") != "")
-    return _edge(hosted, ["service_name", "host"], is_server_error())
+    found = outbound_edges(spans.filter(F.col("db_system") == ""), scope).filter(F.col("kind") == "external")
+    return found.drop("kind").withColumnRenamed("target", "host")
+
+
+PREFIX = {"service": "svc", "database": "db", "external": "ext"}
+
+
+def _target_id(kind: Column, target: Column) -> Column:
+    prefix = F.when(kind == "database", PREFIX["database"]).otherwise(PREFIX["external"])
+    return F.concat_ws(":", prefix, target)
 
 
 def service_map_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """All edges with ``svc:``/``db:``/``ext:`` node ids and the kind of the target."""
-
-    def shaped(edges: DataFrame, source: str, kind: str, prefix: str, target: str) -> DataFrame:
-        return edges.select(
-            "tenant_id",
-            _id("svc", source).alias("source_id"),
-            _id(prefix, target).alias("target_id"),
-            F.lit(kind).alias("target_kind"),
-            F.col(target).alias("target_label"),
-            "calls",
-            "errors",
-            "avg_ms",
-        )
-
-    return (
-        shaped(service_edges(spans, scope), "source", "service", "svc", "target")
-        .unionByName(shaped(database_edges(spans, scope), "service_name", "database", "db", "db_system"))
-        .unionByName(shaped(external_edges(spans, scope), "service_name", "external", "ext", "host"))
+    between = service_edges(spans, scope).select(
+        "tenant_id",
+        _id("svc", "source").alias("source_id"),
+        _id("svc", "target").alias("target_id"),
+        F.lit("service").alias("target_kind"),
+        F.col("target").alias("target_label"),
+        "calls",
+        "errors",
+        "avg_ms",
+    )
+    outward = outbound_edges(spans, scope).select(
+        "tenant_id",
+        _id("svc", "service_name").alias("source_id"),
+        _target_id(F.col("kind"), F.col("target")).alias("target_id"),
+        F.col("kind").alias("target_kind"),
+        F.col("target").alias("target_label"),
+        "calls",
+        "errors",
+        "avg_ms",
     )
+    return between.unionByName(outward)
 
 
 def service_map_nodes(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
@@ -111,27 +137,31 @@ def service_map_nodes(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
         F.col("p50_ms").alias("latency_ms"),
     )
 
-    def targets(edges: DataFrame, kind: str, prefix: str, target: str) -> DataFrame:
-        grouped = edges.groupBy("tenant_id", F.col(target).alias("label")).agg(
-            F.sum("calls").alias("calls"),
-            F.sum("errors").alias("errors"),
-            (F.sum(F.col("avg_ms") * F.col("calls")) / F.sum("calls")).alias("latency_ms"),
-        )
-        return grouped.withColumn("kind", F.lit(kind)).withColumn("node_id", _id(prefix, "label"))
-
-    return services.unionByName(targets(database_edges(spans, scope), "database", "db", "db_system")).unionByName(
-        targets(external_edges(spans, scope), "external", "ext", "host")
+    targets = outbound_edges(spans, scope).groupBy("tenant_id", "kind", F.col("target").alias("label")).agg(
+        F.sum("calls").alias("calls"),
+        F.sum("errors").alias("errors"),
+        (F.sum(F.col("avg_ms") * F.col("calls")) / F.sum("calls")).alias("latency_ms"),
     )
+    return services.unionByName(targets.withColumn("node_id", _target_id(F.col("kind"), F.col("label"))))
 
 
-def service_map_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node counts by kind and the edge count."""
-    per_kind = nodes.groupBy("tenant_id").agg(
-        F.sum(flag(F.col("kind") == "service")).alias("services"),
-        F.sum(flag(F.col("kind") == "database")).alias("databases"),
-        F.sum(flag(F.col("kind") == "external")).alias("external"),
-    )
-    edge_count = edges.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("edges"))
-    return per_kind.join(edge_count, "tenant_id", "left").withColumn(
-        "edges", F.coalesce("edges", F.lit(0).cast("bigint"))
+def service_map_totals(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Node counts by kind and the edge count of each tenant.
+
+    One pass gives the services and their targets; only the edges between services take a join.
+    """
+    service = F.struct(F.lit("service").alias("kind"), F.lit("").alias("source"), F.col("service_name").alias("name"))
+    called = F.struct("kind", F.col("service_name").alias("source"), F.col("target").alias("name"))
+    touched = F.filter(F.array(service, called), lambda x: F.coalesce(x["name"], F.lit("")) != "")
+    pairs = _outbound(spans, scope).select("tenant_id", F.explode(touched).alias("t")).select("tenant_id", "t.*").distinct()
+    names = pairs.groupBy("tenant_id", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda kind: F.sum(flag(F.col("kind") == kind))
+    per_kind = names.groupBy("tenant_id").agg(
+        counted("service").alias("services"),
+        counted("database").alias("databases"),
+        counted("external").alias("external"),
+        F.sum(F.when(F.col("kind") != "service", F.col("n")).otherwise(0)).alias("_outward"),
     )
+    between = service_edges(spans, scope).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_between"))
+    edges = F.col("_outward") + F.coalesce("_between", F.lit(0).cast("bigint"))
+    return per_kind.join(between, "tenant_id", "left").withColumn("edges", edges).drop("_outward", "_between")

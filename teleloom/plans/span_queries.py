@@ -459,7 +459,4 @@ def _(spark, sf):
     ["spans"],
 )
 def _(spark, sf):
-    rows = views.spans(spark, sf)
-    return service_map.service_map_totals(
-        service_map.service_map_nodes(rows, MONTH), service_map.service_map_edges(rows, MONTH)
-    )
+    return service_map.service_map_totals(views.spans(spark, sf), MONTH)
