@@ -175,7 +175,7 @@ SELECT n_nationkey AS rule_id, n_regionkey AS tenant_id, n_name AS rule_name, n_
             ELSE 'metric_max' END AS signal_type,
        CASE WHEN n_nationkey % 8 = 5 THEN 'WARN' WHEN n_nationkey % 8 > 5 THEN 'metric.1' ELSE '' END AS signal_param,
        CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE concat('svc-', CAST(n_regionkey AS VARCHAR)) END AS service_filter,
-       CASE n_nationkey % 3 WHEN 0 THEN 'gt' WHEN 1 THEN 'gte' ELSE 'lt' END AS operator,
+       ['gt', 'gte', 'lt', 'lte', 'eq'][n_nationkey % 5 + 1] AS operator,
        CAST(n_nationkey AS DOUBLE) AS threshold,
        CAST(3600 * (1 + n_nationkey % 5) AS INT) AS window_seconds,
        CAST(3600 * (n_nationkey % 3) AS INT) AS for_seconds,

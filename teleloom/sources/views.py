@@ -362,7 +362,7 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         _choose(key % 8, signals).alias("signal_type"),
         F.when(key % 8 == 5, "WARN").when(key % 8 > 5, "metric.1").otherwise("").alias("signal_param"),
         F.when(key % 2 == 0, "").otherwise(_name("svc-", F.col("n_regionkey"))).alias("service_filter"),
-        _choose(key % 3, ["gt", "gte", "lt"]).alias("operator"),
+        _choose(key % 5, ["gt", "gte", "lt", "lte", "eq"]).alias("operator"),
         key.cast("double").alias("threshold"),
         (3600 * (1 + key % 5)).cast("int").alias("window_seconds"),
         (3600 * (key % 3)).cast("int").alias("for_seconds"),
