@@ -26,6 +26,8 @@ HOT_SHARE = 1e-5
 FILTER_BITS = 16
 FILTER_MOST = 1 << 29
 CHUNK_BITS = 1 << 19
+#: Recurring windows of hot seeds that one broadcast automaton takes (some 2 kB each); beyond it they are joined.
+HOT_WINDOWS = 20_000
 
 
 def window_seeds(texts: list[str | None], window: int = WINDOW) -> tuple:
@@ -109,8 +111,6 @@ def locate(texts: list[bytes], docs: list[int], at: list[int], window: int) -> I
     Passages that recur are confirmed word by word, with the smallest document that has them; an automaton of
     these is compiled, and every passage is streamed through it.
     """
-    import ahocorasick
-
     numbers: dict[bytes, int] = {}
     words = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in t.split()]) for t in texts]
     order = sorted(range(len(docs)), key=docs.__getitem__)
@@ -124,23 +124,37 @@ def locate(texts: list[bytes], docs: list[int], at: list[int], window: int) -> I
                 recurring.add(run)
     if not recurring:
         return
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for run in recurring:
-        automaton.add_word(run, first[run])
-    automaton.make_automaton()
+    automaton = compiled({run: first[run] for run in recurring})
     for i in order:
-        begin = end = -1
-        for last, doc in automaton.iter(words[i]):
-            if doc < docs[i]:
-                if last - window + 1 > end:
-                    if end >= 0:
-                        yield i, at[i] + begin, at[i] + end
-                    begin = last - window + 1
-                end = last + 1
-        if end >= 0:
+        for begin, end in covered(automaton, words[i], docs[i], window):
             yield i, at[i] + begin, at[i] + end
 
 
+def compiled(passages: dict[tuple, int]):
+    """The automaton of word numbers that finds the passages, each with its smallest document."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for run, doc in passages.items():
+        automaton.add_word(run, doc)
+    automaton.make_automaton()
+    return automaton
+
+
+def covered(automaton, words: tuple, doc: int, window: int) -> Iterator[tuple[int, int]]:
+    """Spans of the words that windows of a smaller document cover."""
+    begin = end = -1
+    for last, first in automaton.iter(words):
+        if first < doc:
+            if last - window + 1 > end:
+                if end >= 0:
+                    yield begin, end
+                begin = last - window + 1
+            end = last + 1
+    if end >= 0:
+        yield begin, end
+
+
 def repeated_spans(docs: DataFrame, text: str, key: str, window: int) -> DataFrame:
     """(key, _hash, a, b): spans of words to remove, of rows named by key and text hash; they may overlap."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
@@ -195,15 +209,47 @@ def repeated_spans(docs: DataFrame, text: str, key: str, window: int) -> DataFra
     by_shard = cold.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards))).drop("seed").groupBy("shard")
     spans = by_shard.applyInArrow(sharded, "k bigint, h bigint, a bigint, b bigint")
     if len(hot):
-        # Windows of hot seeds: their smallest document is a plain aggregate, joined back to all occurrences,
-        # so that Spark can split a passage that a third of all documents have.
-        single = kept(rows.mapInArrow(lambda batches: candidates(batches, True), shape).drop("seed"))
-        least = kept(single.groupBy("words").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last"))
-        later = single.join(least, "words").where("k > first")
-        spans = spans.union(later.select("k", "h", F.col("at").alias("a"), (F.col("at") + window).alias("b")))
+        spans = spans.union(_hot_spans(rows, lambda batches: candidates(batches, True), shape, window))
     return spans
 
 
+def _hot_spans(rows: DataFrame, candidates, shape: str, window: int) -> DataFrame:
+    """Spans covered by windows of hot seeds, which up to all documents may share.
+
+    The windows' smallest documents are a plain aggregate, reduced within each slice of a task first. One
+    automaton of those that recur is sent to all tasks, and every document is streamed through it where it
+    lies; if they are too many, they are joined to all their occurrences, which Spark can split.
+    """
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in candidates(batches):
+            found = pa.table([batch.column("words"), batch.column("k")], ["words", "k"]).group_by("words").aggregate([("k", "min"), ("k", "max")])
+            yield from found.select(["words", "k_min", "k_max"]).rename_columns(["words", "first", "last"]).combine_chunks().to_batches()
+
+    ends = rows.mapInArrow(reduced, "words binary, first bigint, last bigint")
+    recurring = ends.groupBy("words").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").drop("last")
+    recurring = kept(recurring)
+    if recurring.count() > HOT_WINDOWS:
+        later = rows.mapInArrow(candidates, shape).join(recurring, "words").where("k > first")
+        return later.select("k", "h", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+    shared = rows.sparkSession.sparkContext.broadcast([(bytes(r["words"]), r["first"]) for r in recurring.collect()])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[bytes, int] = {}
+        automaton = compiled({tuple([numbers.setdefault(w, len(numbers) + 1) for w in t.split()]): doc for t, doc in shared.value})
+        for batch, texts in sized(batches):
+            found = []
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                sequence = tuple([numbers.get(w, 0) for w in (text or "").encode().split()])
+                if shared.value and len(sequence) >= window:
+                    found += [(i, a, b) for a, b in covered(automaton, sequence, doc, window)]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            spans = [pa.array([f[i] for f in found], pa.int64()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *spans], ["k", "h", "a", "b"])
+
+    return rows.mapInArrow(stream, "k bigint, h bigint, a bigint, b bigint")
+
+
 def remove_repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept_text) of every row.
 
