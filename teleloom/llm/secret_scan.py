@@ -14,8 +14,9 @@ from teleloom.llm.common import broadcast_if_small, kept, word_array
 # identifier of a known form, which may have none.
 RUN = r"[A-Za-z0-9+/_\-]{12,}"
 IDENTIFIER = r"AKIA[0-9A-Z]{16}"
-#: Words of the dictionary, the commonest of the whole table, and the length of the pieces compared.
-DICTIONARY_WORDS = 5000
+#: The dictionary: words that are at least this share of all repeated words of the table, which bounds their
+#: number by its inverse; and the length of the pieces compared.
+DICTIONARY_SHARE = 1e-5
 PIECE = 4
 #: Labelled findings that the forest is trained on, by a hash of their document, at most so many of either label.
 TRAIN_ROWS = 2000
@@ -43,11 +44,12 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
     return each.select("doc", "at", "candidate", "word", F.concat_ws(" ", *before).alias("before"), near(F.col("at") + 2).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
 
 
-def dictionary_pieces(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
-    """Pieces of the commonest words of letters of all texts; at most ``words`` words give them."""
+def dictionary_pieces(docs: DataFrame, text: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
+    """Pieces of the common words of letters of all texts; at most ``1 / share`` words give them."""
     each = docs.select(F.explode(word_array(F.lower(F.col(text)))).alias("w")).where(F.col("w").rlike(r"^\p{L}{4,12}$"))
-    top = each.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
-    return top.select(F.explode(pieces(F.col("w"))).alias("piece")).distinct()
+    repeated = kept(each.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    least = (repeated.agg(F.sum("n").alias("n")).first()["n"] or 0) * share
+    return repeated.where(F.col("n") >= least).select(F.explode(pieces(F.col("w"))).alias("piece")).distinct()
 
 
 def pieces(word: Column) -> Column:
