@@ -17,9 +17,9 @@ WINDOW = 13
 SEED_WORDS = 5
 #: Passages that one automaton takes, on average; their number decides the number of shards.
 SHARD_ROWS = 4000
-#: A seed is hot if it is in at least so many documents, and in this share of all seed occurrences; the share
-#: bounds the list of hot seeds, which the workers are sent.
-HOT_DOCUMENTS = 2000
+#: A seed is hot if it has at least so many passages, and this share of all; the share bounds the list of hot
+#: seeds, which the workers are sent. A text that repeats few words has many passages of one seed.
+HOT_PASSAGES = 2000
 HOT_SHARE = 1e-5
 #: Bits of the filter for each recurring seed, and the most it has (64 MB). The filter saves shuffled
 #: passages; one that is too full for the data lets more of them through and changes no result.
@@ -53,7 +53,7 @@ def window_seeds(texts: list[str | None], window: int = WINDOW) -> tuple:
 
 
 def seed_counts(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(seed, n): seeds and the number of rows that have them, summed over slices of a task so far."""
+    """(seed, n, m): seeds, the number of rows that have them, and of passages around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in sized(batches, 0):
@@ -64,10 +64,12 @@ def seed_counts(docs: DataFrame, text: str, window: int) -> DataFrame:
             owner, seeds = owner[order], seeds[order]
             single = np.concatenate([[True], (np.diff(owner) != 0) | (seeds[1:] != seeds[:-1])])[: len(seeds)]
             values, counts = np.unique(seeds[single], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["seed", "n"])
+            passages = np.unique(seeds, return_counts=True)[1]
+            columns = [pa.array(values.view(np.int64)), pa.array(counts, pa.int64()), pa.array(passages, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "n", "m"])
 
-    rows = docs.select(F.col(text)).mapInArrow(run, "seed bigint, n bigint")
-    return rows.groupBy("seed").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text)).mapInArrow(run, "seed bigint, n bigint, m bigint")
+    return rows.groupBy("seed").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _bits(seeds: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +161,9 @@ def repeated_spans(docs: DataFrame, text: str, key: str, window: int) -> DataFra
     """(key, _hash, a, b): spans of words to remove, of rows named by key and text hash; they may overlap."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     counts = kept(seed_counts(rows, "t", window).where("n > 1"))
-    totals = counts.agg(F.count("*").alias("seeds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    hot_from = max(HOT_DOCUMENTS, int(totals["n"] * HOT_SHARE))
-    hot = np.array([r["seed"] for r in counts.where(F.col("n") >= hot_from).select("seed").collect()], np.int64)
+    totals = counts.agg(F.count("*").alias("seeds"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    hot_from = max(HOT_PASSAGES, int(totals["m"] * HOT_SHARE))
+    hot = np.array([r["seed"] for r in counts.where(F.col("m") >= hot_from).select("seed").collect()], np.int64)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((seed_filter(counts, totals["seeds"]), np.sort(hot)))
 
@@ -197,7 +199,7 @@ def repeated_spans(docs: DataFrame, text: str, key: str, window: int) -> DataFra
 
     shape = "seed bigint, k bigint, h bigint, at bigint, words binary"
     cold = rows.mapInArrow(lambda batches: candidates(batches, False), shape)
-    shards = max(1, -(-int(totals["n"]) // SHARD_ROWS))
+    shards = max(1, -(-int(totals["m"]) // SHARD_ROWS))
 
     def sharded(group: pa.Table) -> pa.Table:
         keys = group.column("k").to_pylist()
