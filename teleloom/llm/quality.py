@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teleloom.llm.common import small_batches
-from teleloom.llm.textbytes import joined, sized, word_hashes, word_spans
+from teleloom.llm.textbytes import BLOCK, joined, sized, word_hashes, word_spans
 
 #: Labelled rows the network is fitted to, in the order of a hash of their keys, at most so many of either
 #: label. Every row is scored, however many there are.
@@ -60,8 +60,10 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     within = np.arange(len(raw)) - starts[byte_text]
     owner = first[byte_text] + np.minimum(within // PASSAGE, counts[byte_text] - 1)
     kinds = byte_classes()[raw].astype(np.int64)
-    pairs = np.bincount(owner[:-1] * CLASSES**2 + kinds[:-1] * CLASSES + kinds[1:], minlength=n * CLASSES**2) if len(raw) > 1 else np.zeros(n * CLASSES**2)
-    pairs = pairs.reshape(n, -1)
+    # The line feed behind a text is its last byte; no pair goes on to the next text.
+    whole = byte_text[1:] == byte_text[:-1]
+    pairs = (owner[:-1] * CLASSES**2 + kinds[:-1] * CLASSES + kinds[1:])[whole]
+    pairs = np.bincount(pairs, minlength=n * CLASSES**2).reshape(n, -1)
     size = np.bincount(owner, minlength=n)
     out = np.zeros((n, CLASSES**2 + 4), np.float32)
     out[:, : CLASSES**2] = np.sqrt(pairs / np.maximum(1, size)[:, None])
@@ -80,6 +82,18 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, first[:-1]
 
 
+def training_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many texts, a few at a time: the features are small, the bytes' arrays are not."""
+    parts, a, seen = [], 0, 0
+    for i, t in enumerate(texts):
+        seen += len(t or "")
+        if seen >= BLOCK // 2 or i == len(texts) - 1:
+            parts.append(passages(texts[a : i + 1]))
+            a, seen = i + 1, 0
+    before = np.cumsum([0, *[len(x) for x, _ in parts]])
+    return np.concatenate([x for x, _ in parts]), np.concatenate([f + b for (_, f), b in zip(parts, before, strict=False)])
+
+
 @dataclass
 class Attention:
     """Passage encoder, gated attention (tanh branch, sigmoid branch, weight) and the document's score."""
@@ -107,7 +121,7 @@ class Attention:
 
 def train(texts: list[str], good: list[int], rounds: int = ROUNDS, seed: int = 11) -> Attention:
     """Fit to labelled texts by Adam over all of them; both labels weigh the same."""
-    x, first = passages(texts)
+    x, first = training_passages(texts)
     r = np.random.default_rng(seed)
     small = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     k = x.shape[1]

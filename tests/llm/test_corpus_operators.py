@@ -43,6 +43,7 @@ def corpus():
         ws[r.randrange(300)] = "changed"
         texts.append(" ".join(ws))
     long = " ".join(sentence(r, 20_000))
+    texts += ["a b " * 400, "again and " * 300 + "a b " * 20, "z " * 90, "z " * 2000]
     texts += [None, None, "", "", " ", "\n\t", "one", "one", "One", "two words", long, long + " end", "x" * 100_000]
     order = list(range(len(texts)))
     r.shuffle(order)
@@ -112,7 +113,7 @@ def test_components_of_chains_and_stars(spark):
 @pytest.mark.parametrize(("hot", "most"), [(2000, 20_000), (4, 20_000), (4, 5)])
 def test_repeated_passages(spark, corpus, monkeypatch, hot, most):
     """Cold seeds; hot seeds through the automaton; hot seeds through the join."""
-    monkeypatch.setattr(phrase_dedup, "HOT_DOCUMENTS", hot)
+    monkeypatch.setattr(phrase_dedup, "HOT_PASSAGES", hot)
     monkeypatch.setattr(phrase_dedup, "HOT_WINDOWS", most)
     monkeypatch.setattr(phrase_dedup, "SHARD_ROWS", 50)
     got = phrase_dedup.remove_repeated_passages(frame(spark, corpus))
@@ -213,6 +214,17 @@ def test_nothing_gives_nothing(spark):
         assert result.count() == 0, i
 
 
+def test_scores_do_not_depend_on_neighbours(corpus):
+    r = np.random.default_rng(1)
+    texts = [t for _, t in corpus if len(t or "") < 5000]
+    model = quality.train(texts, [int(len(t or "") > 60) for t in texts], rounds=20)
+    network = language_id.train([t or "" for t in texts], ["xy"[len(t or "") > 60] for t in texts], rounds=5)
+    together = model.score(texts), language_id.label(network, texts)[1]
+    for i in r.choice(len(texts), 30, replace=False):
+        assert abs(model.score([texts[i]])[0] - together[0][i]) < 1e-4
+        assert abs(language_id.label(network, [texts[i]])[1][0] - together[1][i]) < 1e-4
+
+
 def test_texts_without_labels(spark):
     docs = frame(spark, [(1, "abc"), (2, None), (3, "")])
     nothing = language_id.identify(docs, docs.limit(0))
