@@ -27,20 +27,27 @@ GOLAY_RADIUS = 3
 BLOCKS = ((0, GOLAY_BITS), (GOLAY_BITS, GOLAY_BITS), (2 * GOLAY_BITS, 18))
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash over the word shingles of a whole text; zero if it has no word."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a whole text, in order; none if it has no word."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     body = b" ".join(words)
     ends = np.cumsum(lengths + 1) - 1
     width = min(shingle_words, len(words))
     spans = zip((ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(body[a:b], HASH_SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+    return np.fromiter((digest(body[a:b], HASH_SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash over the word shingles of a whole text; zero if it has no word."""
+    hashes = shingle_hashes(text, shingle_words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
