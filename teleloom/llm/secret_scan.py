@@ -30,18 +30,30 @@ ISSUED = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,})$"
 
 
 def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source") -> DataFrame:
-    """(doc, at, candidate, word, before, after, path): every candidate with the words around it.
+    """(doc, at, offset, candidate, word, before, after, path): every candidate with the words around it.
 
-    ``at`` counts the text's words from 0. Of several runs in a word the first with a digit is taken.
+    ``at`` counts the text's words from 0, ``offset`` the word's characters. Of a word with several candidates
+    each has its own part in ``word``: from the end of the one before to its own end, the last to the word's end.
     """
     rows = docs.select(F.col(key).alias("doc"), (F.col(path) if path else F.lit("")).cast("string").alias("path"), word_array(F.col(text)).alias("w"))
     each = rows.select("doc", "path", "w", F.posexplode("w").alias("at", "word")).where(F.length("word") >= 12)
-    run = F.regexp_extract("word", rf"((?=[A-Za-z+/_\-]*[0-9]){RUN}|{IDENTIFIER})", 1)
-    each = each.withColumn("candidate", run).where("candidate <> ''")
+    runs = F.regexp_extract_all("word", F.lit(rf"((?=[A-Za-z+/_\-]*[0-9]){RUN}|{IDENTIFIER})"), F.lit(1))
+    each = each.withColumn("runs", runs).where(F.size("runs") > 0)
+    # A run's text cannot stand earlier behind the run before: it would have been found there. Positions count from 1.
+    place = lambda done, run: F.call_function("locate", run, F.col("word"), done["end"])
+    step = lambda done, run: F.struct((place(done, run) + F.length(run)).alias("end"), F.array_append(done["starts"], place(done, run)).alias("starts"))
+    none = F.struct(F.lit(1).alias("end"), F.array().cast("array<int>").alias("starts"))
+    each = each.withColumn("starts", F.aggregate("runs", none, step)["starts"])
+    last = lambda i: i + 1 == F.size("runs")
+    begin = lambda i: F.when(i == 0, 1).otherwise(F.get("starts", i - 1) + F.length(F.get("runs", i - 1)))
+    end = lambda i, run: F.when(last(i), F.length("word") + 1).otherwise(F.get("starts", i) + F.length(run))
+    part = lambda run, i: F.struct((F.get("starts", i) - 1).alias("offset"), run.alias("candidate"), F.substring("word", begin(i), end(i, run) - begin(i)).alias("part"))
+    each = each.select("doc", "path", "w", "at", F.explode(F.transform("runs", part)).alias("r"))
+    each = each.select("doc", "path", "w", "at", "r.offset", "r.candidate", F.col("r.part").alias("word"))
     near = lambda i: F.coalesce(F.try_element_at("w", i), F.lit(""))
     # try_element_at counts from 1, and from the end below 0.
     before = [F.when(F.col("at") >= n, near(F.greatest(F.col("at") + 1 - n, F.lit(1)))).otherwise("") for n in (2, 1)]
-    return each.select("doc", "at", "candidate", "word", F.concat_ws(" ", *before).alias("before"), near(F.col("at") + 2).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
+    return each.select("doc", "at", "offset", "candidate", "word", F.concat_ws(" ", *before).alias("before"), near(F.col("at") + 2).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
 
 
 def dictionary_pieces(docs: DataFrame, text: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
@@ -105,7 +117,7 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
     """A forest for findings with a ``label``; none if there are no two kinds of them."""
-    parts = [labelled.where(F.col("label") == x).orderBy(F.xxhash64("doc", "at", "candidate"), "doc", "at").limit(rows) for x in (0.0, 1.0)]
+    parts = [labelled.where(F.col("label") == x).orderBy(F.xxhash64("doc", "at", "offset", "candidate"), "doc", "at", "offset").limit(rows) for x in (0.0, 1.0)]
     some = kept(parts[0].union(parts[1]).select("label", *names).coalesce(1))
     if some.select("label").distinct().count() < 2:
         return None
@@ -121,7 +133,7 @@ def scan(
     path: str | None = "source",
     keep_score: float = KEEP_SCORE,
 ) -> DataFrame:
-    """(key, word_at, candidate, score, secret): every candidate of every whole text and the forest's verdict.
+    """(key, word_at, offset, candidate, score, secret): every candidate of every whole text and the forest's verdict.
 
     The forest is trained on ``labelled`` findings (columns of ``candidates`` and ``label``); without these, on
     the findings in ``docs`` labelled by rule, at most ``TRAIN_ROWS`` of either label. Features are length,
@@ -142,4 +154,4 @@ def scan(
     else:
         scored = model.transform(VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
-    return scored.select(F.col("doc").alias(key), F.col("at").cast("bigint").alias("word_at"), "candidate", "score", (F.col("score") >= keep_score).alias("secret"))
+    return scored.select(F.col("doc").alias(key), F.col("at").cast("bigint").alias("word_at"), F.col("offset").cast("bigint").alias("offset"), "candidate", "score", (F.col("score") >= keep_score).alias("secret"))
