@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teleloom.llm import decontamination, exact_dedup, mixing, quality, queries, similar_texts
+from teleloom.llm import decontamination, exact_dedup, mixing, quality, queries, simhash_dedup
 from teleloom.llm.common import table
 from teleloom.session import ensure_checkpoint_dir
 
@@ -22,8 +22,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (similarity of five-word shingles 0.8 or more) the one with the smallest id."""
-    return similar_texts.drop_similar(docs)
+    """Of every group of linked fingerprints (four-word shingles, at most 4 differing bits) the one with the smallest id."""
+    return simhash_dedup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
