@@ -12,6 +12,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 ARROW_BYTES = 8 << 20
 #: A side is broadcast only if its measured rows, at the caller's bytes a row, stay below this.
 BROADCAST_BYTES = 16 << 20
+#: Upper bound of a broadcast row that holds one digest in hexadecimal digits, and a key.
+DIGEST_BYTES = 160
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +36,46 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def broadcast_if_small(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the (kept) frame's counted rows fit; otherwise Spark shuffles both sides."""
-    return F.broadcast(frame) if frame.count() * row_bytes <= limit else frame
+def broadcast_if_small(frame: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the (kept) frame's measured bytes fit; otherwise Spark shuffles both sides.
+
+    ``row_bytes`` is an upper bound of every row's size, or a column that gives each row's own.
+    """
+    each = F.lit(row_bytes).cast("bigint") if isinstance(row_bytes, int) else row_bytes
+    measured = frame.agg(F.coalesce(F.sum(each), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(frame) if measured <= limit else frame
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with leading underscores until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def marked(value: Column) -> Column:
+    """A text that tells every value from every other and from null."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
+
+
+def row_identity(key: Column, text: Column) -> Column:
+    """128 bits that stand for a row's key and whole text; a null is a value of its own."""
+    return F.md5(F.concat(marked(key), F.lit("\0"), marked(text)))
+
+
+def without(docs: DataFrame, identity: Column, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows whose identity is not among ``gone``; of those whose identity is among ``repeated``, one each.
+
+    Both are frames of one column of digests. Rows are shuffled with their texts only if some are repeated.
+    """
+    name = fresh(docs.columns, "identity")
+    named = docs.withColumn(name, identity)
+    left = named.join(broadcast_if_small(gone.toDF(name), DIGEST_BYTES), name, "left_anti")
+    if repeated is not None and not repeated.isEmpty():
+        some = broadcast_if_small(repeated.toDF(name), DIGEST_BYTES)
+        left = left.join(some, name, "left_anti").unionByName(left.join(some, name, "left_semi").dropDuplicates([name]))
+    return left.drop(name)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

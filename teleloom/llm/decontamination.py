@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teleloom.llm.common import broadcast_if_small, kept, word_array
+from teleloom.llm.common import DIGEST_BYTES, broadcast_if_small, kept, row_identity, without, word_array
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits that a window's fingerprint may differ from an item's. Texts of similarity 0.8 differ in 9.7 of 64
-#: bits on average, with a deviation of 2.9; fewer than one in a thousand such pairs has more than 19.
-RADIUS = 19
-# Five blocks of a fingerprint: of at most 19 differing bits at most three lie in one of them.
+#: bits on average, with a deviation of 2.9, so that the radius is some five deviations away.
+RADIUS = 24
+# Five blocks of a fingerprint: of at most 24 differing bits at most four lie in one of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
@@ -70,7 +70,7 @@ def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, items: DataFrame, widths: list[int], similarity: float) -> DataFrame:
-    """(k, th, windows): for each document the item-sized windows that can reach the similarity with some item.
+    """(id, windows): for each document the item-sized windows that can reach the similarity with some item.
 
     A window of n shingles needs n * similarity of them to be benchmark shingles, whatever the item. The hash
     of every shingle of every document is looked up among those of all items of each size; the positions found
@@ -78,10 +78,10 @@ def candidate_windows(docs: DataFrame, items: DataFrame, widths: list[int], simi
     """
     known = items.select("n_words", "width", F.explode("hashes").alias("h")).distinct()
     known = broadcast_if_small(kept(known), 24)
-    words = docs.select("k", "th", word_array(F.col("t")).alias("w"))
+    words = docs.select("id", word_array(F.col("t")).alias("w"))
     every = F.array(*[F.struct(F.lit(x).alias("width"), shingles(F.col("w"), x).alias("hs")) for x in widths])
-    found = words.select("k", "th", F.size("w").alias("m"), F.explode(every).alias("s")).select("k", "th", "m", "s.width", F.posexplode("s.hs").alias("pos", "h"))
-    hits = found.join(known, ["width", "h"]).groupBy("k", "th", "m", "n_words", "width").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    found = words.select("id", F.size("w").alias("m"), F.explode(every).alias("s")).select("id", "m", "s.width", F.posexplode("s.hs").alias("pos", "h"))
+    hits = found.join(known, ["width", "h"]).groupBy("id", "m", "n_words", "width").agg(F.sort_array(F.collect_list("pos")).alias("p"))
     n = F.col("n_words") - F.col("width") + 1
     hits = hits.withColumn("n", n).withColumn("need", F.greatest(F.lit(1), F.ceil(n * similarity - 1e-9).cast("int")))
     hits = hits.where(F.size("p") >= F.col("need")).withColumn("top", F.greatest(F.lit(0), F.col("m") - F.col("n_words")))
@@ -92,40 +92,29 @@ def candidate_windows(docs: DataFrame, items: DataFrame, widths: list[int], simi
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
     starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - F.col("need") + 1), around)))
-    hits = hits.select("k", "th", "n_words", "width", starts.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("k", "th").agg(F.collect_list(F.struct("n_words", "width", "starts")).alias("windows"))
+    hits = hits.select("id", "n_words", "width", starts.alias("starts")).where(F.size("starts") > 0)
+    return hits.groupBy("id").agg(F.collect_list(F.struct("n_words", "width", "starts")).alias("windows"))
 
 
-def leaks(
-    docs: DataFrame,
-    items: DataFrame,
-    text: str = "text",
-    key: str = "doc_id",
-    item_text: str = "text",
-    item_key: str = "item_id",
-    similarity: float = SIMILARITY,
-    radius: int = RADIUS,
+def similar_windows(
+    docs: DataFrame, items: DataFrame, text: str, key: str, item_text: str, item_key: str, similarity: float, radius: int
 ) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word): documents with a passage similar to a benchmark item.
-
-    A passage is a run of as many words as the item has (the whole document if it is shorter). Similarity is
-    the weighted Jaccard index of the runs' shingles of five words; an item with fewer words is one shingle.
-    A pair's best similarity is given, and where the first passage that has it begins, in words from 0.
+    """(id, k, item, similarity, start): every passage that is similar to an item; ``id`` stands for key and text.
 
     Windows that can be similar get a SimHash, equal windows once. Items are spread over all block values
     within the radius's share, which finds every fingerprint within the radius; pairs within it are verified
-    exactly. Case and marks count. Null and empty texts and items match nothing. Repeated rows give a pair
-    once. Other columns are not read; an empty table on either side gives no rows.
+    exactly.
     """
     per_block = radius // len(BLOCKS)
     sized = kept(item_windows(items, item_text, item_key))
     widths = sorted(r["width"] for r in sized.select("width").distinct().collect())  # at most five values
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t")).where("k is not null and t is not null")
+    rows = docs.select(F.col(key).alias("k"), row_identity(F.col(key), F.col(text)).alias("id"), F.col(text).alias("t")).where("t is not null")
     near = kept(candidate_windows(rows, sized, widths or [SHINGLE_WORDS], similarity))
-    named = rows.join(broadcast_if_small(near, 512), ["k", "th"]).select("k", "th", word_array(F.col("t")).alias("w"), F.explode("windows").alias("s"))
-    placed = named.select("k", "w", "s.n_words", "s.width", F.explode("s.starts").alias("start"))
+    starts = F.aggregate("windows", F.lit(0).cast("bigint"), lambda n, x: n + 4 * F.size(x["starts"]) + 40)
+    named = rows.join(broadcast_if_small(near, starts + DIGEST_BYTES), "id").select("id", "k", word_array(F.col("t")).alias("w"), F.explode("windows").alias("s"))
+    placed = named.select("id", "k", "w", "s.n_words", "s.width", F.explode("s.starts").alias("start"))
     placed = placed.withColumn("w", F.slice("w", F.col("start") + 1, F.col("n_words")))
-    placed = placed.select("k", "start", "n_words", F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), shingles(F.col("w"), F.col("width")).alias("hashes"))
+    placed = placed.select("id", "k", "start", "n_words", F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), shingles(F.col("w"), F.col("width")).alias("hashes"))
     placed = kept(placed)
     content = ["n_words", "c1", "c2"]
     distinct = placed.groupBy(*content).agg(F.first("hashes").alias("hashes")).withColumn("fp", simhash(F.col("hashes")))
@@ -143,14 +132,51 @@ def leaks(
     pairs = met.join(distinct.drop("fp"), content).join(sized.select("item", F.col("hashes").alias("ih")), "item")
     similar = pairs.withColumn("similarity", weighted_similarity(F.col("ih"), F.col("hashes"))).where(F.col("similarity") >= similarity)
     similar = kept(similar.select(*content, "item", "similarity"))
-    hits = placed.select("k", "start", *content).join(similar, content)
+    return placed.select("id", "k", "start", *content).join(similar, content).select("id", "k", "item", "similarity", "start")
+
+
+def leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    item_text: str = "text",
+    item_key: str = "item_id",
+    similarity: float = SIMILARITY,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word): documents with a passage similar to a benchmark item.
+
+    A passage is a run of as many words as the item has (the whole document if it is shorter). Similarity is
+    the weighted Jaccard index of the runs' shingles of five words; an item with fewer words is one shingle.
+    A pair's best similarity is given, and where the first passage that has it begins, in words from 0.
+
+    Case and marks count. Null and empty texts and items match nothing. Repeated rows give a pair once, and
+    rows that share a key count as one document; rows without a key are examined too, and give pairs with a
+    null key. Texts of any length are read whole. Other columns are not read; an empty table on either
+    side gives no rows.
+    """
+    hits = similar_windows(docs, items, text, key, item_text, item_key, similarity, radius)
     best = hits.groupBy("k", "item").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"))).alias("m"))
     return best.select(
         F.col("k").alias(key), F.col("item").alias(item_key), F.col("m.similarity").alias("similarity"), (-F.col("m.s")).cast("bigint").alias("first_word")
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows without any leak, with all their columns."""
-    found = kept(leaks(docs, items, text, key, **options).select(F.col(key).alias("_leaky")).distinct())
-    return docs.join(broadcast_if_small(found, 16), docs[key] == found["_leaky"], "left_anti")
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    item_text: str = "text",
+    item_key: str = "item_id",
+    similarity: float = SIMILARITY,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """The rows without any leak, with all their columns.
+
+    Each text is judged by itself: a clean row stays although another one with its key leaks, and a leaky
+    row without a key goes. Repeated rows share their verdict.
+    """
+    hits = similar_windows(docs, items, text, key, item_text, item_key, similarity, radius)
+    return without(docs, row_identity(docs[key], docs[text]), kept(hits.select("id").distinct()))

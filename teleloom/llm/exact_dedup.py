@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teleloom.llm.common import BLANKS, broadcast_if_small, kept
+from teleloom.llm.common import BLANKS, kept, marked, without
 
 #: Runs at the leaves and runs that one merge takes; a digest has at most one row in each run.
 RUNS = 256
@@ -79,6 +79,15 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = kept(exact_duplicates(docs, text, key).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone, 16), docs[key] == gone["_gone"], "left_anti")
+    """Of equal texts one row stays, with all its columns: one with the smallest key.
+
+    A row without a key stays only if no equal text has one. Of rows that repeat key and text one stays,
+    whatever its other columns hold. A key that stands for several texts is no obstacle: each text is judged
+    by itself. Null and empty texts are equal.
+    """
+    named = lambda k, digest: F.concat(F.lit("x"), digest, marked(k))
+    judged = exact_duplicates(docs, text, key).where("not kept or group_size > 1")
+    verdict = judged.select("kept", named(F.col(key), F.col("text_sha256")).alias("identity"))
+    verdict = kept(verdict.groupBy("identity").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"))
+    gone, repeated = verdict.where("not kept").select("identity"), verdict.where("kept").select("identity")
+    return without(docs, named(docs[key], F.sha2(normalised(docs[text]), 256)), gone, repeated)

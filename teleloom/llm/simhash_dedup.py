@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from teleloom.llm.common import broadcast_if_small, components, kept, small_batches
+from teleloom.llm.common import broadcast_if_small, components, kept, row_identity, small_batches, without
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -56,15 +56,16 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str, key: str, shingle_words: int) -> DataFrame:
-    """(key, fp) of every row."""
+    """(key, identity, fp) of every row; the identity stands for key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], [key, "fp"])
+            values = [fingerprint(t.as_py(), shingle_words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], ["key", "identity", "fp"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias(key), F.col(text))
-    return rows.mapInArrow(run, f"`{key}` bigint, fp bigint")
+    own = F.col(key).cast("bigint")
+    rows = docs.select(own.alias("key"), row_identity(own, F.col(text)).alias("identity"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "key bigint, identity string, fp bigint")
 
 
 def block_thresholds(max_bits: int) -> list[int]:
@@ -213,6 +214,18 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def grouped(docs: DataFrame, text: str, key: str, max_bits: int, shingle_words: int) -> DataFrame:
+    """(key, identity, fp, component) of every row: a component is named by the smallest fingerprint in it.
+
+    Fingerprints are their own nodes, so that one that only rows without a key have ties others as well.
+    """
+    small_batches(docs.sparkSession)
+    rows = kept(fingerprints(docs, text, key, shingle_words))
+    distinct = kept(rows.select("fp").distinct().withColumn("node", F.col("fp")))
+    tied = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
+    return rows.join(tied, "fp", "left").select("key", "identity", "fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS
 ) -> DataFrame:
@@ -223,20 +236,26 @@ def near_duplicates(
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; a text of fewer words
     than a shingle is one shingle. Repeated rows share fingerprint and component. A row without a key takes
-    the component of its fingerprint. Other columns are not read; no rows give no rows.
+    the component of its fingerprint, and ties others like any row; a component without any key is null.
+    A key that stands for several texts ties none of them. Other columns are not read; no rows give no rows.
     """
-    small_batches(docs.sparkSession)
-    rows = kept(fingerprints(docs, text, key, shingle_words))
-    distinct = kept(rows.groupBy("fp").agg(F.min(key).alias("node")))
-    tied = components(links(distinct.where("node is not null"), max_bits))
-    groups = distinct.join(tied, distinct["node"] == tied["node"], "left")
-    groups = groups.select("fp", F.coalesce(tied["component"], distinct["node"]).alias("component_id"))
-    found = rows.join(groups, "fp")
-    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row's key of each group stays, the smallest; the rows with all their columns."""
-    found = kept(near_duplicates(docs, text, key, **options))
-    gone = kept(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone, 16), docs[key] == gone["_gone"], "left_anti")
+    rows = kept(grouped(docs, text, key, max_bits, shingle_words))
+    least = rows.groupBy("component").agg(F.min("key").alias("component_id"))
+    found = rows.join(least, "component")
+    return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS
+) -> DataFrame:
+    """One row of each group stays, with all its columns: one with the smallest key.
+
+    A row without a key stays only if its group has none with one. Of several texts with the smallest key one
+    stays, and of rows that repeat key and text one, whatever their other columns hold.
+    """
+    rows = kept(grouped(docs, text, key, max_bits, shingle_words).groupBy("component", "identity").agg(F.min("key").alias("key"), F.count("*").alias("rows")))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "identity")).alias("first"))
+    verdict = rows.join(first, "component").withColumn("stays", F.col("identity") == F.col("first.identity"))
+    verdict = kept(verdict.where("not stays or rows > 1").select("identity", "stays"))
+    gone, repeated = verdict.where("not stays").select("identity"), verdict.where("stays").select("identity")
+    return without(docs, row_identity(docs[key].cast("bigint"), docs[text]), gone, repeated)
