@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teleloom.llm import chat_format, decontamination, exact_dedup, language_id, mixing, phrase_dedup, quality, secret_scan, simhash_dedup, sql, token_counts
+from teleloom.llm import (
+    chat_format,
+    decontamination,
+    exact_dedup,
+    hard_negatives,
+    language_id,
+    lexical_search,
+    mixing,
+    phrase_dedup,
+    quality,
+    secret_scan,
+    simhash_dedup,
+    sql,
+    token_counts,
+    vector_search,
+)
 from teleloom.llm.common import table
 
 #: File of the tokenizer that op10 counts with, if the caller names none.
@@ -76,6 +91,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_phrase_dedup": op2_phrase_dedup,
@@ -87,5 +116,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_vector_search": op12_vector_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = sql.ORACLES

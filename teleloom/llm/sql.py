@@ -74,3 +74,60 @@ scored as (select *, inter::double / (n + n_win - inter)::double as similarity f
 select doc_id, item_id, max(similarity) as similarity, cast(arg_min(start, (-similarity, start)) as bigint) as first_word
 from scored where similarity >= 0.8 group by doc_id, item_id
 """
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op11_lexical_search"] = rf"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERMS}') as t from documents),
+totals as (select count(*) as docs, cast(sum(len(t)) as bigint) as terms from d where len(t) > 0),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERMS}')) as term
+  from benchmark where item_id is not null),
+held as (
+  select r, doc_id, n, term, count(*) as tf
+  from (select r, doc_id, len(t) as n, unnest(t) as term from d) where term in (select term from wanted) group by all),
+weights as (
+  select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w
+  from held, totals group by term, docs),
+scored as (
+  select item_id, r, doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) as bigint) as score
+  from held join weights using (term) join wanted using (term), totals group by item_id, r, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from scored where score > 0 and doc_id is not null qualify rank <= 50
+"""
+
+_VECTORS = """
+select distinct vec_id, {columns} list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+where vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+"""
+
+ORACLES["op12_vector_search"] = f"""
+with v as ({_VECTORS.format(columns="")}),
+asking as (select vec_id as query_id, x as q from v where vec_id % 50 = 0),
+scored as (
+  select query_id, vec_id, cast(list_dot_product(q, x) as bigint) as score
+  from asking join v on vec_id <> query_id and len(q) = len(x))
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+ORACLES["op13_hard_negatives"] = f"""
+with v as (
+  {_VECTORS.format(columns="case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,")} and label is not null),
+scored as (
+  select a.vec_id as anchor_id, a.label = c.label as same, c.vec_id as other_id, cast(list_dot_product(a.x, c.x) as bigint) as score
+  from v a join v c on len(a.x) = len(c.x) where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same and other_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id,
+  cast(row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as int) as rank,
+  other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
