@@ -19,7 +19,8 @@ def metric_cardinality_guard(
 ) -> DataFrame:
     """Adds ``admitted``: at most ``cap`` distinct metric names per tenant and window, first seen first.
 
-    Windows are aligned to the epoch; the streaming guard opens them at the first arrival instead.
+    For one table of points: windows are aligned to the epoch. A stream opens them at the first arrival and carries
+    the names from batch to batch (``streaming.cardinality``).
     Names are cut to ``cap`` in every task before the shuffle, and admitted names join back by
     (tenant, window, name).
     """
@@ -78,18 +79,24 @@ def sample_traces(spans: DataFrame, ratio: float, parent_flags: str | None = Non
     return spans.filter(keep)
 
 
-def filter_capture_scope(
-    spans: DataFrame, kinds: list[str] | None = None, prefixes: list[str] | None = None, source: str = "source_name"
-) -> DataFrame:
-    """Spans of the wanted kinds whose source starts with one of the prefixes; empty lists mean all."""
+def in_capture_scope(kinds: list[str] | None = None, prefixes: list[str] | None = None, source: str = "source_name") -> Column:
+    """Whether a span is of one of the kinds and its source starts with one of the prefixes; empty lists mean all."""
+    inside = F.lit(True)
     if kinds:
-        spans = spans.filter(F.col("span_kind").isin(kinds))
+        inside = inside & F.coalesce(F.col("span_kind").isin(kinds), F.lit(False))
     if prefixes:
         wanted = F.lit(False)
         for prefix in prefixes:
-            wanted = wanted | F.startswith(source, F.lit(prefix))
-        spans = spans.filter(wanted)
-    return spans
+            wanted = wanted | F.startswith(F.coalesce(F.col(source), F.lit("")), F.lit(prefix))
+        inside = inside & wanted
+    return inside
+
+
+def filter_capture_scope(
+    spans: DataFrame, kinds: list[str] | None = None, prefixes: list[str] | None = None, source: str = "source_name"
+) -> DataFrame:
+    """Spans of the wanted kinds whose source starts with one of the prefixes; empty lists mean all."""
+    return spans.filter(in_capture_scope(kinds, prefixes, source))
 
 
 # ---------------------------------------------------------------------------- consumer identity

@@ -61,11 +61,12 @@ def _arrival(as_of_ns: Column | None) -> Column:
 
 def _records(
     batches: DataFrame, resources: str, scopes: str, records: str, resource_keys: dict[str, str], as_of_ns: Column | None,
-    with_bytes: bool = True,
+    with_bytes: bool = True, source: bool = False,
 ) -> DataFrame:
     """One row per record with its tenant, arrival instant and resource columns.
 
-    Resource attributes are read once per resource, before its records are exploded.
+    Resource attributes are read once per resource, before its records are exploded. With ``source`` the name of
+    the scope comes along.
     """
     # An outer explode: the filter Spark derives from an inner one would parse JSON text a second time.
     by_resource = batches.select(
@@ -79,7 +80,11 @@ def _records(
         F.explode(F.col(f"_resource.{scopes}")).alias("_scope"),
     )
     return by_scope.select(
-        "tenant_id", "_as_of", *resource_keys, F.explode(F.col(f"_scope.{records}")).alias("r")
+        "tenant_id",
+        "_as_of",
+        *resource_keys,
+        *([F.coalesce("_scope.scope.name", F.lit("")).alias("source_name")] if source else []),
+        F.explode(F.col(f"_scope.{records}")).alias("r"),
     )
 
 
@@ -91,9 +96,9 @@ def _event_date(time_ns: str) -> Column:
     return F.to_date(unix_ns_to_timestamp(F.col(time_ns))).alias("event_date")
 
 
-def flatten_spans(batches: DataFrame, as_of_ns: Column | None = None, vendor: str = VENDOR) -> DataFrame:
-    """One row per span."""
-    rows = _records(batches, "resource_spans", "scope_spans", "spans", _service_keys(vendor), as_of_ns)
+def flatten_spans(batches: DataFrame, as_of_ns: Column | None = None, vendor: str = VENDOR, source: bool = False) -> DataFrame:
+    """One row per span. With ``source`` also the name of the scope that recorded it, as ``source_name``."""
+    rows = _records(batches, "resource_spans", "scope_spans", "spans", _service_keys(vendor), as_of_ns, source=source)
     rows = rows.withColumn("_attrs", texts(F.col("r.attributes"))).withColumn("_map", by_key(F.col("_attrs")))
     start, end = clamp_span_window(int64(F.col("r.start_time_unix_nano")), int64(F.col("r.end_time_unix_nano")), F.col("_as_of"))
 
@@ -147,6 +152,7 @@ def flatten_spans(batches: DataFrame, as_of_ns: Column | None = None, vendor: st
         of_events(lambda e: F.coalesce(e["name"], F.lit("")), "string").alias("event_names"),
         of_events(lambda e: int64(e["time_unix_nano"]), "bigint").alias("event_times_unix_ns"),
         of_events(lambda e: json_object(texts(e["attributes"])), "string").alias("event_attrs_json"),
+        *(["source_name"] if source else []),
     )
 
 
@@ -185,10 +191,11 @@ def flatten_logs(batches: DataFrame, as_of_ns: Column | None = None, vendor: str
     )
 
 
-def flatten_metrics(batches: DataFrame, as_of_ns: Column | None = None, vendor: str = VENDOR) -> DataFrame:
+def flatten_metrics(batches: DataFrame, as_of_ns: Column | None = None, vendor: str = VENDOR, arrival: bool = False) -> DataFrame:
     """One row per data point of gauges, sums and histograms; attributes sorted by key.
 
-    The three kinds are brought to one point shape first, so the batches are read once.
+    The three kinds are brought to one point shape first, so the batches are read once. With ``arrival`` the
+    points also have the instant at which their batch came in, as ``arrival_unix_ns``.
     """
     keys = _service_keys(vendor)
     rows = _records(batches, "resource_metrics", "scope_metrics", "metrics", keys, as_of_ns, with_bytes=False)
@@ -274,6 +281,7 @@ def flatten_metrics(batches: DataFrame, as_of_ns: Column | None = None, vendor:
         "attrs_keys",
         "attrs_values",
         attributes_hash(F.col("attrs_keys"), F.col("attrs_values")).alias("attrs_hash"),
+        *([F.col("_as_of").alias("arrival_unix_ns")] if arrival else []),
     )
 
 

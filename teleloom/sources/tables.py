@@ -108,6 +108,19 @@ def list_partitions(spark: SparkSession, root: str, table: str, partition: Seque
     return spark.createDataFrame(found, "table_name string, tenant_id int, period string")
 
 
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batch folders right below a path, in order."""
+    return sorted(int(found) for (found,) in _folders(spark, path, [BATCH]))
+
+
+def remove_batches(spark: SparkSession, path: str, upto: int) -> None:
+    """Remove the batch folders right below a path up to an id."""
+    for found in batch_ids(spark, path):
+        if found <= upto:
+            fs, at = _folder(spark, f"{path}/{BATCH}={found}")
+            fs.delete(at, True)
+
+
 def remove_partitions(spark: SparkSession, root: str, gone: DataFrame, partition: Sequence[str] = PARTITION) -> int:
     """Remove the folders of the listed partitions (table_name, tenant_id, period); gives how many there were.
 

@@ -14,6 +14,7 @@ from teleloom.functions.timing import unix_ns_to_timestamp
 from teleloom.operators import admission, ingest, rollups
 from teleloom.operators.rollups import Rollup
 from teleloom.sources import otlp, states, tables
+from teleloom.streaming import cardinality
 
 # Facts and rollups fed by each signal.
 FLATTEN: dict[str, tuple[str, Callable[[DataFrame], DataFrame], Sequence[Rollup]]] = {
@@ -32,12 +33,17 @@ WATERMARK = "65 minutes"
 
 @dataclass(frozen=True)
 class Admission:
-    """What is let in: batches of active tenants with a valid key, and so many metric names for each tenant."""
+    """What is let in: batches of active tenants with a valid key, and so many metric names for each tenant.
+
+    Of spans only the listed kinds, and those of sources that start with a listed prefix; no list means all.
+    """
 
     tenants: DataFrame
     api_keys: DataFrame
     metric_cap: int = admission.METRIC_NAME_CAP
     span_kinds: Sequence[str] = ()
+    metric_window_s: int = admission.CAP_WINDOW_S
+    source_prefixes: Sequence[str] = ()
 
 
 # Reasons for rows that are not stored.
@@ -50,7 +56,8 @@ def store_batch(
     """Write one micro-batch: unreadable lines, facts and rollup states, each under its batch id.
 
     With ``admit`` batches without a valid key are not mapped; metric points over the cap of names and spans
-    of other kinds than those captured are not stored. What was let in and what was not is counted by tenant
+    outside the captured kinds and sources are not stored. The cap holds over batches: the names of each tenant's
+    running window are carried in ``<root>/metric_names`` (``cardinality.guard_stored``). What was let in and what was not is counted by tenant
     and reason in ``<root>/ingest_quality`` (batches, and rows within them), and batches and names that were not are listed in
     ``<root>/rejected``. Every output replaces what an earlier try of the same batch left, so a replay changes
     nothing.
@@ -78,14 +85,19 @@ def store_batch(
                 tables.write_batch(rows, root, table, batch_id)
             return
         table, flatten, fed = FLATTEN[signal]
-        facts = flatten(batches)
         reason = None
         if admit is not None and signal == "metrics":
-            facts = admission.metric_cardinality_guard(facts, admit.metric_cap)
+            facts = ingest.flatten_metrics(batches, arrival=True)
+            names = f"{root}/metric_names"
+            facts = cardinality.guard_stored(facts, names, batch_id, admit.metric_cap, admit.metric_window_s).drop("arrival_unix_ns")
             reason = F.when(~F.col("admitted"), TOO_MANY_NAMES)
-        elif admit is not None and signal == "spans" and admit.span_kinds:
-            facts = facts.withColumn("admitted", F.col("span_kind").isin(list(admit.span_kinds)))
+        elif admit is not None and signal == "spans" and (admit.span_kinds or admit.source_prefixes):
+            facts = ingest.flatten_spans(batches, source=True)
+            inside = admission.in_capture_scope(list(admit.span_kinds), list(admit.source_prefixes))
+            facts = facts.withColumn("admitted", inside).drop("source_name")
             reason = F.when(~F.col("admitted"), OUT_OF_SCOPE)
+        else:
+            facts = flatten(batches)
         stored = facts = facts.persist(StorageLevel.DISK_ONLY)
         try:
             if reason is not None:

@@ -251,3 +251,89 @@ def test_cardinality_guard_opens_windows_at_first_arrival(spark, tmp_path):
     before = dict(flagged[1])
     batch(1, 1200, ["c", "a"])
     assert flagged[1] == before
+
+
+def points_at(spark, batch):
+    """(tenant, name, arrival in seconds) as points."""
+    data = [(t, n, i, at * 1_000_000_000) for i, (t, n, at) in enumerate(batch)]
+    return spark.createDataFrame(data, "tenant_id int, metric_name string, time_unix_ns long, arrival_unix_ns long")
+
+
+def admitted_in_order(batch, windows, cap, window_s=300):
+    """The rule applied to one point after the other; ``windows`` is its memory."""
+    out = []
+    for tenant, name, at in batch:
+        start, names = windows.get(tenant, (None, set()))
+        if start is None or at - start > window_s:
+            start, names = at, set()
+        if name not in names and len(names) < cap:
+            names = names | {name}
+        windows[tenant] = (start, names)
+        out.append(name in names)
+    return out
+
+
+@pytest.mark.parametrize("cap", [1, 3])
+def test_name_cap_over_batches_equals_the_rule_point_by_point(spark, tmp_path, cap):
+    import random
+
+    r = random.Random(cap)
+    at, windows = 10_000, {}
+    for batch_id in range(4):
+        batch = []
+        for _ in range(25):  # the third batch is a backlog over many windows
+            at += r.choice([0, 0, 1, 7, 200 if batch_id == 2 else 40])
+            batch.append((r.randrange(3), r.choice("abcdefgh"), at))
+        batch.sort(key=lambda p: p[2])
+        wanted = admitted_in_order(batch, windows, cap)
+        for _ in range(2):  # a batch run again decides alike
+            flagged = cardinality.guard_stored(points_at(spark, batch), str(tmp_path), batch_id, cap)
+            assert [x.admitted for x in sorted(flagged.collect(), key=lambda x: x.time_unix_ns)] == wanted, batch_id
+    assert len(list(tmp_path.glob("batch_id=*"))) <= cardinality.VERSIONS
+
+
+def test_name_cap_of_the_ingest_holds_over_batches(spark, tmp_path):
+    """Cap 1: of three names in three batches within five minutes one is stored; later a new window opens."""
+    root = str(tmp_path)
+    tenants = spark.createDataFrame([(1, "active")], "tenant_id int, status string")
+    keys = spark.createDataFrame([(1, 10, None, None)], "tenant_id int, key_id long, revoked_unix_ns long, expires_unix_ns long")
+    admit = jobs.Admission(tenants, keys, metric_cap=1)
+
+    def send(batch_id, at_s, name):
+        point = {"name": name, "gauge": {"data_points": [{"time_unix_nano": str(at_s * 10**9), "as_double": 1.0}]}}
+        body = {"resource_metrics": [{"resource": {"attributes": []}, "scope_metrics": [{"metrics": [point]}]}]}
+        line = json.dumps({"tenant_id": 1, "key_id": 10, "received_unix_ns": str(at_s * 10**9), **body})
+        jobs.store_batch(otlp.parsed(spark.createDataFrame([(line,)], "value string"), "metrics"), "metrics", root, batch_id, admit)
+        return sorted(x.metric_name for x in spark.read.parquet(f"{root}/metric_points").collect())
+
+    send(0, 100_000, "a")
+    assert send(1, 100_100, "b") == ["a"]
+    assert send(2, 100_200, "c") == ["a"]
+    assert send(2, 100_200, "c") == ["a"]
+    assert send(3, 100_301, "b") == ["a", "b"]
+    assert send(4, 100_400, "a") == ["a", "b"]
+    refused = {(x.metric_name, x.batch_id) for x in spark.read.parquet(f"{root}/rejected/metric_points").collect()}
+    assert refused == {("b", 1), ("c", 2), ("a", 4)}
+
+
+def test_spans_of_other_sources_are_out_of_scope(spark, tmp_path):
+    def scope(name, kind):
+        span = {"trace_id": "ab" * 16, "span_id": "cd" * 8, "name": f"{name}/{kind}", "kind": kind, "start_time_unix_nano": "1", "end_time_unix_nano": "2"}
+        return {"scope": None if name is None else {"name": name}, "spans": [span]}
+
+    scopes = [scope(name, kind) for name in ("Shop.Web", "Shop", "Other", None) for kind in (2, 3)]
+    body = {"resource_spans": [{"resource": {"attributes": []}, "scope_spans": scopes}]}
+    line = json.dumps({"tenant_id": 1, "key_id": 10, "received_unix_ns": "1000", **body})
+    tenants = spark.createDataFrame([(1, "active")], "tenant_id int, status string")
+    keys = spark.createDataFrame([(1, 10, None, None)], "tenant_id int, key_id long, revoked_unix_ns long, expires_unix_ns long")
+    lines = otlp.parsed(spark.createDataFrame([(line,)], "value string"), "spans")
+    stored = lambda root: sorted(x.span_name for x in spark.read.parquet(f"{root}/spans").collect())
+    for name, options, wanted in (
+        ("prefix", {"source_prefixes": ["Shop.", "Oth"]}, ["Other/2", "Other/3", "Shop.Web/2", "Shop.Web/3"]),
+        ("both", {"source_prefixes": ["Shop"], "span_kinds": ["SERVER"]}, ["Shop.Web/2", "Shop/2"]),
+    ):
+        jobs.store_batch(lines, "spans", f"{tmp_path}/{name}", 0, jobs.Admission(tenants, keys, **options))
+        assert stored(f"{tmp_path}/{name}") == wanted
+        assert "source_name" not in spark.read.parquet(f"{tmp_path}/{name}/spans").columns
+        counts = {x.reject_reason: x.accepted + x.rejected for x in spark.read.parquet(f"{tmp_path}/{name}/ingest_quality/rows/spans").collect()}
+        assert counts == {"": len(wanted), "out of scope": 8 - len(wanted)}
