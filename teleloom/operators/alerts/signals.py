@@ -67,12 +67,12 @@ class Ticks:
         )
 
 
-def live_rules(rules: DataFrame) -> DataFrame:
-    """Enabled rules with a supported signal and the window they are evaluated with."""
+def live_rules(rules: DataFrame, *columns: str) -> DataFrame:
+    """Enabled rules with a supported signal and the window they are evaluated with, and further columns."""
     window = F.greatest(F.lit(LEAST_EVALUATED_WINDOW_S), F.col("window_seconds"))
     live = rules.filter(F.col("enabled") & F.col("signal_type").isin(SIGNALS)).withColumn("_window_s", window)
     return live.select(
-        "rule_id", "tenant_id", "service_filter", "signal_type", "signal_param", "operator", "threshold", "_window_s"
+        "rule_id", "tenant_id", "service_filter", "signal_type", "signal_param", "operator", "threshold", "_window_s", *columns
     )
 
 
