@@ -3,27 +3,27 @@
 ``percentile`` keeps every distinct value of a group in one buffer. Here no task holds more than a slice of
 a group, at any size of the input:
 
-1. rows are counted per (key, magnitude slice, value), with every other measure added up alongside. This is
-   the only pass over the input; the slices split a hot key over many reducers;
+1. rows are counted per (key, magnitude slice), with every other measure added up alongside; map tasks combine
+   them to a few thousand rows a key at most, and the slices split a hot key over many reducers;
 2. running totals over the slices of a key tell which slices hold the wanted ranks;
-3. only the values of these slices are ordered, each slice by itself, and the values at the ranks taken.
+3. the input is read once more, its key and value only, and joined to the chosen slices, a few for each key: Spark
+   sends them to all tasks if they turn out small, and splits a hot slice otherwise. What is left, the values of the
+   chosen slices, is counted in the map tasks, ordered slice by slice, and the values at the ranks taken.
 
-Steps 2 and 3 read the same exchange of step 1: both need all its columns, the measures of the chosen slices
-being added in step 3 and those of the others in step 2. Quantiles are linear-interpolated.
+Nothing runs while the plan is built. Quantiles are linear-interpolated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from teleloom.functions.predicates import finite_or_zero
 
-# Slices per factor e of magnitude: about 0.1 % wide.
-SLICES_PER_E = 1024
+# Slices per factor e of magnitude: about 0.2 % wide.
+SLICES_PER_E = 512
 
 Measure = tuple[Column, str]
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -49,15 +49,6 @@ def smallest(value: Column) -> Measure:
     return value, "min"
 
 
-@dataclass(frozen=True)
-class Span:
-    """Rows that count for every step ``low``..``high`` of a numbered series, e.g. rolling windows."""
-
-    name: str
-    low: Column
-    high: Column
-
-
 def summarize(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,48 +56,25 @@ def summarize(
     value: Column,
     quantiles: Mapping[str, float],
     scale: float = 1.0,
-    span: Span | None = None,
-    times: Column | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per key: merged measures, then quantiles of ``value`` divided by ``scale``.
 
-    A quantile of no values is 0. A value counts once, or as often as ``times`` says. With ``span`` the result also has one row per step; rows sharing
-    the same steps and value are added up before they are repeated for each step.
+    A quantile of no values is 0. ``df`` is read twice, so it should be a scan with filters and expressions. Where
+    only some keys are wanted, by their measures, ``keep`` picks them before values are looked up.
     """
     keys = list(keys)
-    counted = df.select(
-        *keys,
-        *([span.low.alias("_low"), span.high.alias("_high")] if span else []),
-        value.alias("_value"),
-        F.when(value.isNotNull(), F.lit(1) if times is None else times).otherwise(0).cast("bigint").alias("_n"),
-        *[expr.alias(name) for name, (expr, _) in measures.items()],
-    ).withColumn("_slice", magnitude_slice(F.col("_value")))
-    merged = _merged(measures)
-    if span:
-        counted = counted.groupBy(*keys, "_low", "_high", "_slice", "_value").agg(F.sum("_n").alias("_n"), *merged)
-        counted = counted.withColumn(span.name, F.explode(F.sequence("_low", "_high")))
-        keys = [*keys, span.name]
-    counted = counted.groupBy(*keys, "_slice", "_value").agg(F.sum("_n").alias("_n"), *merged)
-
-    positions = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in quantiles.items()}
-    chosen = _slices_with_ranks(counted, keys, measures, list(positions.values()))
-    picked = _values_at_ranks(counted, chosen, keys, measures, list(positions.values()))
-
+    valued = df.withColumn("_value", value).withColumn("_slice", magnitude_slice(F.col("_value")))
+    positions = [F.lit(float(q)) * (F.col("_total") - 1) for q in quantiles.values()]
+    chosen = _slices_with_ranks(valued, keys, measures, positions, keep)
+    picked = _values_at_ranks(valued, chosen, keys, measures, positions)
     out = []
-    for i, (name, p) in enumerate(positions.items()):
+    for i, (name, p) in enumerate(zip(quantiles, positions, strict=True)):
         low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
         out.append(finite_or_zero((low + (high - low) * (p - F.floor(p))) / scale).alias(name))
     return picked.select(*keys, *measures, *out)
 
 
-def _merged(measures: Mapping[str, Measure]) -> list[Column]:
-    return [_MERGE[kind](name).alias(name) for name, (_, kind) in measures.items()]
-
-
-def _rest(name: str) -> str:
-    return f"_rest_{name}"
-
-
 def magnitude_slice(value: Column) -> Column:
     """A non-decreasing integer of the value: slices of nearly constant relative width."""
     value = value.cast("double")
@@ -117,61 +85,52 @@ def _holds(rank: Column, start: Column, count: Column) -> Column:
     return (rank >= start) & (rank < start + count)
 
 
-def _slices_with_ranks(counted: DataFrame, keys: list[str], measures: Mapping[str, Measure], positions: list[Column]) -> DataFrame:
-    """(keys, _total, measures of the slices left out, _slice, _before): the slices that hold a wanted rank.
+def _slices_with_ranks(
+    valued: DataFrame, keys: list[str], measures: Mapping[str, Measure], positions: list[Column], keep: Callable[[DataFrame], DataFrame] | None
+) -> DataFrame:
+    """(keys, _total, measures, _slice, _before): the slices of each key that hold a wanted rank.
 
     Every key has one slice at least, if need be the one of its missing values.
     """
-    slices = counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"), *_merged(measures))
+    merged = [_MERGE[kind](expr).alias(name) for name, (expr, kind) in measures.items()]
+    slices = valued.groupBy(*keys, "_slice").agg(F.count("_value").alias("_n"), *merged)
     by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.withColumn("_before", F.sum("_n").over(running) - F.col("_n")).withColumn("_total", F.sum("_n").over(by_key))
+    slices = slices.withColumns({"_before": F.sum("_n").over(running) - F.col("_n"), "_total": F.sum("_n").over(by_key)})
     hit = F.col("_total") == 0
     for p in positions:
         for rank in (F.floor(p), F.ceil(p)):
             hit = hit | _holds(rank, F.col("_before"), F.col("_n"))
-    slices = slices.withColumn("_hit", hit)
-    left_out = [_MERGE[kind](F.when(~F.col("_hit"), F.col(name))).alias(_rest(name)) for name, (_, kind) in measures.items()]
     by_hit = slices.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
-        *left_out,
+        *[_MERGE[kind](name).alias(name) for name, (_, kind) in measures.items()],
         # Two slices for each quantile at most.
-        F.collect_list(F.when(F.col("_hit"), F.struct("_slice", "_before"))).alias("_hits"),
+        F.collect_list(F.when(hit, F.struct("_slice", "_before"))).alias("_hits"),
     )
-    names = [_rest(name) for name in measures]
-    return by_hit.select(*keys, "_total", *names, F.inline("_hits"))
+    wanted = by_hit if keep is None else keep(by_hit)
+    return wanted.select(*keys, "_total", *measures, F.inline("_hits"))
 
 
 def _values_at_ranks(
-    counted: DataFrame, chosen: DataFrame, keys: list[str], measures: Mapping[str, Measure], positions: list[Column]
+    valued: DataFrame, chosen: DataFrame, keys: list[str], measures: Mapping[str, Measure], positions: list[Column]
 ) -> DataFrame:
     """(keys, _total, measures, _lo0, _hi0, ...): all measures and the values around each position."""
-    right = chosen.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_slice"]], "_total", "_before", *[_rest(m) for m in measures])
-    # Null-safe: keys may be null, and nothing is inferred about them that would set the two readers of the
-    # counts apart.
+    cell = [*keys, "_slice"]
+    right = chosen.withColumnsRenamed({c: f"_k_{c}" for c in cell})
     same = F.lit(True)
-    for k in [*keys, "_slice"]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    values = counted.join(right, same)
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_value")
+    for c in cell:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    met = valued.select(*cell, "_value").join(right, same)
+    about = ["_total", "_before", *measures]
+    counted = met.groupBy(*cell, "_value").agg(F.count("_value").alias("_n"), *[F.first(c).alias(c) for c in about])
+    in_slice = Window.partitionBy(*cell).orderBy("_value")
     up_to = F.sum("_n").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    values = values.withColumn("_start", F.col("_before") + up_to - F.col("_n"))
+    values = counted.withColumn("_start", F.col("_before") + up_to - F.col("_n"))
     picks = []
     for i, p in enumerate(positions):
         for side, rank in (("lo", F.floor(p)), ("hi", F.ceil(p))):
             picks.append(F.max(F.when(_holds(rank, F.col("_start"), F.col("_n")), F.col("_value"))).alias(f"_{side}{i}"))
-    rest = [F.max(_rest(name)).alias(_rest(name)) for name in measures]
-    found = values.groupBy(*keys).agg(F.max("_total").alias("_total"), *rest, *_merged(measures), *picks)
-    whole = []
-    for name, (_, kind) in measures.items():
-        own, other = F.col(name), F.col(_rest(name))
-        if kind == "sum":
-            both = F.coalesce(own + other, own, other)
-        else:
-            both = {"max": F.greatest, "min": F.least}[kind](own, other)
-        whole.append(both.alias(name))
-    sides = [f"_{side}{i}" for i in range(len(positions)) for side in ("lo", "hi")]
-    return found.select(*keys, "_total", *whole, *sides)
+    return values.groupBy(*keys).agg(F.max("_total").alias("_total"), *[F.first(name).alias(name) for name in measures], *picks)
 
 
 def joined_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

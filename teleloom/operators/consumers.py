@@ -44,10 +44,11 @@ def list_consumers(
     seen = [("first_seen_s", MIN), ("last_seen_s", MAX)]
     df = _consumer_states(states, scope, None, service)
     df = df.withColumn("first_seen_s", F.col("bucket_s")).withColumn("last_seen_s", F.col("bucket_s"))
-    # Merged by route first: a consumer's routes are then its rows.
-    by_route = merge(CONSUMER_HOURLY, df, [*keys, "http_route"], seen)
-    by_route = by_route.withColumn("distinct_routes", F.when(F.col("http_route").isNotNull(), 1).otherwise(0).cast("bigint"))
-    grouped = merge(CONSUMER_HOURLY, by_route, keys, [*seen, ("distinct_routes", SUM)])
+    grouped = merge(CONSUMER_HOURLY, df, keys, seen)
+    # Routes by consumer: both sides of the join end up dealt by consumer already.
+    used = df.filter(F.col("http_route").isNotNull()).groupBy(*keys, "http_route").agg(F.lit(1).alias("_used"))
+    routes = used.groupBy(*keys).agg(F.count("_used").alias("_routes"))
+    grouped = grouped.join(routes, keys, "left").withColumn("distinct_routes", F.coalesce("_routes", F.lit(0).cast("bigint")))
     top = top_n(grouped, scope, [F.col("request_count").desc(), F.col("consumer_id")], bounded(limit, 100))
     return top.select(
         "tenant_id",

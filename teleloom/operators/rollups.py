@@ -182,6 +182,29 @@ def partials(rollup: Rollup, facts: DataFrame, keys: Sequence[Column | str] | No
     return _gathered(sliced.agg(F.count(F.lit(1)).alias("_n"), *states), rollup, names, _plain(rollup))
 
 
+def as_states(rollup: Rollup, facts: DataFrame) -> DataFrame:
+    """Raw rows as states of one fact each, for ``merge``: a read over facts needs no state table in between.
+
+    Such a row has its slice in ``_slice`` and a count of one in ``_n`` instead of a map of counts.
+    """
+    rows = prepared(rollup, facts)
+    plain = [expr().alias(name) for name, kind, expr in rollup.measures if kind in (SUM, MAX, MIN)]
+    last = [F.struct(F.col(rollup.time_col).alias("ts"), expr().alias("value")).alias(name) for name, kind, expr in rollup.measures if kind == LAST]
+    counted = [latency_slice(expr()).alias("_slice") for _, kind, expr in rollup.measures if kind == COUNTS]
+    return rows.select(*rollup.grain, *plain, *last, *counted, *([_one().alias("_n")] if counted else []))
+
+
+def _sliced(rollup: Rollup, states: DataFrame, keys: Sequence[str], others: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row for each slice of each state row; the first one has the other measures."""
+    counts = _counts_of(rollup)
+    if "_slice" in states.columns:
+        return states.select(*keys, "_slice", "_n", *[name for name, _ in others])
+    each = states.select("*", F.posexplode_outer(F.map_entries(counts)).alias("_at", "_e"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    own = [F.when(first, F.col(name)).alias(name) for name, _ in others]
+    return each.select(*keys, F.col("_e.key").alias("_slice"), F.col("_e.value").alias("_n"), *own)
+
+
 def merge(
     rollup: Rollup,
     states: DataFrame,
@@ -190,38 +213,40 @@ def merge(
 ) -> DataFrame:
     """Combine state rows on ``keys`` (default: the full grain, i.e. compaction).
 
-    ``extra`` names further columns of the states with the kind they are merged by.
+    ``extra`` names further columns of the states with the kind they are merged by. Slices are summed within the
+    map tasks, so that a busy key is spread over them.
     """
     keys = rollup.grain if keys is None else list(keys)
     others = [*_plain(rollup), *extra]
-    counts = _counts_of(rollup)
-    if counts is None:
-        return states.groupBy(*keys).agg(*[_MERGE[kind](name).alias(name) for name, kind in others])
-    # A state row becomes a row for each slice, and one with its other measures; both are summed by slice
-    # within the map tasks, so that a busy key is spread over its slices.
-    none = F.struct(F.lit(None).cast("int").alias("key"), F.lit(None).cast("bigint").alias("value"))
-    each = states.select("*", F.explode(F.concat(F.array(none), F.map_entries(counts))).alias("_e"))
-    own = [F.when(F.col("_e.key").isNull(), F.col(name)).alias(name) for name, _ in others]
-    each = each.select(*keys, F.col("_e.key").alias("_slice"), F.col("_e.value").alias("_n"), *own)
-    sliced = each.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"), *[_MERGE[kind](name).alias(name) for name, kind in others])
-    return _gathered(sliced, rollup, keys, others)
+    merged = [_MERGE[kind](name).alias(name) for name, kind in others]
+    if _counts_of(rollup) is None:
+        return states.groupBy(*keys).agg(*merged)
+    sliced = _sliced(rollup, states, keys, others).groupBy(*keys, "_slice")
+    return _gathered(sliced.agg(F.sum("_n").alias("_n"), *merged), rollup, keys, others)
 
 
 def latency_ms(names_to_ranks: dict[str, float], counts: str = "latency_counts") -> list[Column]:
     """Milliseconds at the given ranks (nearest rank) of a latency state; 0 without values."""
-    entries = F.array_sort(F.map_entries(counts))
-    total = F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, n: a + n)
-
-    def at(rank: float) -> Column:
-        wanted = F.greatest(F.lit(1).cast("bigint"), total - F.floor(total - total * F.lit(float(rank))))
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("slice"))
+    sorted_entries = F.array_sort(F.map_entries(counts))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("slice"))
 
+    def reached(entries: Column, wanted: Column) -> Column:
         def step(state: Column, entry: Column) -> Column:
             seen = state["seen"] + entry["value"]
-            reached = F.when(state["slice"].isNull() & (seen >= wanted), entry["key"]).otherwise(state["slice"])
-            return F.struct(seen.alias("seen"), reached.alias("slice"))
+            return F.struct(
+                seen.alias("seen"), F.when(state["slice"].isNull() & (seen >= wanted), entry["key"]).otherwise(state["slice"]).alias("slice")
+            )
+
+        return F.aggregate(entries, start, step)["slice"]
+
+    def at(rank: float) -> Column:
+        # What a lambda takes from outside is computed again for every entry; its own variables are not.
+        def wanted(entries: Column) -> Column:
+            total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda n, e: n + e["value"])
+            return F.transform(F.array(total), lambda t: F.greatest(F.lit(1).cast("bigint"), t - F.floor(t - t * F.lit(float(rank)))))
 
-        return slice_value(F.aggregate(entries, start, step)["slice"]) / MS
+        found = F.transform(F.array(sorted_entries), lambda e: F.get(F.transform(wanted(e), lambda w: reached(e, w)), F.lit(0)))
+        return slice_value(F.get(found, F.lit(0))) / MS
 
     return [F.coalesce(at(rank), F.lit(0.0)).alias(name) for name, rank in names_to_ranks.items()]
 

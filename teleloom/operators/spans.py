@@ -280,6 +280,7 @@ def latency_timeseries(
 
 def top_routes(spans: DataFrame, scope: Scope = Scope(), limit: int | None = 20) -> DataFrame:
     keys = ["service_name", "span_name", "http_method", "http_route"]
+    first = lambda rows: top_n(rows, scope, [F.col("span_count").desc(), *keys], bounded(limit, 20))
     summary = summarize(
         _scoped(spans, scope),
         ["tenant_id", *keys],
@@ -287,8 +288,9 @@ def top_routes(spans: DataFrame, scope: Scope = Scope(), limit: int | None = 20)
         _duration(),
         P50_90_99,
         scale=MS,
+        keep=first,
     )
-    return top_n(summary, scope, [F.col("span_count").desc(), *keys], bounded(limit, 20))
+    return first(summary)
 
 
 def _database_spans(spans: DataFrame, scope: Scope) -> DataFrame:
@@ -326,6 +328,8 @@ def database_overview(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
 def top_queries(spans: DataFrame, scope: Scope = Scope(), limit: int | None = 20) -> DataFrame:
     """Database statements grouped by system and the first 200 characters of the statement."""
     df = _database_spans(spans, scope).filter(F.col("db_statement") != "")
+    order = [F.col("query_count").desc(), F.col("db_system"), F.col("query_template")]
+    first = lambda rows: top_n(rows, scope, order, bounded(limit, 20))
     summary = summarize(
         df.withColumn("query_template", F.substring("db_statement", 1, 200)),
         ["tenant_id", "db_system", "query_template"],
@@ -337,11 +341,9 @@ def top_queries(spans: DataFrame, scope: Scope = Scope(), limit: int | None = 20
         _duration(),
         P50_90_99,
         scale=MS,
+        keep=first,
     )
-    summary = summary.withColumn("total_ms", F.col("_total_ns") / MS).drop("_total_ns")
-    return top_n(
-        summary, scope, [F.col("query_count").desc(), F.col("db_system"), F.col("query_template")], bounded(limit, 20)
-    )
+    return first(summary.withColumn("total_ms", F.col("_total_ns") / MS).drop("_total_ns"))
 
 
 def db_system_breakdown(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:

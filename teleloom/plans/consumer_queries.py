@@ -17,11 +17,11 @@ _CLASSES = """count(*) FILTER (http_status_code BETWEEN 400 AND 499) AS client_e
 
 
 def _consumer_states(spark, sf):
-    return rollups.partials(rollups.CONSUMER_HOURLY, views.spans(spark, sf))
+    return rollups.as_states(rollups.CONSUMER_HOURLY, views.spans(spark, sf))
 
 
 def _status_states(spark, sf):
-    return rollups.partials(rollups.STATUS_HOURLY, views.spans(spark, sf))
+    return rollups.as_states(rollups.STATUS_HOURLY, views.spans(spark, sf))
 
 
 _LIST = f"""list AS (SELECT tenant_id, {_SHOWN}, * EXCLUDE (tenant_id, consumer_id, rn) FROM (
