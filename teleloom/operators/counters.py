@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,11 @@ def _rate(counter: str) -> Column:
     return F.when(now > before, rate).otherwise(F.lit(0).cast("bigint"))
 
 
-def host_cpu_utilization(samples: DataFrame) -> DataFrame:
-    """Shares of CPU time between consecutive samples of a host, from cumulative scheduler ticks."""
+def host_cpu_utilization(samples: DataFrame, pair: Callable[..., DataFrame] = with_previous) -> DataFrame:
+    """Shares of CPU time between consecutive samples of a host, from cumulative scheduler ticks.
+
+    ``pair`` finds the preceding sample; ``streaming.host_rates`` has one for streams.
+    """
     groups = {
         "user": F.col("user") + F.col("nice"),
         "system": F.col("system") + F.col("irq") + F.col("softirq") + F.col("steal"),
@@ -46,7 +51,7 @@ def host_cpu_utilization(samples: DataFrame) -> DataFrame:
     ticks = samples.select(*HOST, TIME, *[expr.alias(f"t_{name}") for name, expr in groups.items()])
     names = [f"t_{name}" for name in groups]
     ticks = ticks.withColumn("t_all", sum((F.col(n) for n in names[1:]), F.col(names[0])))
-    paired = with_previous(ticks, HOST, TIME, [*names, "t_all"])
+    paired = pair(ticks, HOST, TIME, [*names, "t_all"])
     whole = F.col("t_all") - F.col("previous.t_all")
 
     def share(name: str) -> Column:
@@ -74,16 +79,27 @@ def host_memory_usage(samples: DataFrame) -> DataFrame:
     )
 
 
+DISK_COUNTERS = ["reads", "writes", "sectors_read", "sectors_written"]
+NETWORK_COUNTERS = ["rx_bytes", "tx_bytes", "rx_packets", "tx_packets"]
+
+
+def real_disks(samples: DataFrame) -> DataFrame:
+    """Samples of block devices with a file system of their own."""
+    return samples.filter(F.col("fs_type").isin(REAL_FILE_SYSTEMS) & F.startswith("device", F.lit("/dev/")))
+
+
 def disk_counter_rates(samples: DataFrame) -> DataFrame:
     """Per-second disk activity of real block devices; the first mount of a device counts.
 
     "First" is by the mount's name, as samples carry no mount order. A device whose first mount is empty
     is left out, whatever its other mounts hold. Byte rates come from the whole-sector rate.
     """
-    real = samples.filter(F.col("fs_type").isin(REAL_FILE_SYSTEMS) & F.startswith("device", F.lit("/dev/")))
-    one_mount = top_n_by(real, [*HOST, "device", TIME], [F.col("mountpoint")], 1).filter(F.col("total_bytes") > 0)
-    counters = ["reads", "writes", "sectors_read", "sectors_written"]
-    paired = with_previous(one_mount, [*HOST, "device"], TIME, [TIME, *counters])
+    one_mount = top_n_by(real_disks(samples), [*HOST, "device", TIME], [F.col("mountpoint")], 1).filter(F.col("total_bytes") > 0)
+    return disk_rates(with_previous(one_mount, [*HOST, "device"], TIME, [TIME, *DISK_COUNTERS]))
+
+
+def disk_rates(paired: DataFrame) -> DataFrame:
+    """Rates of samples with their ``previous`` ones."""
     return paired.select(
         *HOST,
         "device",
@@ -98,14 +114,14 @@ def disk_counter_rates(samples: DataFrame) -> DataFrame:
     )
 
 
-def network_counter_rates(samples: DataFrame) -> DataFrame:
-    """Per-second traffic of physical interfaces; error counters stay cumulative."""
+def network_counter_rates(samples: DataFrame, pair: Callable[..., DataFrame] = with_previous) -> DataFrame:
+    """Per-second traffic of physical interfaces; error counters stay cumulative. ``pair`` as for the CPU."""
     skipped = F.lit(False)
     for prefix in SKIPPED_INTERFACES:
         skipped = skipped | F.startswith("interface_name", F.lit(prefix))
     kept = samples.filter(~skipped & (F.col("interface_name") != ""))
-    counters = ["rx_bytes", "tx_bytes", "rx_packets", "tx_packets"]
-    paired = with_previous(kept, [*HOST, "interface_name"], TIME, [TIME, *counters])
+    counters = NETWORK_COUNTERS
+    paired = pair(kept, [*HOST, "interface_name"], TIME, [TIME, *counters])
     return paired.select(
         *HOST,
         "interface_name",

@@ -74,31 +74,37 @@ def audit_log_search(
     return page(df, [], [F.col("posted_unix_ns").desc(), F.col("audit_id").desc()], page_no, bounded(page_size, 50))
 
 
-def upsert_service_registry(spans: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """Services seen in spans merged into the previous registry: first seen stays, the rest is renewed."""
-    newest = F.struct(F.col("start_time_unix_ns").alias("ts"), F.col("service_version").alias("v"))
-    seen = spans.groupBy("tenant_id", "service_name").agg(
-        F.max(newest).alias("_n"), F.min("start_time_unix_ns").alias("first_new"), F.max("start_time_unix_ns").alias("last_new")
-    )
-    seen = seen.withColumn("version_new", F.col("_n.v")).drop("_n")
-    if registry is None:
-        return seen.select(
-            "tenant_id",
-            "service_name",
-            F.col("version_new").alias("service_version"),
-            F.col("first_new").alias("first_seen_ns"),
-            F.col("last_new").alias("last_seen_ns"),
-        )
-    merged = registry.join(seen, ["tenant_id", "service_name"], "full")
+REGISTRY = ["service_version", "first_seen_ns", "last_seen_ns"]
+
+
+def merge_registries(registry: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row for each service of either registry: the earliest first sight, the latest last one and its version.
+
+    The same in any order and any number of times, so that late and repeated batches move nothing backwards. Of two
+    versions of the same instant the greater one stays.
+    """
+    renamed = seen.withColumnsRenamed({c: f"_{c}" for c in REGISTRY})
+    merged = registry.join(renamed, ["tenant_id", "service_name"], "full")
+    last = lambda prefix: F.struct(F.col(f"{prefix}last_seen_ns").alias("ts"), F.col(f"{prefix}service_version").alias("v"))
+    own, new = (F.when(F.col(f"{prefix}last_seen_ns").isNotNull(), last(prefix)) for prefix in ("", "_"))
+    newest = F.greatest(own, new)
     return merged.select(
         "tenant_id",
         "service_name",
-        F.coalesce("version_new", "service_version").alias("service_version"),
-        F.coalesce("first_seen_ns", "first_new").alias("first_seen_ns"),
-        F.coalesce("last_new", "last_seen_ns").alias("last_seen_ns"),
+        newest["v"].alias("service_version"),
+        F.least("first_seen_ns", "_first_seen_ns").alias("first_seen_ns"),
+        newest["ts"].alias("last_seen_ns"),
     )
 
 
+def upsert_service_registry(spans: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Services seen in spans, merged into the previous registry if there is one."""
+    newest = F.struct(F.col("start_time_unix_ns").alias("ts"), F.col("service_version").alias("v"))
+    seen = spans.groupBy("tenant_id", "service_name").agg(F.max(newest).alias("_n"), F.min("start_time_unix_ns").alias("first_seen_ns"))
+    seen = seen.select("tenant_id", "service_name", F.col("_n.v").alias("service_version"), "first_seen_ns", F.col("_n.ts").alias("last_seen_ns"))
+    return seen if registry is None else merge_registries(registry, seen)
+
+
 # ---------------------------------------------------------------------------- retention
 
 

@@ -108,6 +108,20 @@ def list_partitions(spark: SparkSession, root: str, table: str, partition: Seque
     return spark.createDataFrame(found, "table_name string, tenant_id int, period string")
 
 
+def batches_by_partition(spark: SparkSession, path: str, partition: Sequence[str]) -> dict[tuple[str, ...], list[int]]:
+    """Batch ids below each partition folder, in order."""
+    found = defaultdict(list)
+    for *place, batch in _folders(spark, path, [*partition, BATCH]):
+        found[tuple(place)].append(int(batch))
+    return {place: sorted(ids) for place, ids in found.items()}
+
+
+def remove_batch(spark: SparkSession, path: str, partition: Sequence[str], place: Sequence[str], batch_id: int) -> None:
+    """Remove one batch of one partition."""
+    fs, at = _folder(spark, f"{path}/{_place([*partition, BATCH], [*place, str(batch_id)])}")
+    fs.delete(at, True)
+
+
 def batch_ids(spark: SparkSession, path: str) -> list[int]:
     """Ids of the batch folders right below a path, in order."""
     return sorted(int(found) for (found,) in _folders(spark, path, [BATCH]))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OK, PENDING, FIRING = "ok", "pending", "firing"
-# A rule without an observation for so long was off meanwhile: it starts over.
-MAX_GAP_S = 300
 OUTPUT = (
     "rule_id long, tick_s long, from_state string, to_state string, kind string, observed double, pending_since_s long"
 )
@@ -36,7 +34,7 @@ class RuleMachine(StatefulProcessor):
     in the store is a few numbers for each rule that was pending or firing when it was switched off.
     """
 
-    def __init__(self, max_gap_s: int = MAX_GAP_S) -> None:
+    def __init__(self, max_gap_s: int) -> None:
         self.max_gap_s = max_gap_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -71,10 +69,11 @@ class RuleMachine(StatefulProcessor):
         pass
 
 
-def alert_state_stream(observations: DataFrame, rules: DataFrame, max_gap_s: int = MAX_GAP_S) -> DataFrame:
+def alert_state_stream(observations: DataFrame, rules: DataFrame, max_gap_s: int) -> DataFrame:
     """State changes from a stream of (rule_id, tick_s, observed, breached).
 
-    ``max_gap_s`` should be a few evaluation ticks.
+    A rule without an observation for ``max_gap_s`` was off meanwhile and starts over: it must be longer than the
+    time between ticks, and should be a few of them.
 
     Needs the RocksDB state store (``teleloom.session.STREAMING_CONF``).
     """
