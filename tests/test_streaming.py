@@ -194,7 +194,7 @@ def test_alert_state_stream_equals_batch(spark, tmp_path):
             shutil.copy(file, path / f"{i}.parquet")
 
         stream = spark.readStream.schema(schema).parquet(str(path))
-        query = alert_state.alert_state_stream(stream, rules)
+        query = alert_state.alert_state_stream(stream, rules, max_gap_s=300)
         query.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode(
             "append"
         ).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
