@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from teleloom.functions.sliding import block_aggregates, running_counts
 from teleloom.operators.alerts import signals
 from teleloom.operators.alerts.signals import Ticks
-from teleloom.streaming import alert_rules, alert_state
+from teleloom.streaming import alert_rules
 
 NS = 1_000_000_000
 BASE = 1_700_000_040  # a whole minute
