@@ -121,6 +121,22 @@ METRICS_MINUTELY = Rollup(
     derived=(("attrs_hash", lambda: attributes_hash(F.col("attrs_keys"), F.col("attrs_values"))),),
 )
 
+# Facts are calls (``service_map.calls``): a service's own spans, and its calls to services, databases and hosts.
+SERVICE_MAP_MINUTELY = Rollup(
+    "service_map_minutely_rollup",
+    60,
+    "start_time_unix_ns",
+    ("kind", "source", "target"),
+    (
+        ("calls", SUM, _one),
+        ("errors", SUM, lambda: flag(F.col("failed"))),
+        ("total_ns", SUM, _latency),
+        # Only the nodes of services show a quantile.
+        ("latency_counts", COUNTS, lambda: F.when(F.col("kind") == "node", _latency())),
+    ),
+)
+
+#: Rollups that the ingest keeps of its facts; the service map's needs pairs of spans and has a stream of its own.
 ALL_ROLLUPS = (SPANS_MINUTELY, CONSUMER_HOURLY, STATUS_HOURLY, LOGS_MINUTELY, METRICS_MINUTELY)
 
 

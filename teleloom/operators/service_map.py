@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleloom.functions.predicates import flag, is_error_status, is_server_error
 from teleloom.functions.quantiles import count_all, count_where, summarize
+from teleloom.operators.rollups import SERVICE_MAP_MINUTELY, latency_ms, merge
 from teleloom.scope import Scope
 
 START = "start_time_unix_ns"
@@ -38,11 +41,20 @@ def _edge(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
     return grouped.withColumn("avg_ms", F.col("_ns") / F.col("calls") / MS).drop("_ns")
 
 
-def service_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """Calls between different services, from child spans joined to their parents.
+PARENT_KEY = ["tenant_id", "trace_id", "span_id"]
+Pair = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def by_key(child: DataFrame, parent: DataFrame) -> DataFrame:
+    """Child spans with the ``source`` of their parent. The key holds the span id, so one huge trace still
+    spreads over all reducers."""
+    return child.join(parent.drop(START), PARENT_KEY)
+
+
+def _between(spans: DataFrame, scope: Scope, pair: Pair) -> DataFrame:
+    """Spans of one service that another one called, with ``source`` and ``target``.
 
-    Both sides are cut to the scope and to the needed columns before the join. The join key holds
-    the span id, so one huge trace still spreads over all reducers.
+    Both sides are cut to the scope and to the needed columns before they are paired.
     """
     df = scope.apply(spans, START).filter(F.col("service_name") != "")
     child = df.filter(F.col("parent_span_id") != "").select(
@@ -50,13 +62,18 @@ def service_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
         "trace_id",
         F.col("parent_span_id").alias("span_id"),
         F.col("service_name").alias("target"),
+        START,
         "status_code",
         "http_status_code",
         "duration_ns",
     )
-    parent = df.select("tenant_id", "trace_id", "span_id", F.col("service_name").alias("source"))
-    joined = child.join(parent, ["tenant_id", "trace_id", "span_id"]).filter(F.col("source") != F.col("target"))
-    return _edge(joined, ["source", "target"], is_server_error())
+    parent = df.select(*PARENT_KEY, START, F.col("service_name").alias("source"))
+    return pair(child, parent).filter(F.col("source") != F.col("target"))
+
+
+def service_edges(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Calls between different services, from child spans joined to their parents."""
+    return _edge(_between(spans, scope, by_key), ["source", "target"], is_server_error())
 
 
 def _outbound(spans: DataFrame, scope: Scope) -> DataFrame:
@@ -165,3 +182,81 @@ def service_map_totals(spans: DataFrame, scope: Scope = Scope()) -> DataFrame:
     between = service_edges(spans, scope).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_between"))
     edges = F.col("_outward") + F.coalesce("_between", F.lit(0).cast("bigint"))
     return per_kind.join(between, "tenant_id", "left").withColumn("edges", edges).drop("_outward", "_between")
+
+
+# ---------------------------------------------------------------------------- kept states
+
+CALL = ["tenant_id", START, "kind", "source", "target", "failed", "duration_ns"]
+
+
+def calls(spans: DataFrame, scope: Scope = Scope(), pair: Pair = by_key) -> DataFrame:
+    """The facts of the service map, for ``rollups.SERVICE_MAP_MINUTELY``.
+
+    ``kind`` is ``node`` for a service's own span, else the kind of what was called: ``service``, ``database`` or
+    ``external``. A call has the time of the called span, or of the span that calls out.
+    """
+    named = scope.apply(spans, START).filter(F.col("service_name") != "")
+    nodes = named.select("*", F.lit("node").alias("kind"), F.col("service_name").alias("source"), F.lit("").alias("target"))
+    between = _between(spans, scope, pair).withColumn("kind", F.lit("service"))
+    outward = _outbound(spans, scope).filter(F.coalesce("target", F.lit("")) != "").withColumnRenamed("service_name", "source")
+    inside = [x.withColumn("failed", is_server_error()).select(*CALL) for x in (nodes, between)]
+    return inside[0].unionByName(inside[1]).unionByName(outward.withColumn("failed", F.col("_failed")).select(*CALL))
+
+
+def _merged(states: DataFrame, scope: Scope) -> DataFrame:
+    found = merge(SERVICE_MAP_MINUTELY, scope.apply_bucket(states, "bucket_s"), ["tenant_id", "kind", "source", "target"])
+    return found.withColumn("avg_ms", F.col("total_ns") / F.col("calls") / MS)
+
+
+def edges_from_states(states: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """``service_map_edges`` read from kept states.
+
+    A scope takes whole minutes of the called spans. The parent of a call may lie outside of it, whereas the read over
+    spans wants both inside.
+    """
+    to_service = F.col("kind") == "service"
+    return _merged(states, scope).filter(F.col("kind") != "node").select(
+        "tenant_id",
+        _id("svc", "source").alias("source_id"),
+        F.when(to_service, _id("svc", "target")).otherwise(_target_id(F.col("kind"), F.col("target"))).alias("target_id"),
+        F.col("kind").alias("target_kind"),
+        F.col("target").alias("target_label"),
+        "calls",
+        "errors",
+        "avg_ms",
+    )
+
+
+def nodes_from_states(states: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """``service_map_nodes`` read from kept states; the latency of services is a nearest rank, at most 0.4 % off."""
+    merged = _merged(states, scope)
+    services = merged.filter(F.col("kind") == "node").select(
+        "tenant_id",
+        _id("svc", "source").alias("node_id"),
+        F.col("source").alias("label"),
+        F.lit("service").alias("kind"),
+        "calls",
+        "errors",
+        *latency_ms({"latency_ms": 0.5}),
+    )
+    called = merged.filter(F.col("kind").isin("database", "external")).groupBy("tenant_id", "kind", F.col("target").alias("label"))
+    targets = called.agg(
+        F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), (F.sum("total_ns") / F.sum("calls") / MS).alias("latency_ms")
+    )
+    return services.unionByName(targets.withColumn("node_id", _target_id(F.col("kind"), F.col("label"))))
+
+
+def totals_from_states(states: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """``service_map_totals`` read from kept states: distinct nodes and edges are distinct keys of the states.
+
+    Keys are made distinct before anything is counted, so that a tenant's minutes combine in the map tasks.
+    """
+    keys = scope.apply_bucket(states, "bucket_s").select("tenant_id", "kind", "source", "target").distinct()
+    target = F.when(F.col("kind") == "node", F.col("source")).when(F.col("kind") != "service", F.col("target"))
+    of = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, target))
+    return keys.groupBy("tenant_id").agg(
+        of("node").alias("services"),
+        of("database").alias("databases"),
+        of("external").alias("external"),
+        F.sum(flag(F.col("kind") != "node")).alias("edges"),
+    )

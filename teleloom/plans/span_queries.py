@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from teleloom.operators import service_map, spans, traces
-from teleloom.plans.registry import joined, query, rounded
+from teleloom.operators import rollups, service_map, spans, traces
+from teleloom.plans.registry import ORACLES, joined, query, rounded
 from teleloom.scope import Scope
 from teleloom.sources import views
 
@@ -460,3 +460,27 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return service_map.service_map_totals(views.spans(spark, sf), MONTH)
+
+
+# Kept states: the latency of services is read from magnitude slices, by the same rule in SQL.
+_SLICE = f"quantile_disc(CAST(floor(ln(1 + duration_ns) * {rollups.SLICES_PER_E}) AS BIGINT), 0.5)"
+_MIDDLE = f"round(floor(exp(({_SLICE} + 0.5) / {rollups.SLICES_PER_E}) - 0.5) / 1e6, 9) AS latency_ms"
+
+
+def _map_states(spark, sf):
+    return rollups.partials(rollups.SERVICE_MAP_MINUTELY, service_map.calls(views.spans(spark, sf)))
+
+
+@query("service_map_edges_from_states", f"WITH {_GRAPH} {_ALL_EDGES}", ["spans"])
+def _(spark, sf):
+    return rounded(service_map.edges_from_states(_map_states(spark, sf), MONTH))
+
+
+@query("service_map_from_states", f"WITH {_GRAPH} {_ALL_NODES.replace(_q(0.5, 'latency_ms'), _MIDDLE)}", ["spans"])
+def _(spark, sf):
+    return rounded(service_map.nodes_from_states(_map_states(spark, sf), MONTH))
+
+
+@query("service_map_totals_from_states", ORACLES["service_map_totals"])
+def _(spark, sf):
+    return service_map.totals_from_states(_map_states(spark, sf), MONTH)
