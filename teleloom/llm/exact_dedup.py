@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from teleloom.llm.common import BLANKS, kept, marked, without
 
-#: Runs at the leaves and runs that one merge takes; a digest has at most one row in each run.
+#: Runs at the leaves, and runs that one merge takes: partners of a round differ in one digit of their numbers.
 RUNS = 256
 FAN_IN = 16
+#: A text's identity: its digest, and what every merge verifies beside it.
+SAME = ["digest", "n_bytes", "proof"]
+#: Slices of the digests; each slice of a run is sorted and merged by itself, so that no run is in one task.
+SLICE_BITS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -33,17 +37,28 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", runs: int
     )
 
 
+def leaf_runs(rows: DataFrame, key: str) -> DataFrame:
+    """Sorted leaf runs (run, slice, digest, n_bytes, proof, least, group_size), with one row for each text.
+
+    ``least`` holds the smallest key that is not null. Being a struct, it makes Spark reduce rows by sorting: every
+    task hands on a sorted run of its own, already without repeats, and the exchange brings the runs of a slice
+    together. A text held by a third of all rows leaves each task as one row for each run.
+    """
+    named = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key")))
+    part = F.conv(F.hex(F.substring("digest", 1, SLICE_BITS // 8)), 16, 10).cast("int")
+    reduced = rows.withColumn("slice", part).groupBy("run", "slice", *SAME)
+    return reduced.agg(F.min(named).alias("least"), F.count("*").alias("group_size"))
+
+
 def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
     """One round: ``fan_in`` neighbouring runs become one, sorted and with one row for each text.
 
-    The merge is keyed by run and digest, so that the rows of a run are spread over all tasks; partial
-    minima are taken before the exchange.
+    Runs are exchanged by slice, ordered, and merged in that order by a sorted aggregate, without another exchange. Of
+    the rows of a text, verified by digest, length and second hash, the smallest key and the sum of counts stay.
     """
-    return (
-        runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        .groupBy("run", "digest", "n_bytes", "proof")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    )
+    moved = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+    ordered = moved.repartition("run", "slice").sortWithinPartitions("run", "slice", *SAME)
+    return ordered.groupBy("run", "slice", *SAME).agg(F.min("least").alias("least"), F.sum("group_size").alias("group_size"))
 
 
 def exact_duplicates(
@@ -51,24 +66,23 @@ def exact_duplicates(
 ) -> DataFrame:
     """Every row with its text's group: (key, keep_id, group_size, kept, text_sha256).
 
-    The rows form ``runs`` leaf runs. Each run is reduced to one row for each text with the smallest key
-    and a count; rounds merge ``fan_in`` runs at a time until one run is left. The verdict then goes down
-    to the leaf runs and from there to the rows, so that even a text held by a third of all rows is spread
-    over the leaf runs in both directions.
+    The rows form ``runs`` leaf runs, sorted by digest and cut into slices of the digests. Each run is reduced to one row
+    for each text with the smallest key and a count; in every round ``fan_in`` runs exchange their slices and are merged,
+    until one run is left. The verdict then goes down to the leaf runs and from there to the rows, so that even a text
+    held by a third of all rows is spread over the leaf runs in both directions.
 
     Null and empty texts are one text, texts of blanks only are another (one space). Ties keep the smallest
     key; rows that repeat a key all count and are all kept if the key is. Other columns are not
     read. An empty table gives no rows.
     """
     rows = kept(digests(docs, text, key, runs))
-    same = ["digest", "n_bytes", "proof"]
-    leaves = rows.groupBy("run", *same).agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size"))
+    leaves = leaf_runs(rows, key)
     level, left = leaves, runs
     while left > 1:
         level, left = merge_runs(level, fan_in), -(-left // fan_in)
-    verdict = level.select(*same, "keep_id", "group_size")
-    down = leaves.select("run", *same).join(verdict, same)
-    joined = rows.join(down, ["run", *same])
+    verdict = level.select(*SAME, F.col("least.key").alias("keep_id"), "group_size")
+    down = leaves.select("run", *SAME).join(verdict, SAME)
+    joined = rows.join(down, ["run", *SAME])
     return joined.select(
         key,
         "keep_id",
