@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from teleloom.llm.common import broadcast_if_small, kept
+from teleloom.llm.common import broadcast_if_small, fresh, kept
 
 # 52 bits of a digest make the uniform number, exactly as any other engine computes it.
 HEX_DIGITS = 13
+#: Largest mean of one Poisson draw. A larger rate is the sum of several equal draws, which is Poisson again, so that a
+#: tiny source in a very large mix needs no long table.
+DRAW_RATE = 512
+#: Copies of one draw are numbered within so many; a table of a draw is shorter.
+DRAW_COPIES = 1000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -36,15 +41,20 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, total: f
 
 
 def poisson_table(rates: DataFrame) -> DataFrame:
-    """(source, cdf): the distribution function of each source's Poisson law up to where it is 1."""
+    """(source, draws, cdf): how many draws a source's rows take, and the distribution function of one draw.
+
+    The function goes up to where it is 1; ``DRAW_RATE`` bounds it to fewer than ``DRAW_COPIES`` entries.
+    """
+    rates = rates.withColumn("_draws", F.greatest(F.ceil(F.col("_rate") / DRAW_RATE), F.lit(1)).cast("int"))
+    rates = rates.withColumn("_rate", F.col("_rate") / F.col("_draws"))
     top = F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 24).cast("int")
-    steps = rates.select("_source", "_rate", F.explode(F.sequence(F.lit(0), top)).alias("_k"))
+    steps = rates.select("_source", "_draws", "_rate", F.explode(F.sequence(F.lit(0), top)).alias("_k"))
     ordered = Window.partitionBy("_source").orderBy("_k")
     # ln p(k) = -rate + k ln(rate) - ln k!
     log_factorial = F.sum(F.log(F.greatest(F.col("_k"), F.lit(1)).cast("double"))).over(ordered)
     steps = steps.withColumn("_p", F.exp(-F.col("_rate") + F.col("_k") * F.log("_rate") - log_factorial))
     steps = steps.withColumn("_c", F.sum("_p").over(ordered))
-    return steps.groupBy("_source").agg(F.sort_array(F.collect_list("_c")).alias("_cdf"))
+    return steps.groupBy("_source", "_draws").agg(F.sort_array(F.collect_list("_c")).alias("_cdf"))
 
 
 def mix_sources(
@@ -59,18 +69,34 @@ def mix_sources(
 
     A row's count inverts the Poisson law of its source at a number hashed from (seed, key): the same on
     every run, no matter how rows are partitioned. Copies are numbered from 1 in ``copy``, and dealt
-    and sorted by ``shuffle_key``, a hash of (seed, key, copy).
+    and sorted by ``shuffle_key``, a hash of (seed, key, copy). A rate above ``DRAW_RATE`` is drawn in several parts,
+    spread over the tasks; part ``i``, from 0, numbers its copies from ``i * DRAW_COPIES + 1``.
 
     A null source is a source of its own, without a weight if weights are given. A null key hashes as an
     empty one. Repeated rows get the same count each. Existing columns ``copy`` and ``shuffle_key`` are
-    replaced, as the result must have one of each. An empty table, or no weight above zero, gives no rows.
+    replaced, as the result must have one of each; columns of any other name pass. An empty table, or no weight above
+    zero, gives no rows.
     """
     docs = docs.drop("copy", "shuffle_key")
     law = kept(poisson_table(repetition_rates(docs, weights, total, source)))
-    law = broadcast_if_small(law, 8 * 128)
+    many = not law.where("_draws > 1").isEmpty()
+    own = {c: fresh(docs.columns, c) for c in ("_source", "_draws", "_cdf", "_part", "_count")}
+    part, count = own["_part"], own["_count"]
+    law = broadcast_if_small(law, 64 + 8 * F.size("_cdf")).withColumnsRenamed(own)
     named = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    joined = docs.join(law, docs[source].eqNullSafe(law["_source"])).drop("_source")
-    drawn = joined.withColumn("_u", uniform(seed, named)).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-    copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_cdf", "_u", "_n")
+    if many:
+        # One row may become a large share of the mix: its draws are dealt to all tasks before they are made.
+        draws = law.select(own["_source"], own["_draws"])
+        parts = docs.join(draws, F.col(source).eqNullSafe(F.col(own["_source"]))).withColumn(part, F.explode(F.sequence(F.lit(0), F.col(own["_draws"]) - 1)))
+        docs = parts.drop(own["_source"], own["_draws"]).repartition(F.xxhash64(named, part))
+        number = F.when(F.col(part) == 0, uniform(seed, named)).otherwise(uniform(seed, named, F.col(part).cast("string")))
+        first = F.col(part) * DRAW_COPIES
+    else:
+        number, first = uniform(seed, named), F.lit(0)
+    joined = docs.join(law, F.col(source).eqNullSafe(F.col(own["_source"])))
+    # What a lambda takes from outside is computed for every entry; its own variables are not.
+    drawn = joined.withColumn(count, F.get(F.transform(F.array(number), lambda u: F.size(F.filter(own["_cdf"], lambda c: c <= u))), F.lit(0)))
+    copies = drawn.where(F.col(count) > 0).withColumn("copy", F.explode(F.sequence(first + 1, first + F.col(count))))
+    copies = copies.drop(*own.values())
     keyed = copies.withColumn("shuffle_key", F.substring(F.sha2(F.concat_ws(":", F.lit(seed), named, F.col("copy").cast("string")), 256), 1, 16))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
