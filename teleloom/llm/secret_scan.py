@@ -25,8 +25,14 @@ DEPTH = 6
 HASH_BUCKETS = 16
 KEEP_SCORE = 0.5
 NAMES = r"(?i)(pass(word|wd)?|secret|token|api.?key|access.?key|credential|auth|private)"
-# Formats of issued keys, and strings assigned to a telling name: findings of this kind are labelled true.
+# Findings labelled true: formats of issued keys, and what is assigned to a telling name, by "=" or ":", quoted or not,
+# in JSON or behind a header's scheme.
 ISSUED = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,})$"
+ASSIGNED = NAMES + r"""[A-Za-z_\-]*["']?\s*[:=]+>?\s*((bearer|basic|token)\s+)?["']?$"""
+# Findings labelled false: plain numbers, parts of web addresses, and what is said to be a checksum or a revision.
+NUMBER = r"^[0-9+/_\-]+$"
+ADDRESS = r"(?i)(https?:|www[.])"
+CHECKSUM = r"(?i)(commit|revision|checksum|digest|etag|uuid|md5|sha-?[0-9]*)[^A-Za-z0-9]*$"
 
 
 def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source") -> DataFrame:
@@ -88,13 +94,15 @@ def features(found: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list[s
         "distinct": F.size(F.array_distinct(chars)) / F.size(chars),
         "hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "whole_word": (F.length("word") == F.length(c)).cast("double"),
-        "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]")).cast("double"),
         "quoted": F.col("word").rlike("""["']""").cast("double"),
-        "named": F.concat_ws(" ", "before", "word").rlike(NAMES).cast("double"),
         "in_path": F.col("word").rlike("(https?:|/.*/|[.][a-z]{2,4}$)").cast("double"),
         "path_kind": F.col("path").rlike("(?i)(test|example|doc|fixture|sample)").cast("double"),
         "path_bucket": bucket(F.regexp_extract("path", r"([^./]*)$", 1)),
-        "before_bucket": bucket(F.regexp_extract("before", r"(\S*)$", 1)),
+        # Words that stand before: in the candidate's own word, next to it, and one further off.
+        "own_bucket": bucket(F.regexp_extract(own_lead(), r"([A-Za-z_]+)[^A-Za-z_]*$", 1)),
+        "mark_bucket": bucket(F.regexp_extract(lead(), r"([^A-Za-z0-9]*)$", 1)),
+        "before_bucket": bucket(F.regexp_extract("before", r"([^A-Za-z]*|[A-Za-z]*[^A-Za-z]*)$", 1)),
+        "far_bucket": bucket(F.regexp_extract("before", r"([A-Za-z_]+)[^A-Za-z_]*$", 1)),
         "after_bucket": bucket(F.col("after")),
     }
     rows = found.withColumns(named)
@@ -106,13 +114,25 @@ def features(found: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list[s
     return rows.join(covered, "candidate", "left").fillna({"covered": 0.0}), [*named, "covered"]
 
 
+def own_lead() -> Column:
+    """What stands before the candidate in its own word."""
+    return F.call_function("substring_index", F.col("word"), F.col("candidate"), F.lit(1))
+
+
+def lead() -> Column:
+    """What stands before the candidate: two words, and the begin of its own."""
+    return F.concat_ws(" ", "before", own_lead())
+
+
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Findings with a ``label`` of 1 for issued formats and strings assigned to a telling name, 0 for others.
+    """The findings that a rule decides, with a ``label``; others are left out.
 
-    Stands in for a reviewers' table of labelled findings where there is none.
+    Stands in for a reviewers' table of labelled findings where there is none. The names, assignments and formats
+    that the rules look at are no features: the forest knows findings by their characters, pieces and neighbours.
     """
-    named = F.concat_ws(" ", "before", "word").rlike(NAMES) & (F.col("before").rlike("=$") | F.col("word").rlike("="))
-    return found.withColumn("label", (F.col("candidate").rlike(ISSUED) | named).cast("double"))
+    true = F.col("candidate").rlike(ISSUED) | lead().rlike(ASSIGNED)
+    false = F.col("candidate").rlike(NUMBER) | F.col("word").rlike(ADDRESS) | lead().rlike(CHECKSUM)
+    return found.withColumn("label", F.when(true, 1.0).when(false, 0.0)).where("label is not null")
 
 
 def fit(labelled: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
@@ -136,12 +156,13 @@ def scan(
     """(key, word_at, offset, candidate, score, secret): every candidate of every whole text and the forest's verdict.
 
     The forest is trained on ``labelled`` findings (columns of ``candidates`` and ``label``); without these, on
-    the findings in ``docs`` labelled by rule, at most ``TRAIN_ROWS`` of either label. Features are length,
+    the findings in ``docs`` that a rule decides, at most ``TRAIN_ROWS`` of either label. Features are length,
     kinds of characters and their changes, the share of pieces of common words, the path, and the words
     around. Without two kinds of labels every candidate is kept with score 1.
 
-    Null and empty texts have no candidates. Repeated rows give repeated findings; other columns are not read;
-    no rows give no rows.
+    A candidate has a digit, or the form of a known key identifier: passwords of letters alone are never findings.
+    Null and empty texts have no candidates; a text is read whole, however long. Rows without a key are scanned too.
+    Repeated rows give repeated findings; other columns are not read; no rows give no rows.
     """
     found = kept(candidates(docs, text, key, path))
     dictionary = kept(dictionary_pieces(docs, text))
