@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,10 +14,10 @@ from pyspark.sql import functions as F
 from teleloom.llm.common import small_batches
 
 MARK = "▁"
-#: Rows whose pre-tokens are counted for the first tier. It holds hints only: a pre-token outside it is
-#: encoded by the library, so that the bound has no part in any count.
-HINT_ROWS = 512
+#: Pre-tokens of the first tier, and different ones that a task counts at once. The first tier holds hints only: a
+#: pre-token outside it is encoded by the library, so that these bounds have no part in any count.
 HINT_WORDS = 20_000
+TASK_WORDS = 100_000
 CACHE_WORDS = 300_000
 #: A longer pre-token is encoded, but not held.
 CACHE_CHARS = 64
@@ -64,37 +66,62 @@ def count_tokens(text: str, encoder, tables: list[dict], cache: dict) -> int:
     return total
 
 
-def frequent_words(docs: DataFrame, text: str, rows: int = HINT_ROWS, words: int = HINT_WORDS) -> list[str]:
-    """The commonest pre-tokens of a bounded number of rows."""
-    some = docs.select(F.col(text).alias("t")).where("t is not null").limit(rows)
-    split = some.select(F.explode(F.split("t", "(?<=[^ ])(?= )")).alias("w")).where(F.length("w").between(1, CACHE_CHARS))
-    top = split.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
+def frequent_words(docs: DataFrame, text: str, words: int = HINT_WORDS) -> list[str]:
+    """The commonest pre-tokens of all texts.
+
+    Each task counts the pre-tokens of its texts and hands on the commonest ``words``; on the way it drops the rarest
+    whenever it holds ``TASK_WORDS``. Only these counts are added up; no text and no other pre-token is shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                seen.update(w for w in PRE_TOKEN.findall(" " + value.as_py()) if len(w) <= CACHE_CHARS)
+                if len(seen) > TASK_WORDS:
+                    seen = Counter(dict(seen.most_common(TASK_WORDS // 2)))
+        top = seen.most_common(words)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
+
+    some = docs.select(F.col(text).alias("t")).where("t is not null").mapInArrow(count, "w string, n bigint").where(r"not contains(w, '\0')")
+    top = some.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(words)
     return [r["w"] for r in top.collect()]
 
 
+class FirstTier:
+    """A broadcast table of lengths: all words in one string, their lengths as small numbers."""
+
+    def __init__(self, words: list[str], lengths: list[int]) -> None:
+        self.words, self.lengths = "\0".join(words), array("H", lengths)
+
+    def opened(self) -> dict[str, int]:
+        return dict(zip(self.words.split("\0"), self.lengths, strict=True)) if self.lengths else {}
+
+
 def token_counts(
     spark: SparkSession, docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", limit: int = TOKEN_LIMIT
 ) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every whole text, as the library counts them.
 
     ``model`` is a sentencepiece file that every worker can open. First tier: a broadcast table of the
-    lengths of at most ``HINT_WORDS`` pre-tokens. Second tier: pre-tokens that miss are encoded once for
-    each worker and held in a bounded cache. Nothing is shuffled and no row leaves its partition.
+    lengths of the commonest ``HINT_WORDS`` pre-tokens of all texts. Second tier: pre-tokens that miss are encoded once for
+    each worker and held in a bounded cache. No text is shuffled and no row leaves its partition. A text is
+    read whole into one task, however long.
 
     Null and empty texts have no tokens; a text of blanks has those that the library gives. Strings of
     special tokens are ordinary text. Repeated rows are counted each; other columns are not read.
     """
     small_batches(spark)
     encoder = load_encoder(model)
-    hints = {w if w[0] in (" ", MARK) else " " + w for w in frequent_words(docs, text)}
-    shared = spark.sparkContext.broadcast({w: _length(encoder, w) for w in hints})
+    hints = frequent_words(docs, text)
+    shared = spark.sparkContext.broadcast(FirstTier(hints, [_length(encoder, w) for w in hints]))
     schema = docs.select(F.col(key)).schema
     names = [key, "n_bytes", "n_tokens"]
     out = f"{schema[0].simpleString().replace(':', ' ', 1)}, n_bytes bigint, n_tokens bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, cache = load_encoder(model), {}
-        tables = [shared.value]
+        tables = [shared.value.opened()]
         for batch in batches:
             n_bytes, n_tokens = [], []
             for value in batch.column(1):
