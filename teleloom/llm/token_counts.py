@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teleloom.llm.common import small_batches
+from teleloom.llm.common import kept, small_batches
 
 MARK = "▁"
-#: Pre-tokens of the first tier, and different ones that a task counts at once. The first tier holds hints only: a
-#: pre-token outside it is encoded by the library, so that these bounds have no part in any count.
+#: Pre-tokens of the first tier are at least this share of all, which bounds their number by its inverse. The first
+#: tier holds hints only: a pre-token outside it is encoded by the library, so that no bound has a part in any count.
+HINT_SHARE = 5e-5
+#: Different pre-tokens that a task hands on, and those it counts at once.
 HINT_WORDS = 20_000
 TASK_WORDS = 100_000
 CACHE_WORDS = 300_000
@@ -66,8 +68,8 @@ def count_tokens(text: str, encoder, tables: list[dict], cache: dict) -> int:
     return total
 
 
-def frequent_words(docs: DataFrame, text: str, words: int = HINT_WORDS) -> list[str]:
-    """The commonest pre-tokens of all texts.
+def frequent_words(docs: DataFrame, text: str, share: float = HINT_SHARE, words: int = HINT_WORDS) -> list[str]:
+    """Pre-tokens that are at least a share of all counted ones, at most ``1 / share``.
 
     Each task counts the pre-tokens of its texts and hands on the commonest ``words``; on the way it drops the rarest
     whenever it holds ``TASK_WORDS``. Only these counts are added up; no text and no other pre-token is shuffled.
@@ -84,8 +86,9 @@ def frequent_words(docs: DataFrame, text: str, words: int = HINT_WORDS) -> list[
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
     some = docs.select(F.col(text).alias("t")).where("t is not null").mapInArrow(count, "w string, n bigint").where(r"not contains(w, '\0')")
-    top = some.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(words)
-    return [r["w"] for r in top.collect()]
+    counts = kept(some.groupBy("w").agg(F.sum("n").alias("n")))
+    least = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) * share
+    return sorted(r["w"] for r in counts.where(F.col("n") >= least).select("w").collect())
 
 
 class FirstTier:
@@ -104,7 +107,7 @@ def token_counts(
     """(key, n_bytes, n_tokens, over_limit) of every whole text, as the library counts them.
 
     ``model`` is a sentencepiece file that every worker can open. First tier: a broadcast table of the
-    lengths of the commonest ``HINT_WORDS`` pre-tokens of all texts. Second tier: pre-tokens that miss are encoded once for
+    lengths of the pre-tokens that are at least ``HINT_SHARE`` of all texts. Second tier: pre-tokens that miss are encoded once for
     each worker and held in a bounded cache. No text is shuffled and no row leaves its partition. A text is
     read whole into one task, however long.
 
