@@ -457,3 +457,48 @@ def test_a_compaction_that_was_cut_off_is_finished(spark, tmp_path):
     assert tables.read_table(spark, root, "spans").count() == 6
     assert tables.compact(spark, root, "spans", upto=1) == 0
     assert sorted(values(tables.read_table(spark, root, "spans"), "trace_id", "batch_id")) == [(str(i), -3) for i in range(6)]
+
+
+def test_span_attributes_with_missing_keys_and_values(spark):
+    import json
+
+    def span(attributes):
+        line = {"tenant_id": 1, "received_unix_ns": "0", "resource_spans": [{"scope_spans": [{"spans": [{"attributes": attributes}]}]}]}
+        return flat(spark, json.dumps(line)).first()
+
+    text = lambda key, value: {"key": key, "value": {"string_value": value}}
+    row = span([None, {"value": {"string_value": "x"}}, text("http.route", "a"), text("http.route", "b"), text("k", "v"), {"key": "e"}])
+    assert row.http_route == "b" and row.attrs_keys == ["", "", "k", "e"] and row.attrs_values == ["", "x", "v", ""]
+    code = lambda value: text("http.response.status_code", value)
+    # The last number counts, the last text without one does not.
+    assert span([code("200"), code("404"), code("?")]).http_status_code == 404
+    # The first filled text in the order of arrival, also among duplicates.
+    row = span([text("db.system.name", ""), text("db.system", "a"), text("db.system", "b"), {"key": "db.query.text"}])
+    assert row.db_system == "a" and row.db_statement == ""
+    row = span(None)
+    assert row.attrs_keys == [] and row.http_route == "" and row.http_status_code == 0
+
+
+def test_metric_points_of_the_first_kind_present(spark):
+    import json
+
+    gauge, histogram = {"data_points": [{"as_double": 2.5}, None]}, {"data_points": [{"count": "3", "bucket_counts": ["1", None]}]}
+    metrics = [
+        {"name": "a", "gauge": gauge, "sum": {"data_points": [{"as_int": "1"}]}},
+        {"name": "b", "sum": {"data_points": [{"as_int": "1"}], "is_monotonic": True, "aggregation_temporality": 2}, "histogram": histogram},
+        {"name": "c", "gauge": {}, "histogram": histogram},
+        {"name": "d", "gauge": {"data_points": []}, "histogram": histogram},
+        {"name": "e"},
+    ]
+    line = json.dumps({"tenant_id": 1, "received_unix_ns": "0", "resource_metrics": [{"scope_metrics": [{"metrics": metrics}]}]})
+    rows = ingest.flatten_metrics(otlp.parsed(spark.createDataFrame([(line,)], "value string"), "metrics")).collect()
+    got = [
+        (r.metric_name, r.metric_kind, r.aggregation_temporality, r.is_monotonic, r.value_double, r.value_int, r.histogram_count,
+         r.histogram_bucket_counts) for r in rows
+    ]
+    assert got == [
+        ("a", "GAUGE", "UNSPECIFIED", False, 2.5, None, None, []),
+        ("a", "GAUGE", "UNSPECIFIED", False, None, None, None, []),
+        ("b", "SUM", "CUMULATIVE", True, None, 1, None, []),
+        ("c", "HISTOGRAM", "UNSPECIFIED", False, None, None, 3, [1, 0]),
+    ]
