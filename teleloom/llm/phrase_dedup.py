@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teleloom.llm.common import kept, small_batches
-from teleloom.llm.textbytes import joined, rolling, sized, word_hashes, word_spans
+from teleloom.llm.textbytes import framed, joined, rolling, sized, word_hashes, word_spans
 
 WINDOW = 13
 #: A window's seed is the run of so many of its words with the smallest hash; equal windows have equal seeds.
@@ -30,6 +31,18 @@ CHUNK_BITS = 1 << 19
 HOT_WINDOWS = 20_000
 
 
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of each ``width`` neighbours, the first one of equals."""
+    low, place, have = values, np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = low[:-step], low[step:]
+        later = right < left
+        low, place = np.where(later, right, left), np.where(later, place[step:], place[:-step])
+        have += step
+    return place
+
+
 def window_seeds(texts: list[str | None], window: int = WINDOW) -> tuple:
     """(bytes, word begins, word ends, first word of each text, windows, where each one's seed begins, seeds).
 
@@ -44,11 +57,9 @@ def window_seeds(texts: list[str | None], window: int = WINDOW) -> tuple:
     if len(word_at) < window:
         none = np.zeros(0, np.int64)
         return raw, word_at, word_to, first, none, none, np.zeros(0, np.uint64)
-    place = np.lib.stride_tricks.sliding_window_view(runs, each).argmin(1)
-    windows = np.arange(len(place))
-    whole = windows + window <= np.repeat(first[1:], np.diff(first))[: len(place)]
-    windows = windows[whole]
-    place = windows + place[whole]
+    place = least_places(runs, each)
+    windows = np.flatnonzero(np.arange(window, len(place) + window) <= np.repeat(first[1:], np.diff(first))[: len(place)])
+    place = place[windows]
     return raw, word_at, word_to, first, windows, place, runs[place]
 
 
@@ -60,11 +71,12 @@ def seed_counts(docs: DataFrame, text: str, window: int) -> DataFrame:
             _, _, _, first, windows, place, seeds = window_seeds(texts, window)
             fresh = np.concatenate([[True], np.diff(place) != 0])[: len(place)]
             owner, seeds = np.searchsorted(first, windows[fresh], "right"), seeds[fresh]
-            order = np.lexsort((owner, seeds))
+            order = np.argsort(seeds, kind="stable")  # owners ascend already
             owner, seeds = owner[order], seeds[order]
-            single = np.concatenate([[True], (np.diff(owner) != 0) | (seeds[1:] != seeds[:-1])])[: len(seeds)]
-            values, counts = np.unique(seeds[single], return_counts=True)
-            passages = np.unique(seeds, return_counts=True)[1]
+            begins = np.concatenate([[True], seeds[1:] != seeds[:-1]])[: len(seeds)]
+            single = begins | np.concatenate([[True], np.diff(owner) != 0])[: len(seeds)]
+            values, counts = seeds[begins], np.diff(np.flatnonzero(begins[single]), append=single.sum())
+            passages = np.diff(np.flatnonzero(begins), append=len(seeds))
             columns = [pa.array(values.view(np.int64)), pa.array(counts, pa.int64()), pa.array(passages, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["seed", "n", "m"])
 
@@ -110,17 +122,20 @@ def _passes(filled: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 def locate(texts: list[bytes], docs: list[int], at: list[int], window: int) -> Iterator[tuple[int, int, int]]:
     """(row, first word, last word + 1) of everything in the passages that a smaller document has too.
 
-    Passages that recur are confirmed word by word, with the smallest document that has them; an automaton of
-    these is compiled, and every passage is streamed through it.
+    Windows that recur are confirmed word by word, with the smallest document that has them; an automaton of
+    these is compiled, and every passage that may hold one is streamed through it.
     """
+    places: dict[int, list[int]] = {}
+    for i, j in zip(*shared_windows(texts, docs, window), strict=True):
+        places.setdefault(i, []).append(j)
     numbers: dict[bytes, int] = {}
-    words = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in t.split()]) for t in texts]
-    order = sorted(range(len(docs)), key=docs.__getitem__)
+    words = {i: tuple([numbers.setdefault(w, len(numbers) + 1) for w in texts[i].split()]) for i in places}
+    order = sorted(places, key=docs.__getitem__)
     first: dict[tuple, int] = {}
     recurring: set[tuple] = set()
     for i in order:
         sequence, doc = words[i], docs[i]
-        for j in range(len(sequence) - window + 1):
+        for j in places[i]:
             run = sequence[j : j + window]
             if first.setdefault(run, doc) != doc:
                 recurring.add(run)
@@ -132,6 +147,25 @@ def locate(texts: list[bytes], docs: list[int], at: list[int], window: int) -> I
             yield i, at[i] + begin, at[i] + end
 
 
+def shared_windows(texts: list[bytes], docs: list[int], window: int) -> tuple[list[int], list[int]]:
+    """(passage, place in it) of the windows whose hash several documents have: all that recur, and few others."""
+    raw, starts = framed(texts)
+    word_at, word_to = word_spans(raw)
+    first = np.searchsorted(word_at, starts)
+    hashes = rolling(word_hashes(raw, word_at, word_to), window)
+    ends = np.repeat(first[1:], np.diff(first))[: len(hashes)]
+    windows = np.flatnonzero(np.arange(window, len(hashes) + window) <= ends)
+    if not len(windows):
+        return [], []
+    owner = np.searchsorted(first, windows, "right") - 1
+    order = np.argsort(hashes[windows])
+    ordered, by = hashes[windows][order], np.array(docs, np.int64)[owner[order]]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    several = np.minimum.reduceat(by, begins) < np.maximum.reduceat(by, begins)
+    chosen = np.sort(order[np.repeat(several, np.diff(begins, append=len(order)))])
+    return owner[chosen].tolist(), (windows[chosen] - first[owner[chosen]]).tolist()
+
+
 def compiled(passages: dict[tuple, int]):
     """The automaton of word numbers that finds the passages, each with its smallest document."""
     import ahocorasick
@@ -172,10 +206,13 @@ def repeated_spans(docs: DataFrame, text: str, key: str, window: int) -> DataFra
         filled, hot_seeds = shared.value
         for batch, texts in sized(batches):
             raw, word_at, word_to, first, windows, place, seeds = window_seeds(texts, window)
-            signed = seeds.view(np.int64)
-            is_hot = hot_seeds[np.minimum(np.searchsorted(hot_seeds, signed), len(hot_seeds) - 1)] == signed if len(hot_seeds) else np.zeros(len(seeds), bool)
-            take = is_hot if hot_ones else _passes(filled, seeds) & ~is_hot
-            windows, place, signed = windows[take], place[take], signed[take]
+            # Neighbouring windows mostly have the same seed, which is looked up once.
+            begins = np.concatenate([[True], np.diff(place) != 0])[: len(place)]
+            each = seeds[begins]
+            signed = each.view(np.int64)
+            is_hot = hot_seeds[np.minimum(np.searchsorted(hot_seeds, signed), len(hot_seeds) - 1)] == signed if len(hot_seeds) else np.zeros(len(each), bool)
+            take = (is_hot if hot_ones else _passes(filled, each) & ~is_hot)[np.cumsum(begins) - 1]
+            windows, place, signed = windows[take], place[take], seeds.view(np.int64)[take]
             if hot_ones:
                 a, b = windows, windows
             else:
@@ -184,8 +221,10 @@ def repeated_spans(docs: DataFrame, text: str, key: str, window: int) -> DataFra
                 a, b, signed = windows[at], windows[np.concatenate([at[1:], [len(windows)]])[: len(at)] - 1], signed[at]
             owner = np.searchsorted(first, a, "right") - 1
             body = raw.tobytes()
-            spans = zip(word_at[a].tolist(), word_to[b + window - 1].tolist(), strict=True)
-            passages = [b" ".join(body[x:y].split()) for x, y in spans]
+            # Words joined by one space already are taken as they stand.
+            loose = np.cumsum(np.concatenate([[False], (word_at[1:] - word_to[:-1] != 1) | (raw[word_to[:-1]] != 0x20)]))
+            spans = zip(word_at[a].tolist(), word_to[b + window - 1].tolist(), (loose[a] == loose[b + window - 1]).tolist(), strict=True)
+            passages = [body[x:y] if tidy else b" ".join(body[x:y].split()) for x, y, tidy in spans]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed),
@@ -275,15 +314,19 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in sized(batches):
             counts, removed, left = [], [], []
-            for whole, found in zip(texts, batch.column(2), strict=True):
+            found = batch.column(2)
+            begins, ends = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            offsets, valid = found.offsets.to_pylist(), found.is_valid().to_pylist()
+            for i, whole in enumerate(texts):
                 words = (whole or "").encode().split()
-                go = np.zeros(len(words), bool)
-                if found.is_valid:
-                    for a, b in zip(found.values.field("a").to_pylist(), found.values.field("b").to_pylist(), strict=True):
-                        go[a:b] = True
                 counts.append(len(words))
-                removed.append(int(go.sum()))
-                left.append(b" ".join([w for w, gone in zip(words, go.tolist(), strict=True) if not gone]).decode())
+                if valid[i]:
+                    go = np.zeros(len(words), bool)
+                    for a, b in zip(begins[offsets[i] : offsets[i + 1]].tolist(), ends[offsets[i] : offsets[i + 1]].tolist(), strict=True):
+                        go[a:b] = True
+                    words = list(compress(words, (~go).tolist()))
+                removed.append(counts[-1] - len(words))
+                left.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())],
                 [key, "n_words", "n_removed", "kept_text"],

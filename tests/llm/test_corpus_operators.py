@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from teleloom.llm import chat_format, decontamination, exact_dedup, language_id, mixing, phrase_dedup, quality, secret_scan, simhash_dedup, token_counts
+from teleloom.llm import chat_format, decontamination, exact_dedup, language_id, mixing, phrase_dedup, quality, secret_scan, simhash_dedup, textbytes, token_counts
 from teleloom.llm.common import components
 from teleloom.llm.queries import tokenizer_path
 
@@ -122,6 +122,53 @@ def test_repeated_passages(spark, corpus, monkeypatch, hot, most):
     assert sum(w[2] for w in wanted) > 5000
 
 
+def test_passages_without_a_shared_window_are_not_taken_apart():
+    """Only passages that may hold a recurring window are split into words, numbered and streamed."""
+
+    class Passage(bytes):
+        def split(self, *args):
+            taken.append(bytes(self))
+            return super().split(*args)
+
+    taken = []
+    said = b"to be or not"
+    shared = b"a b c d e f g h i j k l m"
+    other = [said + b"".join(b" %d-%d" % (doc, i) for i in range(20)) for doc in range(50)]
+    texts = [Passage(t) for t in [*other, shared, b"x\t" + shared.replace(b" ", b"\n") + b" y", shared + b" z", shared + b" z"]]
+    found = list(phrase_dedup.locate(texts, [*range(50), 7, 60, 61, 61], [0] * 50 + [5, 0, 0, 30], 13))
+    assert sorted(found) == [(51, 1, 14), (52, 0, 13), (53, 30, 43)]
+    assert set(taken) == set(map(bytes, texts[50:]))
+    assert list(phrase_dedup.locate(texts[:50], list(range(50)), [0] * 50, 13)) == []
+
+
+def test_seeds_of_windows(monkeypatch):
+    """The first smallest run of every window, whatever the pieces in which words are hashed."""
+    words = [f"w{i * i % 61}" for i in range(400)] + ["é" * 300, "x"] * 9
+    texts = [" ".join(words), "", None, "\t \r\n".join(words[:30]), "a " * 40, " ".join(words[:12]), " ".join(words[7:20])]
+    whole = phrase_dedup.window_seeds(texts)
+    monkeypatch.setattr(textbytes, "PIECE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, phrase_dedup.window_seeds(texts), strict=True))
+    _, word_at, _, first, windows, place, seeds = whole
+    assert np.diff(first).tolist() == [len(plain.words(t)) for t in texts]
+    assert windows.tolist() == [int(a) + j for a, n in zip(first, np.diff(first), strict=False) for j in range(n - 12)]
+    runs = textbytes.rolling(textbytes.word_hashes(*whole[:3]), phrase_dedup.SEED_WORDS)
+    wanted = [w + int(np.argmin(runs[w : w + 9])) for w in windows.tolist()]
+    assert place.tolist() == wanted and seeds.tolist() == runs[wanted].tolist()
+
+
+@pytest.mark.parametrize(("hot", "most"), [(2000, 20_000), (4, 20_000), (4, 5)])
+def test_repeated_passages_with_odd_blanks(spark, monkeypatch, hot, most):
+    """Equal words are one passage, however they are set apart."""
+    monkeypatch.setattr(phrase_dedup, "HOT_PASSAGES", hot)
+    monkeypatch.setattr(phrase_dedup, "HOT_WINDOWS", most)
+    passage = [f"p{i}" for i in range(40)]
+    blanks = [" ", "\t", "  ", " \n", "\x0b", "\r\n"]
+    rows = [(i, f"n{i} " + blanks[i % 6].join(passage[i % 9 :]) + f" m{i} " + " ".join(passage[:20])) for i in range(30)]
+    rows += [(100, None), (101, ""), (102, " ".join(passage[:12])), (103, "\u00a0".join(passage))]
+    got = phrase_dedup.remove_repeated_passages(frame(spark, rows))
+    assert sorted(map(tuple, got.collect())) == sorted(plain.phrases(rows))
+
+
 def test_leaks(spark, corpus):
     r = random.Random(5)
     items = [(i, " ".join(sentence(r, n))) for i, n in enumerate([3, 5, 6, 20, 40, 40, 64])]
