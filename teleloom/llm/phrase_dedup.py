@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -122,33 +123,47 @@ def _passes(filled: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 def locate(texts: list[bytes], docs: list[int], at: list[int], window: int) -> Iterator[tuple[int, int, int]]:
     """(row, first word, last word + 1) of everything in the passages that a smaller document has too.
 
-    Windows that recur are confirmed word by word, with the smallest document that has them; an automaton of
-    these is compiled, and every passage that may hold one is streamed through it.
+    Equal passages are one text, with its smallest and largest document. Windows that recur are confirmed word
+    by word, with the smallest document that has them; an automaton of these is compiled, and every text that may
+    hold one is streamed through it. Documents behind a text's smallest one have the same spans: each window of
+    the text has been seen by then.
     """
+    rows: dict[bytes, list[int]] = {}
+    for i, text in enumerate(texts):
+        rows.setdefault(text, []).append(i)
+    distinct = list(rows)
+    low = [min([docs[i] for i in rows[text]]) for text in distinct]
+    high = [max([docs[i] for i in rows[text]]) for text in distinct]
     places: dict[int, list[int]] = {}
-    for i, j in zip(*shared_windows(texts, docs, window), strict=True):
-        places.setdefault(i, []).append(j)
-    numbers: dict[bytes, int] = {}
-    words = {i: tuple([numbers.setdefault(w, len(numbers) + 1) for w in texts[i].split()]) for i in places}
-    order = sorted(places, key=docs.__getitem__)
+    for t, j in zip(*shared_windows(distinct, low, high, window), strict=True):
+        places.setdefault(t, []).append(j)
+    numbers: dict[bytes, int] = defaultdict(count(1).__next__)
+    words = {t: tuple(map(numbers.__getitem__, distinct[t].split())) for t in places}
+    order = sorted(places, key=low.__getitem__)
     first: dict[tuple, int] = {}
     recurring: set[tuple] = set()
-    for i in order:
-        sequence, doc = words[i], docs[i]
-        for j in places[i]:
+    for t in order:
+        sequence, doc, last = words[t], low[t], high[t]
+        for j in places[t]:
             run = sequence[j : j + window]
-            if first.setdefault(run, doc) != doc:
+            if first.setdefault(run, doc) != last:
                 recurring.add(run)
     if not recurring:
         return
     automaton = compiled({run: first[run] for run in recurring})
-    for i in order:
-        for begin, end in covered(automaton, words[i], docs[i], window):
-            yield i, at[i] + begin, at[i] + end
+    for t in order:
+        early = list(covered(automaton, words[t], low[t], window))
+        late = list(covered(automaton, words[t], high[t], window)) if high[t] > low[t] else early
+        for i in rows[distinct[t]]:
+            for begin, end in early if docs[i] == low[t] else late:
+                yield i, at[i] + begin, at[i] + end
 
 
-def shared_windows(texts: list[bytes], docs: list[int], window: int) -> tuple[list[int], list[int]]:
-    """(passage, place in it) of the windows whose hash several documents have: all that recur, and few others."""
+def shared_windows(texts: list[bytes], low: list[int], high: list[int], window: int) -> tuple[list[int], list[int]]:
+    """(text, place in it) of the windows whose hash several documents have: all that recur, and few others.
+
+    ``low`` and ``high`` are the smallest and the largest document of each text.
+    """
     raw, starts = framed(texts)
     word_at, word_to = word_spans(raw)
     first = np.searchsorted(word_at, starts)
@@ -159,9 +174,9 @@ def shared_windows(texts: list[bytes], docs: list[int], window: int) -> tuple[li
         return [], []
     owner = np.searchsorted(first, windows, "right") - 1
     order = np.argsort(hashes[windows])
-    ordered, by = hashes[windows][order], np.array(docs, np.int64)[owner[order]]
+    ordered, by = hashes[windows][order], owner[order]
     begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    several = np.minimum.reduceat(by, begins) < np.maximum.reduceat(by, begins)
+    several = np.minimum.reduceat(np.array(low, np.int64)[by], begins) < np.maximum.reduceat(np.array(high, np.int64)[by], begins)
     chosen = np.sort(order[np.repeat(several, np.diff(begins, append=len(order)))])
     return owner[chosen].tolist(), (windows[chosen] - first[owner[chosen]]).tolist()
 

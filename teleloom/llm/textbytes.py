@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,11 @@ def odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+@lru_cache(maxsize=1)
+def piece_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return odd_powers(n)
+
+
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` values; equal runs have equal hashes wherever they lie."""
     n = len(values) - width + 1
@@ -64,7 +70,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of every word."""
     out = np.zeros(len(starts), np.uint64)
     table = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
-    powers = odd_powers(PIECE)
+    powers = piece_powers(PIECE)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))

@@ -141,6 +141,18 @@ def test_passages_without_a_shared_window_are_not_taken_apart():
     assert list(phrase_dedup.locate(texts[:50], list(range(50)), [0] * 50, 13)) == []
 
 
+def test_equal_passages_are_streamed_together(monkeypatch):
+    """A passage that many documents have is streamed for its smallest document and for all later ones."""
+    streamed = []
+    covered = phrase_dedup.covered
+    monkeypatch.setattr(phrase_dedup, "covered", lambda automaton, words, *a: streamed.append(words) or covered(automaton, words, *a))
+    short, long = (b" ".join(b"%d" % i for i in range(n)) for n in (13, 15))
+    texts, docs = [long] * 40 + [short, b"x " + short], [*range(10, 50), 3, 30]
+    found = list(phrase_dedup.locate(texts, docs, [0] * 39 + [100, 0, 0], 13))
+    assert sorted(found) == [(0, 0, 13), *((i, 0, 15) for i in range(1, 39)), (39, 100, 115), (41, 1, 14)]
+    assert len(streamed) == 4
+
+
 def test_seeds_of_windows(monkeypatch):
     """The first smallest run of every window, whatever the pieces in which words are hashed."""
     words = [f"w{i * i % 61}" for i in range(400)] + ["é" * 300, "x"] * 9
